@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tracelab.plans import trace_queries  # noqa: F401
+from tracelab.plans import trace_queries, visit_queries  # noqa: F401
 from tracelab.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["t6_bounded_interpolation"](spark, sf_dir)
+    return QUERIES["m1_labelled_samples"](spark, sf_dir)
