@@ -7,7 +7,7 @@ hold a wanted rank are sorted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,10 +94,22 @@ def with_medians(agg: DataFrame, df: DataFrame, keys: Sequence[str], columns: di
     return agg
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` evaluated once per row.
+
+    A computed column used inside a lambda would otherwise be inlined into it and evaluated per
+    element.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def array_median(arr: Column) -> Column:
     """Median of one row's array, nulls skipped; null when nothing is left."""
-    kept = F.array_sort(F.filter(arr, lambda x: x.isNotNull()))
-    n = F.size(kept)
-    upper = F.try_element_at(kept, (F.floor(n / 2) + 1).cast("int"))
-    lower = F.try_element_at(kept, F.floor((n + 1) / 2).cast("int"))
-    return F.when(n > 0, (lower + upper) / 2)
+
+    def middle(kept: Column) -> Column:
+        n = F.size(kept)
+        upper = F.get(kept, F.floor(n / 2).cast("int"))
+        lower = F.get(kept, (F.floor((n + 1) / 2) - 1).cast("int"))
+        return F.when(n > 0, (lower + upper) / 2)
+
+    return let(F.array_sort(F.filter(arr, lambda x: x.isNotNull())), middle)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.functions.quantile import let
+
 # fixed value: highest plausible activity count of a minute
 MAX_COUNT = 480
 
@@ -152,5 +154,5 @@ def drop_empty_positions(df: DataFrame) -> DataFrame:
     live = cells.groupBy("pos").agg(F.count("x").alias("c")).filter(F.col("c") > 0)
     positions = live.groupBy().agg(F.sort_array(F.collect_list("pos")).alias("l")).scalar()
     return df.withColumn("_live", positions).withColumn(
-        "features", F.transform("_live", lambda p: F.get("features", p))
+        "features", let(F.col("features"), lambda f: F.transform("_live", lambda p: F.get(f, p)))
     ).drop("_live")

@@ -84,25 +84,32 @@ def leave_two_out(
     return out.select("a", "b", "test_n", "test_pos", "train_n", "train_pos")
 
 
+def resample_weights(ids: DataFrame, key: str, replicates: int, seed: int, *, draws_less: int = 0) -> DataFrame:
+    """``(replicate, key, times)``: how often each id is drawn when as many as there are (less
+    ``draws_less``) are drawn with replacement."""
+    numbered = hash_rank(ids.select(key).distinct(), [], draw(seed, key), key, "no")
+    size = ids.groupBy().agg(F.count_distinct(key).alias("c")).scalar()
+    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    slots = numbered.withColumn("_c", size).filter(F.col("no") <= F.col("_c") - draws_less).select("no", "_c", reps)
+    picks = slots.select("replicate", (F.pmod(draw(seed, "replicate", "no"), F.col("_c")) + 1).alias("no"))
+    times = picks.groupBy("replicate", "no").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(numbered.select("no", key), "no").select("replicate", key, "times")
+
+
 def individual_bootstrap(ids: DataFrame, replicates: int, seed: int, key: str = "series_id") -> DataFrame:
     """Per replicate: ``n - 1`` individuals drawn with replacement train, one unseen one tests (M4).
 
     Rows are ``(replicate, id, times, split)``; of the unseen individuals the one with the
     smallest draw tests.
     """
-    numbered = hash_rank(ids.select(key).distinct(), [], draw(seed, key), key, "no")
-    size = numbered.groupBy().agg(F.count(F.lit(1)).alias("c")).scalar()
+    drawn = resample_weights(ids, key, replicates, seed, draws_less=1)
     reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    slots = numbered.withColumn("_c", size).filter(F.col("no") < F.col("_c")).select("no", "_c", reps)
-    picks = slots.select("replicate", (F.pmod(draw(seed, "replicate", "no"), F.col("_c")) + 1).alias("no"))
-    times = picks.groupBy("replicate", "no").agg(F.count(F.lit(1)).alias("times"))
-    every = numbered.select("no", key, reps)
-    joined = every.join(times, ["replicate", "no"], "left")
-    unseen = joined.filter(F.col("times").isNull()).groupBy("replicate").agg(
-        F.min_by(key, F.struct(draw("test", "replicate", key), key)).alias("_test")
+    every = ids.select(key).distinct().select(key, reps)
+    unseen = every.join(drawn, ["replicate", key], "left_anti").groupBy("replicate").agg(
+        F.min_by(key, F.struct(draw("test", "replicate", key), key)).alias(key)
     )
-    train = joined.filter(F.col("times").isNotNull()).select("replicate", key, "times", F.lit("train").alias("split"))
-    test = unseen.select("replicate", F.col("_test").alias(key), F.lit(1).cast("long").alias("times"), F.lit("test").alias("split"))
+    train = drawn.withColumn("split", F.lit("train"))
+    test = unseen.select("replicate", key, F.lit(1).cast("long").alias("times"), F.lit("test").alias("split"))
     return train.unionByName(test)
 
 
