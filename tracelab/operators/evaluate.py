@@ -15,9 +15,6 @@ from tracelab.functions.quantile import quantiles, value_bucket
 from tracelab.functions.scan import neighbours, scan
 from tracelab.operators.splits import resample_weights
 
-BUCKETS = 1024
-
-
 def confusion(df: DataFrame, keys: Sequence[str], *, y: str = "y", pred: str = "y_pred") -> DataFrame:
     """Confusion counts and precision, recall, F1, support per class, balanced accuracy."""
     a, p = F.col(y), F.col(pred)
@@ -62,12 +59,11 @@ def score_counts(df: DataFrame, keys: Sequence[str], *, y: str, score: str, time
 def cumulative(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """True and false positives at each threshold ``score``, and the totals of the key."""
     keys = list(keys)
-    edge = counts.groupBy().agg(F.struct(F.min(-F.col("score")).alias("lo"), F.max(-F.col("score")).alias("hi")).alias("e")).scalar()
-    placed = counts.withColumns({"_one": F.lit(0), "_down": -F.col("score"), "_e": edge})
-    placed = placed.withColumn("_at", value_bucket(F.col("_down"), F.col("_e.lo"), F.col("_e.hi"), BUCKETS))
+    down = -F.col("score")
+    placed = counts.withColumns({"_one": F.lit(0), "_down": down, "_at": value_bucket(down)})
     run = scan(placed, [*keys, "_one"], ["_down"], F.col("_at"), cumsum={"tp": F.col("pos"), "fp": F.col("neg")})
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("p_total"), F.sum("neg").alias("n_total"))
-    out = run.drop("_down", "_at", "_e")
+    out = run.drop("_down", "_at")
     if keys:
         return out.drop("_one").join(totals, keys)
     return out.join(totals.withColumn("_one", F.lit(0)), "_one").drop("_one")
@@ -79,8 +75,8 @@ def roc_curve(df: DataFrame, keys: Sequence[str], *, y: str = "y", score: str =
     return run.select(
         *keys,
         F.col("score").alias("threshold"),
-        (F.col("fp") / F.col("n_total")).alias("fpr"),
-        (F.col("tp") / F.col("p_total")).alias("tpr"),
+        F.try_divide("fp", "n_total").alias("fpr"),
+        F.try_divide("tp", "p_total").alias("tpr"),
     )
 
 
@@ -160,7 +156,7 @@ def bootstrap_metrics(
     )
     flagged = df.filter(F.col(pred) == 1).groupBy(fold).agg(F.sum(y).alias("_tp"), F.count(F.lit(1)).alias("_n"))
     precision = flagged.join(draws, fold).groupBy("replicate").agg(
-        (F.sum(F.col("_tp") * F.col("times")) / F.sum(F.col("_n") * F.col("times"))).alias("precision")
+        F.try_divide(F.sum(F.col("_tp") * F.col("times")), F.sum(F.col("_n") * F.col("times"))).alias("precision")
     )
     return rank_auc(pooled, ["replicate"]).select("replicate", "auc").join(precision, "replicate", "left")
 
@@ -194,9 +190,9 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], *, group: str = "y", value:
         F.sum(t * t * t - t).alias("_ties"),
     )
     n = F.col("n1") + F.col("n2")
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     far = F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - F.lit(0.5)
-    z = F.greatest(far, F.lit(0.0)) / sd
+    z = F.try_divide(F.greatest(far, F.lit(0.0)), sd)
     return out.withColumn("z", z).withColumn("p", 2 * normal_tail(F.col("z"))).drop("_ties")
 
 

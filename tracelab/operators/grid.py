@@ -160,7 +160,7 @@ def merge_rollup(partial: DataFrame, resolution: str) -> DataFrame:
 
 
 def finish_rollup(partial: DataFrame) -> DataFrame:
-    return partial.withColumn("battery", F.col("_bsum") / F.col("_bcount")).drop("_bsum", "_bcount")
+    return partial.withColumn("battery", F.try_divide("_bsum", "_bcount")).drop("_bsum", "_bcount")
 
 
 def rollups(df: DataFrame, resolutions: Sequence[str] = RESOLUTIONS) -> DataFrame:

@@ -51,7 +51,7 @@ def transform_positions(df: DataFrame, params: DataFrame, fn: Callable[[Column,
 
 
 def map_cells(df: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
-    return df.withColumn("features", F.transform("features", fn))
+    return df.withColumn("features", F.transform("features", lambda x: fn(x)))
 
 
 def array_sum(arr: Column) -> Column:
@@ -124,6 +124,11 @@ def standard_scale(df: DataFrame) -> DataFrame:
     return transform_positions(df, params, lambda x, p: (x - p["mean"]) / F.when(p["std"] > 0, p["std"]).otherwise(F.lit(1.0)))
 
 
+def centre_positions(df: DataFrame) -> DataFrame:
+    """Subtract each position's mean."""
+    return transform_positions(df, fit_positions(df, {"mean": F.avg}), lambda x, p: x - p["mean"])
+
+
 def fit_min_max(df: DataFrame) -> DataFrame:
     return fit_positions(df, {"lo": F.min, "hi": F.max})
 
@@ -174,7 +179,7 @@ def centre_samples(df: DataFrame, *, by_deviation: bool = False) -> DataFrame:
     out = df.withColumn("features", let(mean, lambda m: F.transform("features", lambda x: x - m)))
     if by_deviation:
         std = F.sqrt(array_sum(F.transform("features", lambda x: x * x)) / F.size("features"))
-        out = out.withColumn("features", let(std, lambda s: F.transform("features", lambda x: x / s)))
+        out = out.withColumn("features", let(std, lambda s: F.transform("features", lambda x: F.try_divide(x, s))))
     return out
 
 

@@ -153,3 +153,11 @@ def balanced_first(df: DataFrame, target: str, key: str, bucket: Column) -> Data
     """The first rows of every class by ``key``, as many as the smallest class has."""
     smallest = df.groupBy(target).agg(F.count(F.lit(1)).alias("c")).groupBy().agg(F.min("c").alias("m")).scalar()
     return ranked(df, [target], [key], bucket, "rank").filter(F.col("rank") <= smallest).drop("rank")
+
+
+def fold_table(folds: DataFrame, n: int, key: str = "sample_id") -> DataFrame:
+    """``(fold, key, split)`` rows, every sample once per fold (K3)."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k")
+    out = folds.select("repeat", key, F.col("fold").alias("_own"), every)
+    split = F.when(F.col("_own") == F.col("_k"), "test").otherwise("train")
+    return out.select("repeat", F.col("_k").alias("fold"), key, split.alias("split"))

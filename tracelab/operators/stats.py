@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions.quantile import let, medians, quantiles, with_medians
+from tracelab.functions.quantile import let, medians, quantiles, value_bucket, with_medians
 from tracelab.functions.scan import ranked
 from tracelab.functions.hashing import SPAN, draw
 from tracelab.operators.normalise import array_sum, cells_of, transform_positions
@@ -283,7 +283,7 @@ def scaled_weights(params: DataFrame, name: str = "w") -> DataFrame:
     return with_edges.select(
         F.transform(
             "params",
-            lambda p: F.struct(p["pos"].alias("pos"), ((p[name] - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).alias(name)),
+            lambda p: F.struct(p["pos"].alias("pos"), F.try_divide(p[name] - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias(name)),
         ).alias("params")
     )
 
@@ -298,15 +298,12 @@ def distance_to_plane(df: DataFrame, params: DataFrame, bias: float, name: str =
     out = df.withColumn("_p", params.scalar())
     dot = array_sum(F.zip_with("features", "_p", lambda x, p: x * p[name]))
     norm = F.sqrt(array_sum(F.transform("_p", lambda p: p[name] * p[name])))
-    return out.withColumn("dist", (F.abs(dot + F.lit(bias))) / norm).drop("_p")
+    return out.withColumn("dist", F.try_divide(F.abs(dot + F.lit(bias)), norm)).drop("_p")
 
 
 def distance_buckets(df: DataFrame, label: str, size: int) -> DataFrame:
     """Consecutive buckets of ``size`` samples per class by distance: mean curve and range."""
-    top = df.groupBy().agg(F.max("dist").alias("m")).scalar()
-    placed = df.withColumn("_top", top)
-    slot = F.floor(F.col("dist") / F.col("_top") * 1000)
-    numbered = ranked(placed, [label], ["dist", "sample_id"], slot, "_rn")
+    numbered = ranked(df, [label], ["dist", "sample_id"], value_bucket(F.col("dist")), "_rn")
     cells = numbered.withColumn("bucket", F.ceil(F.col("_rn") / size)).select(
         label, "bucket", "dist", F.posexplode("features").alias("pos", "x")
     )

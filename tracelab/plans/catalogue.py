@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelab.plans import sample_queries, trace_queries, visit_queries  # noqa: F401
+from tracelab.plans import result_queries, sample_queries, source_queries, trace_queries, visit_queries  # noqa: F401
 from tracelab.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -13,6 +13,7 @@ from tracelab.operators import samples as sm
 from tracelab.plans.bindings import HOURLY, S, WX, X, hourly_grid, long_features, q6, r6, samples, series, table, weather
 from tracelab.plans.registry import query
 from tracelab.plans.trace_queries import COMMON, common_hourly
+from tracelab.session import materialise
 
 OUT = f"sample_id, pos::INT AS pos, {q6('x')} AS x"
 
@@ -617,7 +618,7 @@ _NR = (
 
 
 def _herd_cells(spark, sf):
-    g = common_hourly(spark, sf)
+    g = materialise(common_hourly(spark, sf), "trace")
     h = herd.herd_series(g).select("ts", F.col("median").alias("herd"))
     week = F.floor(F.col("pos") / 168).cast("string")
     return g.join(h, "ts").withColumn("sample_id", F.concat_ws("_", F.col("series_id").cast("string"), week))
