@@ -18,9 +18,7 @@ TRACE = T.StructType(
     ]
 )
 SCORES = T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))
-WEATHER = T.StructType.fromDDL(
-    "data STRUCT<weather: ARRAY<STRUCT<date: STRING, hourly: ARRAY<STRUCT<time: STRING, humidity: STRING, tempC: STRING>>>>>"
-)
+WEATHER = "data STRUCT<weather: ARRAY<STRUCT<date: STRING, hourly: ARRAY<STRUCT<time: STRING, humidity: STRING, tempC: STRING>>>>>"
 
 
 def read_traces(spark: SparkSession, path: str, *, id_pattern: str = r"(\d+)[^/]*$", schema: T.StructType = TRACE) -> DataFrame:
