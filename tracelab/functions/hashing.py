@@ -21,6 +21,6 @@ def fraction(seed: int | str | Column, *ids: Column | str) -> Column:
     return draw(seed, *ids) / F.lit(float(SPAN))
 
 
-def draw_bucket(hashed: Column, buckets: int = 256) -> Column:
+def draw_bucket(hashed: Column, buckets: int = 4096) -> Column:
     """Slice of the draw: hashes are even, so the slices are too."""
     return F.floor(hashed / F.lit(SPAN // buckets))

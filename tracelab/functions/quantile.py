@@ -24,7 +24,9 @@ def value_bucket(value: Column) -> Column:
     It depends on the value alone, so no pass for the limits is needed; a group has at most some
     80,000 buckets between 0.001 and a million, however many rows it holds.
     """
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value) / F.lit(FINE)) * F.lit(float(PER_E)))).cast("long")
+    steps = F.signum(value) * F.floor(F.log1p(F.abs(value) / F.lit(FINE)) * F.lit(float(PER_E)))
+    # never null, so that a join on it adds no filter and both sides can share one shuffle
+    return F.coalesce(steps.cast("long"), F.lit(0).cast("long"))
 
 
 def quantiles(

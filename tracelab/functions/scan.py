@@ -72,18 +72,20 @@ def scan(
     following: dict[str, Column] | None = None,
     cumsum: dict[str, Column] | None = None,
     cummin: dict[str, Column] | None = None,
+    whole: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Running values along ``order`` within ``keys``.
 
     ``last``: latest non-null value at or before the row; ``prior``: strictly before it;
     ``following``: first non-null value at or after the row; ``cumsum``/``cummin``: running
-    sum/minimum.
+    sum/minimum; ``whole``: ``{name: ('min' | 'max' | 'sum', expression)}`` over all of the key.
     One summary row per bucket is windowed over the key and joined back on the same
     ``(key, bucket)`` partitioning the local windows already use.
     """
     last, prior, following = last or {}, prior or {}, following or {}
-    cumsum, cummin = cumsum or {}, cummin or {}
-    specs = {**last, **prior, **following, **cumsum, **cummin}
+    cumsum, cummin, whole = cumsum or {}, cummin or {}, whole or {}
+    specs = {**last, **prior, **following, **cumsum, **cummin, **{n: e for n, (_, e) in whole.items()}}
+    fold = {"min": F.min, "max": F.max, "sum": F.sum}
     ordering = _order(order)
     stamp = F.struct(*ordering)
     tagged = df.withColumns({**{f"_v_{n}": e for n, e in specs.items()}, _B: bucket})
@@ -96,6 +98,7 @@ def scan(
         *[F.min_by(f"_v_{n}", known(n)).alias(f"_s_{n}") for n in following],
         *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in cumsum],
         *[F.min(f"_v_{n}").alias(f"_s_{n}") for n in cummin],
+        *[fold[how](f"_v_{n}").alias(f"_s_{n}") for n, (how, _) in whole.items()],
     )
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.col(_B).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -106,6 +109,7 @@ def scan(
         *[F.last(f"_s_{n}", True).over(after).alias(f"_c_{n}") for n in following],
         *[F.sum(f"_s_{n}").over(before).alias(f"_c_{n}") for n in cumsum],
         *[F.min(f"_s_{n}").over(before).alias(f"_c_{n}") for n in cummin],
+        *[fold[how](f"_s_{n}").over(Window.partitionBy(*keys)).alias(f"_c_{n}") for n, (how, _) in whole.items()],
     )
     base = Window.partitionBy(*keys, _B)
     fwd = base.orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0)
@@ -122,6 +126,8 @@ def scan(
     )
     joined = local.join(carry, [*keys, _B], "left")
     result = {n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in [*last, *prior, *following]}
+    for n in whole:
+        result[n] = F.col(f"_c_{n}")
     for n in cummin:
         result[n] = F.least(f"_l_{n}", f"_c_{n}")
     for n in cumsum:
@@ -135,26 +141,33 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Col
     return scan(df, keys, order, bucket, cumsum={name: F.lit(1).cast("long")})
 
 
-def runs(df: DataFrame, keys: Sequence[str], pos: str, kind: Column, block: int) -> DataFrame:
-    """Gaps and islands on a regular grid position: run start, end and length per row.
+def runs(df: DataFrame, keys: Sequence[str], pos: str, flag: Column, block: int) -> DataFrame:
+    """Gaps and islands of a non-null boolean on a grid of consecutive positions.
 
-    ``kind`` is any non-null expression; a run is a maximal stretch of equal ``kind`` at
-    consecutive rows.
+    Adds ``run_start``, ``run_end`` and ``run_len``.  A run of one value lies between the nearest
+    rows of the other value, so one pass that carries both kinds of position finds its ends.
     """
-    bucket = F.floor(F.col(pos) / block)
-    marked = neighbours(
-        df.withColumn("kind", kind),
+    here = F.col(pos)
+    found = scan(
+        df.withColumn("_flag", flag),
         keys,
         [pos],
-        bucket,
-        {"_prev": (F.col("kind"), 1), "_next": (F.col("kind"), -1)},
+        F.floor(here / block),
+        last={"_on": F.when(F.col("_flag"), here), "_off": F.when(~F.col("_flag"), here)},
+        following={"_on2": F.when(F.col("_flag"), here), "_off2": F.when(~F.col("_flag"), here)},
+        whole={"_first": ("min", here), "_end": ("max", here)},
     )
-    starts = F.when(~F.col("_prev").eqNullSafe(F.col("kind")), F.col(pos))
-    ends = F.when(~F.col("_next").eqNullSafe(F.col("kind")), F.col(pos))
+    before = F.when(F.col("_flag"), F.col("_off")).otherwise(F.col("_on"))
+    after = F.when(F.col("_flag"), F.col("_off2")).otherwise(F.col("_on2"))
     return (
-        scan(marked, keys, [pos], bucket, last={"run_start": starts}, following={"run_end": ends})
+        found.withColumns(
+            {
+                "run_start": F.coalesce(before + 1, F.col("_first")),
+                "run_end": F.coalesce(after - 1, F.col("_end")),
+            }
+        )
         .withColumn("run_len", F.col("run_end") - F.col("run_start") + 1)
-        .drop("_prev", "_next")
+        .drop("_flag", "_on", "_off", "_on2", "_off2", "_first", "_end")
     )
 
 

@@ -60,4 +60,5 @@ def drop_quiet_stretches(trace: DataFrame, step: str, longest: int) -> DataFrame
     times = whole.withColumn("_e", edges).filter(F.col("ts").between(F.col("_e.lo"), F.col("_e.hi")))
     times = times.select("herd", "ts", "pos", F.coalesce("seen", F.lit(0)).alias("seen"))
     marked = runs(times, ["herd"], "pos", F.col("seen") == 0, 1440)
-    return marked.filter(~(F.col("kind") & (F.col("run_len") > longest))).select("ts", "seen")
+    quiet = (F.col("seen") == 0) & (F.col("run_len") > longest)
+    return marked.filter(~quiet).select("ts", "seen")

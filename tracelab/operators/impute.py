@@ -25,13 +25,14 @@ def block_of(pos: str = "pos") -> Column:
 
 def null_runs(df: DataFrame) -> DataFrame:
     """Run start, end and length of null / non-null stretches (E5)."""
-    return runs(df, KEY, "pos", F.when(F.col("value").isNull(), "null").otherwise("seen"), BLOCK)
+    empty = F.col("value").isNull()
+    return runs(df, KEY, "pos", empty, BLOCK).withColumn("kind", F.when(empty, "null").otherwise("seen"))
 
 
 def zero_runs(df: DataFrame) -> DataFrame:
     """The same for zero / non-zero stretches; a null is not zero."""
     zero = F.coalesce(F.col("value") == 0, F.lit(False))
-    return runs(df, KEY, "pos", F.when(zero, "zero").otherwise("other"), BLOCK)
+    return runs(df, KEY, "pos", zero, BLOCK).withColumn("kind", F.when(zero, "zero").otherwise("other"))
 
 
 def gap_histogram(df: DataFrame) -> DataFrame:
@@ -46,9 +47,8 @@ def gap_histogram(df: DataFrame) -> DataFrame:
 def _around(df: DataFrame) -> DataFrame:
     """Attach the nearest observed ``(pos, value)`` on both sides and the series' end positions."""
     cell = F.when(F.col("value").isNotNull(), F.struct(F.col("pos").alias("p"), F.col("value").alias("v")))
-    ends = df.groupBy(*KEY).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
-    both = scan(df, KEY, ["pos"], block_of(), last={"_l": cell}, following={"_n": cell})
-    return both.join(ends, KEY)
+    ends = {"_first": ("min", F.col("pos")), "_last": ("max", F.col("pos"))}
+    return scan(df, KEY, ["pos"], block_of(), last={"_l": cell}, following={"_n": cell}, whole=ends)
 
 
 def _linear() -> Column:
@@ -116,12 +116,11 @@ def zeros_to_null(df: DataFrame, z: int, *, mode: str = "chunked") -> DataFrame:
         )
     if mode != "chunked":
         raise ValueError(f"unknown mode {mode}")
-    ends = df.groupBy(*KEY).agg(F.max("pos").alias("_last"))
+    ended = scan(marked, KEY, ["pos"], block_of(), whole={"_last": ("max", F.col("pos"))})
     counted = F.col("run_len") - F.when(F.col("run_end") == F.col("_last"), 1).otherwise(0)
     blank = F.col("pos") - F.col("run_start") < F.floor(counted / z) * z
     return (
-        marked.join(ends, KEY)
-        .withColumn("value", F.when(~((F.col("kind") == "zero") & blank), F.col("value")))
+        ended.withColumn("value", F.when(~((F.col("kind") == "zero") & blank), F.col("value")))
         .select(*df.columns)
     )
 

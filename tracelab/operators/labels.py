@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.functions.scan import neighbours, ranked
+from tracelab.functions.scan import neighbours, scan
 
 KEY = ["series_id"]
 ORDER = ["visit_date", "visit_id"]
@@ -127,8 +127,8 @@ def chain_pattern(visits: DataFrame, pattern: Sequence[str], days: int) -> DataF
 
 def halves(visits: DataFrame) -> DataFrame:
     """First half by date against the rest, per series."""
-    size = visits.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    out = ranked(visits, KEY, ORDER, year_of(), "rn").join(size, KEY)
+    one = F.lit(1).cast("long")
+    out = scan(visits, KEY, ORDER, year_of(), cumsum={"rn": one}, whole={"n": ("sum", one)})
     return out.withColumn("half", F.when(F.col("rn") <= F.floor(F.col("n") / 2), 1).otherwise(2))
 
 

@@ -75,9 +75,10 @@ def nearest_neighbours(df: DataFrame, k: int, folds: int, *, block_rows: int = 4
     test = placed.select(
         F.col("fold").cast("long").alias("fold"), F.col("_block").alias("tb"), every.alias("rb"), "sample_id", "features"
     )
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold")))
+    every_fold = F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))
+    others = F.explode(F.filter(every_fold, lambda f: f != F.col("fold")))
     train = placed.select("*", every.alias("tb")).select(
-        others.cast("long").alias("fold"), "tb", F.col("_block").alias("rb"), "sample_id", "y", "features"
+        others.alias("fold"), "tb", F.col("_block").alias("rb"), "sample_id", "y", "features"
     )
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -361,8 +361,10 @@ def grid_search_summary(df: DataFrame, c: str, gamma: str, score: str, keep_c: o
 def find_ids(lines: DataFrame, ids: DataFrame, *, text: str, file: str, key: str) -> DataFrame:
     """How many lines of each file mention each id as a whole number.
 
-    Numbers are cut out of the text and joined on equality; a line counts once per id.
+    Numbers are cut out of the text, counted per file and joined on equality; a line counts once
+    per id.
     """
     numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)))
     found = lines.select(file, F.explode(numbers).alias("_t")).select(file, F.col("_t").try_cast("long").alias(key))
-    return found.join(ids.select(key).distinct(), key).groupBy(key, file).agg(F.count(F.lit(1)).alias("n"))
+    counted = found.groupBy(key, file).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(ids.select(key).distinct(), key)

@@ -487,10 +487,14 @@ def _(spark, sf):
     return sets.common_ids(a, table(spark, sf, "orders").select(F.col("o_custkey").alias("id")))
 
 
-@query("g3_missing_ids", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query(
+    "g3_missing_ids",
+    "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'",
+)
 def _(spark, sf):
     a = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    return sets.missing_ids(a, table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), "id")
+    done = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F")
+    return sets.missing_ids(a, done.select(F.col("o_custkey").alias("id")), "id")
 
 
 @query("g4_distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber, l_quantity FROM lineitem")
