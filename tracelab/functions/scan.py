@@ -87,7 +87,8 @@ def scan(
     specs = {**last, **prior, **following, **cumsum, **cummin, **{n: e for n, (_, e) in whole.items()}}
     fold = {"min": F.min, "max": F.max, "sum": F.sum}
     ordering = _order(order)
-    stamp = F.struct(*ordering)
+    # one plain column aggregates by hash, a struct only by sort
+    stamp = ordering[0] if len(ordering) == 1 else F.struct(*ordering)
     tagged = df.withColumns({**{f"_v_{n}": e for n, e in specs.items()}, _B: bucket})
 
     def known(n: str) -> Column:

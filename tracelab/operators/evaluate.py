@@ -61,12 +61,15 @@ def cumulative(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     down = -F.col("score")
     placed = counts.withColumns({"_one": F.lit(0), "_down": down, "_at": value_bucket(down)})
-    run = scan(placed, [*keys, "_one"], ["_down"], F.col("_at"), cumsum={"tp": F.col("pos"), "fp": F.col("neg")})
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("p_total"), F.sum("neg").alias("n_total"))
-    out = run.drop("_down", "_at")
-    if keys:
-        return out.drop("_one").join(totals, keys)
-    return out.join(totals.withColumn("_one", F.lit(0)), "_one").drop("_one")
+    run = scan(
+        placed,
+        [*keys, "_one"],
+        ["_down"],
+        F.col("_at"),
+        cumsum={"tp": F.col("pos"), "fp": F.col("neg")},
+        whole={"p_total": ("sum", F.col("pos")), "n_total": ("sum", F.col("neg"))},
+    )
+    return run.drop("_down", "_at", "_one")
 
 
 def roc_curve(df: DataFrame, keys: Sequence[str], *, y: str = "y", score: str = "score") -> DataFrame:

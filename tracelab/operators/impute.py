@@ -45,21 +45,27 @@ def gap_histogram(df: DataFrame) -> DataFrame:
 
 
 def _around(df: DataFrame) -> DataFrame:
-    """Attach the nearest observed ``(pos, value)`` on both sides and the series' end positions."""
-    cell = F.when(F.col("value").isNotNull(), F.struct(F.col("pos").alias("p"), F.col("value").alias("v")))
-    ends = {"_first": ("min", F.col("pos")), "_last": ("max", F.col("pos"))}
-    return scan(df, KEY, ["pos"], block_of(), last={"_l": cell}, following={"_n": cell}, whole=ends)
+    """Attach position and value of the nearest observation on both sides, and the series' ends."""
+    at = F.when(F.col("value").isNotNull(), F.col("pos"))
+    return scan(
+        df,
+        KEY,
+        ["pos"],
+        block_of(),
+        last={"_lp": at, "_lv": F.col("value")},
+        following={"_np": at, "_nv": F.col("value")},
+        whole={"_first": ("min", F.col("pos")), "_last": ("max", F.col("pos"))},
+    )
 
 
 def _linear() -> Column:
-    lp, lv = F.col("_l.p"), F.col("_l.v")
-    np_, nv = F.col("_n.p"), F.col("_n.v")
+    lp, lv, np_, nv = F.col("_lp"), F.col("_lv"), F.col("_np"), F.col("_nv")
     return lv + (nv - lv) * (F.col("pos") - lp) / (np_ - lp)
 
 
 def _gap_len() -> Column:
-    start = F.coalesce(F.col("_l.p"), F.col("_first") - 1)
-    stop = F.coalesce(F.col("_n.p"), F.col("_last") + 1)
+    start = F.coalesce(F.col("_lp"), F.col("_first") - 1)
+    stop = F.coalesce(F.col("_np"), F.col("_last") + 1)
     return stop - start - 1
 
 
@@ -71,7 +77,7 @@ def _result(df: DataFrame, value: Column, like: DataFrame) -> DataFrame:
 def bounded_interpolation(df: DataFrame, limit: int, *, inclusive: bool = True) -> DataFrame:
     """Linear fill of null runs up to ``limit`` long; edge runs repeat the nearest value."""
     short = _gap_len() <= limit if inclusive else _gap_len() < limit
-    line = F.coalesce(_linear(), F.col("_l.v"), F.col("_n.v"))
+    line = F.coalesce(_linear(), F.col("_lv"), F.col("_nv"))
     return _result(_around(df), F.when(short, line), df)
 
 
@@ -82,24 +88,24 @@ def constant_fill(df: DataFrame, limit: int, constant: float = -1.0) -> DataFram
 
 def linear_fill(df: DataFrame) -> DataFrame:
     """Linear fill of every gap, in both directions."""
-    return _result(_around(df), F.coalesce(_linear(), F.col("_l.v"), F.col("_n.v")), df)
+    return _result(_around(df), F.coalesce(_linear(), F.col("_lv"), F.col("_nv")), df)
 
 
 def nearest_fill(df: DataFrame) -> DataFrame:
     """Each gap takes the nearer observed value; the earlier one on a tie."""
-    left_near = (F.col("pos") - F.col("_l.p")) <= (F.col("_n.p") - F.col("pos"))
-    near = F.when(left_near, F.col("_l.v")).otherwise(F.coalesce(F.col("_n.v"), F.col("_l.v")))
+    left_near = (F.col("pos") - F.col("_lp")) <= (F.col("_np") - F.col("pos"))
+    near = F.when(left_near, F.col("_lv")).otherwise(F.coalesce(F.col("_nv"), F.col("_lv")))
     return _result(_around(df), near, df)
 
 
 def hold_leading(df: DataFrame) -> DataFrame:
     """The first observed value fills the start of the series; other gaps stay."""
-    return _result(_around(df), F.when(F.col("_l").isNull(), F.col("_n.v")), df)
+    return _result(_around(df), F.when(F.col("_lp").isNull(), F.col("_nv")), df)
 
 
 def linear_then_zero(df: DataFrame) -> DataFrame:
     """Forward linear fill, the last value held, and what is left becomes zero."""
-    return _result(_around(df), F.coalesce(_linear(), F.col("_l.v"), F.lit(0.0)), df)
+    return _result(_around(df), F.coalesce(_linear(), F.col("_lv"), F.lit(0.0)), df)
 
 
 def zeros_to_null(df: DataFrame, z: int, *, mode: str = "chunked") -> DataFrame:
