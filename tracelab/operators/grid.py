@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions.scan import ranked, scan
-
 UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 DAY = 86400
 RESOLUTIONS = ("5 minutes", "10 minutes", "hour", "day", "week", "month")
@@ -100,21 +98,23 @@ def backfill_collisions(df: DataFrame, step: str, *, series: str = "series_id",
     rank: that is the latest slot that is free and not later than its own step.
     """
     n = seconds(step)
-    prepared = df.withColumns(
-        {
-            "bin": F.floor(F.unix_seconds(ts) / n),
-            "_back": -F.unix_micros(ts),
-            "_tie": -F.col(tie),
-            "_day": -F.floor(F.unix_seconds(ts) / DAY),
-        }
-    )
-    order, day = ["_back", "_tie"], F.col("_day")
-    numbered = ranked(prepared, [series], order, day, "_r")
-    low = scan(numbered, [series], order, day, cummin={"_low": F.col("bin") + F.col("_r")})
+    keys = [series, "_day"]
+    back, last_first = F.unix_micros(ts).desc(), F.col(tie).desc()
+    local = Window.partitionBy(*keys).orderBy(back, last_first)
+    placed = df.withColumns({"bin": F.floor(F.unix_seconds(ts) / n), "_day": F.floor(F.unix_seconds(ts) / DAY)})
+    # rank and running minimum inside the day; a day's rows and minimum shift those of earlier days
+    placed = placed.withColumn("_r", F.row_number().over(local))
+    placed = placed.withColumn("_low", F.min(F.col("bin") + F.col("_r")).over(local))
+    later = Window.partitionBy(series).orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("bin") + F.col("_r")).alias("_m"))
+    days = days.withColumn("_shift", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    days = days.withColumn("_lower", F.min(F.col("_m") + F.col("_shift")).over(later)).drop("_n", "_m")
+    low = F.least(F.col("_low") + F.col("_shift"), F.col("_lower"))
     return (
-        low.withColumn("slot", F.col("_low") - F.col("_r"))
+        placed.join(days, keys)
+        .withColumn("slot", low - F.col("_shift") - F.col("_r"))
         .withColumn("slot_ts", F.timestamp_seconds(F.col("slot") * n))
-        .drop("_back", "_tie", "_day", "_r", "_low")
+        .drop("_day", "_r", "_low", "_shift", "_lower")
     )
 
 

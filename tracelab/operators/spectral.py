@@ -7,7 +7,7 @@ the task, one array in and one array out.  Images are flattened row by row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,14 +31,29 @@ TAPS = {
 }
 
 
-def per_array(fn: Callable[[np.ndarray], np.ndarray], features: str = "features") -> Column:
-    """Apply a numpy function to each feature array in Arrow batches."""
+# cells a batch may hold on its way back from Python: an image is many times its sample
+BATCH_CELLS = 2_000_000
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: fn(np.asarray(a, dtype=float)).ravel())
 
-    return run(F.col(features))
+def map_arrays(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Replace each feature array by ``fn`` of it, batch by batch.
+
+    Results leave in slices of bounded size, so a wide image never piles up in a worker.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            start, cells, out = 0, 0, []
+            for i, a in enumerate(pdf["features"]):
+                out.append(fn(np.asarray(a, dtype=float)).ravel())
+                cells += out[-1].size
+                if cells >= BATCH_CELLS:
+                    yield pdf.iloc[start : i + 1].assign(features=out)
+                    start, cells, out = i + 1, 0, []
+            if out:
+                yield pdf.iloc[start:].assign(features=out)
+
+    return df.mapInPandas(run, df.schema)
 
 
 # -- short-time Fourier ------------------------------------------------------
@@ -66,7 +81,7 @@ def stft_power(df: DataFrame, width: int) -> DataFrame:
         spectrum = np.fft.rfft(cut * window, axis=1) / window.sum()
         return (spectrum.real**2 + spectrum.imag**2).T
 
-    return df.withColumn("features", per_array(power))
+    return map_arrays(df, power)
 
 
 # -- continuous wavelets -----------------------------------------------------
@@ -122,12 +137,36 @@ def cwt_magnitude(
             image = np.where(np.arange(len(wanted))[:, None] >= limit[None, :], np.nan, image)
         return image
 
-    out = df.withColumn("features", per_array(magnitude))
+    out = map_arrays(df, magnitude)
     if cone:
         out = out.withColumn("features", F.transform("features", lambda v: F.when(~F.isnan(v), v)))
     return out
 
 
+def cwt_deviation(
+    df: DataFrame, scales: Sequence[float], *, wavelet: str = "morlet", f0: float = 6.0, cone: bool = False
+) -> DataFrame:
+    """Deviation over time per scale straight from the samples (S2 to S4 in one step).
+
+    Only one value per scale leaves the task instead of the whole image.
+    """
+    wanted = list(scales)
+
+    def deviation(x: np.ndarray) -> np.ndarray:
+        image = np.abs(cwt_array(x, wanted, wavelet, f0))
+        if cone:
+            limit = influence_limit(len(x), len(wanted), wavelet, f0)
+            image = np.where(np.arange(len(wanted))[:, None] >= limit[None, :], np.nan, image)
+        known = ~np.isnan(image)
+        n = np.maximum(known.sum(axis=1), 1)
+        mean = np.where(known, image, 0).sum(axis=1) / n
+        spread = np.where(known, image - mean[:, None], 0)
+        return np.where(known.any(axis=1), np.sqrt((spread**2).sum(axis=1) / n), np.nan)
+
+    out = map_arrays(df, deviation)
+    return out.withColumn("features", F.transform("features", lambda v: F.when(~F.isnan(v), v)))
+
+
 def scale_deviation(df: DataFrame, width: int) -> DataFrame:
     """Population deviation over time of each image row of ``width`` cells, nulls skipped."""
     rows = F.sequence(F.lit(0), (F.size("features") / width).cast("int") - 1)
@@ -197,7 +236,7 @@ def dwt_scalogram(df: DataFrame, wavelet: str = "coif1") -> DataFrame:
         rows = [np.repeat(c, 2 ** (len(kept) - i))[:width] for i, c in enumerate(kept)]
         return np.vstack(rows)
 
-    return df.withColumn("features", per_array(image))
+    return map_arrays(df, image)
 
 
 def circle_index(n: int, taps: int, k: int) -> np.ndarray:
@@ -228,7 +267,7 @@ def denoise(df: DataFrame, share: float, wavelet: str = "db4", levels: int | Non
             rest = built[:size]
         return rest
 
-    return df.withColumn("features", per_array(clean))
+    return map_arrays(df, clean)
 
 
 def fourier_resample(df: DataFrame, resolution: float = 0.7) -> DataFrame:
@@ -245,7 +284,7 @@ def fourier_resample(df: DataFrame, resolution: float = 0.7) -> DataFrame:
             wide[min(n, size) // 2] *= 0.5 if size > n else 2.0
         return np.fft.irfft(wide, size) * size / n
 
-    return df.withColumn("features", per_array(stretch))
+    return map_arrays(df, stretch)
 
 
 def availability_weights(df: DataFrame, levels: int) -> DataFrame:

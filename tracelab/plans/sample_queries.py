@@ -860,6 +860,15 @@ def _(spark, sf):
     return long_features(spectral.scale_deviation(image, 64))
 
 
+@query(
+    "s4_deviation_inside_cone",
+    f"WITH {CWT}, co AS (SELECT * FROM {_CONE} t(p, lim)) SELECT sample_id, scale::INT AS pos, {q6('stddev_pop(CASE WHEN scale < lim THEN x END)')} AS x"
+    " FROM cw JOIN co USING (p) GROUP BY 1, 2",
+)
+def _(spark, sf):
+    return long_features(spectral.cwt_deviation(samples(spark, sf), SCALES, cone=True))
+
+
 def _dwt_level(src, dst, n):
     low = spectral.TAPS["coif1"]
     taps = _values([(k, float(low[k]), float(h)) for k, h in enumerate(spectral.high_pass(low))])
