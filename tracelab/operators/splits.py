@@ -47,41 +47,66 @@ def leave_one_out(samples: DataFrame, *, target: str = "target", key: str = "ser
     return out.filter(both).drop("_t")
 
 
-def leave_two_out(
-    samples: DataFrame, *, target: str = "target", key: str = "series_id", stratified: bool = False
+def leave_n_out(
+    samples: DataFrame,
+    n: int,
+    *,
+    target: str = "target",
+    key: str = "series_id",
+    stratified: bool = False,
+    only: DataFrame | None = None,
+    cap: int | None = None,
+    seed: int = 0,
 ) -> DataFrame:
-    """Folds that test a pair of individuals, every pair once (M3).
+    """Folds that test ``n`` individuals, every combination once (M3).
 
-    The pairs themselves are the result.  They are made from the per-individual counts, never
-    from samples: each individual is copied once per later individual by a range explode over
-    dense numbers and looked up by number.  ``stratified`` keeps pairs of two single-class
-    individuals of different class.
+    The combinations themselves are the result.  They grow from the per-individual counts, never
+    from samples: a combination is copied once per individual with a later number, by a range
+    explode, and that individual is looked up by number.  Folds whose training set has one class
+    are left out.  ``stratified`` wants single-class individuals, all of different class;
+    ``only`` keeps folds whose smallest id is listed; ``cap`` keeps that many folds by draw.
     """
     per = individuals(samples, target, key)
-    numbered = hash_rank(per, [], draw("pair", key), key, "no")
-    size = per.groupBy().agg(
+    numbered = hash_rank(per, [], draw("combination", key), key, "no")
+    total = per.groupBy().agg(
         F.struct(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum("positives").alias("p")).alias("t")
     ).scalar()
-    left = numbered.withColumn("_t", size).filter(F.col("no") < F.col("_t.c"))
-    pairs = left.withColumn("_other", F.explode(F.sequence(F.col("no") + 1, F.col("_t.c"))))
-    right = numbered.select(
-        F.col("no").alias("_other"), F.col(key).alias("_b"), F.col("n").alias("_bn"), F.col("positives").alias("_bp")
+    # single-class individuals: 0 or 1, mixed ones: null
+    kind = F.when(F.col("positives") == 0, 0).when(F.col("positives") == F.col("n"), 1)
+    one = numbered.select("no", F.array(key).alias("members"), "n", F.col("positives").alias("p"), F.array(kind).alias("kinds"))
+    combos = one
+    for _ in range(n - 1):
+        grown = combos.withColumn("_t", total).filter(F.col("no") < F.col("_t.c"))
+        grown = grown.withColumn("_next", F.explode(F.sequence(F.col("no") + 1, F.col("_t.c")))).drop("no", "_t")
+        more = one.select(*[F.col(c).alias(f"_{c}") for c in ("no", "members", "n", "p", "kinds")])
+        combos = grown.join(more, F.col("_next") == F.col("_no")).select(
+            F.col("_no").alias("no"),
+            F.concat("members", "_members").alias("members"),
+            (F.col("n") + F.col("_n")).alias("n"),
+            (F.col("p") + F.col("_p")).alias("p"),
+            F.concat("kinds", "_kinds").alias("kinds"),
+        )
+    out = combos.withColumn("_t", total).withColumns(
+        {"train_n": F.col("_t.n") - F.col("n"), "train_pos": F.col("_t.p") - F.col("p"), "members": F.array_sort("members")}
     )
-    out = pairs.join(right, "_other").withColumns(
-        {
-            "a": F.least(key, "_b"),
-            "b": F.greatest(key, "_b"),
-            "test_n": F.col("n") + F.col("_bn"),
-            "test_pos": F.col("positives") + F.col("_bp"),
-        }
-    )
-    out = out.withColumns({"train_n": F.col("_t.n") - F.col("test_n"), "train_pos": F.col("_t.p") - F.col("test_pos")})
     out = out.filter((F.col("train_pos") > 0) & (F.col("train_pos") < F.col("train_n")))
     if stratified:
-        all_neg_a, all_pos_a = F.col("positives") == 0, F.col("positives") == F.col("n")
-        all_neg_b, all_pos_b = F.col("_bp") == 0, F.col("_bp") == F.col("_bn")
-        out = out.filter((all_neg_a & all_pos_b) | (all_pos_a & all_neg_b))
-    return out.select("a", "b", "test_n", "test_pos", "train_n", "train_pos")
+        out = out.filter(~F.exists("kinds", lambda k: k.isNull()) & (F.size(F.array_distinct("kinds")) == n))
+    if only is not None:
+        wanted = only.select(F.col(key).alias("_id"))
+        out = out.join(wanted, F.get("members", F.lit(0)) == F.col("_id"), "left_semi")
+    out = out.select("members", F.col("n").alias("test_n"), F.col("p").alias("test_pos"), "train_n", "train_pos")
+    if cap is not None:
+        text = F.array_join(F.transform("members", lambda m: m.cast("string")), "-")
+        out = out.withColumn("_d", draw(seed, text)).orderBy("_d", text).limit(cap).drop("_d")
+    return out
+
+
+def leave_two_out(samples: DataFrame, *, key: str = "series_id", **options) -> DataFrame:
+    """Pairs of left-out individuals as columns ``a`` and ``b`` (M3)."""
+    out = leave_n_out(samples, 2, key=key, **options)
+    first, second = F.get("members", F.lit(0)).alias("a"), F.get("members", F.lit(1)).alias("b")
+    return out.select(first, second, "test_n", "test_pos", "train_n", "train_pos")
 
 
 def resample_weights(ids: DataFrame, key: str, replicates: int, seed: int, *, draws_less: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.functions import scalar
-from tracelab.operators import evaluate, filters, grid, herd, joins, models, sets, splits, stats
+from tracelab.operators import evaluate, filters, grid, herd, models, sets, splits, stats
 from tracelab.operators.labels import light_phase
 from tracelab.plans.bindings import (
     HOURLY, P, R, S, V, VE, X, hourly_grid, predictions, q6, qsecs, r6, reports, samples, secs, series, table, visits,
@@ -547,6 +547,22 @@ def _(spark, sf):
     return splits.leave_two_out(_individuals(spark, sf), stratified=True)
 
 
+_NIND = f"{P}, ind AS (SELECT series_id, count(*) AS n, sum(y)::BIGINT AS p FROM p GROUP BY 1), tot AS (SELECT sum(n)::BIGINT AS tn, sum(p)::BIGINT AS tp FROM ind)"
+
+
+@query(
+    "m3_leave_three_out",
+    f"WITH {_NIND} SELECT concat_ws('-', a.series_id, b.series_id, c.series_id) AS members, a.n + b.n + c.n AS test_n, a.p + b.p + c.p AS test_pos,"
+    " tn - a.n - b.n - c.n AS train_n, tp - a.p - b.p - c.p AS train_pos FROM ind a JOIN ind b ON a.series_id < b.series_id JOIN ind c ON b.series_id < c.series_id, tot"
+    " WHERE tp - a.p - b.p - c.p > 0 AND tp - a.p - b.p - c.p < tn - a.n - b.n - c.n AND a.series_id IN (0, 1, 2)",
+)
+def _(spark, sf):
+    p = predictions(spark, sf).withColumnRenamed("y", "target")
+    few = p.filter(F.col("series_id") < 3).select("series_id").distinct()
+    out = splits.leave_n_out(p, 3, only=few)
+    return out.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), "-"))
+
+
 def _resample_sql(ids, key, seed, less=0):
     s = f"'{seed}'"
     return (

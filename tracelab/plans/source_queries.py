@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.operators import models, splits
-from tracelab.plans.bindings import HOURLY, P, R, S, V, X, hourly_grid, long_features, q6, qsecs, r6, reports, samples, secs, series, visits, weather
+from tracelab.plans.bindings import HOURLY, R, S, V, X, hourly_grid, long_features, q6, qsecs, r6, reports, samples, secs, series, visits, weather
 from tracelab.plans.registry import query
 from tracelab.plans.result_queries import _folds
 from tracelab.plans.trace_queries import _ROLL_OUT, REC, ROLL_ALL, records, roll_out, sql_draw
