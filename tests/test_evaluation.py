@@ -81,6 +81,10 @@ def test_leave_two_out_matches_combinations(spark):
         if len(rest) == 2 and len(classes[a]) == 1 and len(classes[b]) == 1 and classes[a] != classes[b]:
             want.add((a, b))
     assert got == want
+    only = spark.createDataFrame([(0,), (2,)], "series_id LONG")
+    some = splits.leave_n_out(df, 3, only=only).select("members").collect()
+    assert some and all(r.members[0] in (0, 2) and len(set(r.members)) == 3 for r in some)
+    assert splits.leave_n_out(df, 3, cap=4).count() == 4
 
 
 def test_bootstrap_draws(spark):

@@ -473,11 +473,11 @@ def _(spark, sf):
 
 @query(
     "g1_union_of_sources",
-    "SELECT 'a' AS source, o_orderkey AS visit_id FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'b', o_orderkey FROM orders WHERE o_orderstatus = 'O'",
+    "SELECT lower(o_orderstatus) AS source, o_orderkey AS visit_id FROM orders",
 )
 def _(spark, sf):
     o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "visit_id")
-    parts = {"a": o.filter(F.col("o_orderstatus") == "F"), "b": o.filter(F.col("o_orderstatus") == "O")}
+    parts = {s.lower(): o.filter(F.col("o_orderstatus") == s) for s in ("F", "O", "P")}
     return sets.union_sources(parts).select("source", "visit_id")
 
 
@@ -554,12 +554,11 @@ _NIND = f"{P}, ind AS (SELECT series_id, count(*) AS n, sum(y)::BIGINT AS p FROM
     "m3_leave_three_out",
     f"WITH {_NIND} SELECT concat_ws('-', a.series_id, b.series_id, c.series_id) AS members, a.n + b.n + c.n AS test_n, a.p + b.p + c.p AS test_pos,"
     " tn - a.n - b.n - c.n AS train_n, tp - a.p - b.p - c.p AS train_pos FROM ind a JOIN ind b ON a.series_id < b.series_id JOIN ind c ON b.series_id < c.series_id, tot"
-    " WHERE tp - a.p - b.p - c.p > 0 AND tp - a.p - b.p - c.p < tn - a.n - b.n - c.n AND a.series_id IN (0, 1, 2)",
+    " WHERE tp - a.p - b.p - c.p > 0 AND tp - a.p - b.p - c.p < tn - a.n - b.n - c.n",
 )
 def _(spark, sf):
     p = predictions(spark, sf).withColumnRenamed("y", "target")
-    few = p.filter(F.col("series_id") < 3).select("series_id").distinct()
-    out = splits.leave_n_out(p, 3, only=few)
+    out = splits.leave_n_out(p, 3)
     return out.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), "-"))
 
 
@@ -586,11 +585,11 @@ def _(spark, sf):
 
 @query(
     "m7_cross_farm_split",
-    f"WITH {R}, f AS (SELECT unnest(['A', 'N']) AS direction) SELECT direction, farm_id, CASE WHEN farm_id = direction THEN 'train' ELSE 'test' END AS split,"
-    f" count(*) AS n, {q6('avg(price)')} AS price FROM r, f WHERE farm_id IN ('A', 'N') GROUP BY 1, 2, 3",
+    f"WITH {R}, f AS (SELECT unnest(['A', 'N', 'R']) AS direction) SELECT direction, farm_id, CASE WHEN farm_id = direction THEN 'train' ELSE 'test' END AS split,"
+    f" count(*) AS n, {q6('avg(price)')} AS price FROM r, f GROUP BY 1, 2, 3",
 )
 def _(spark, sf):
-    out = splits.cross_source_split(reports(spark, sf), ["A", "N"], "farm_id")
+    out = splits.cross_source_split(reports(spark, sf), ["A", "N", "R"], "farm_id")
     return out.groupBy("direction", "farm_id", "split").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("price")).alias("price"))
 
 

@@ -248,10 +248,10 @@ def _(spark, sf):
 @query(
     "c3_remap_ids",
     "SELECT (c_custkey * 10 + c_nationkey)::BIGINT AS series_id, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey"
-    " WHERE c_custkey % 5 != 0 GROUP BY 1",
+    " WHERE c_acctbal >= 0 GROUP BY 1",
 )
 def _(spark, sf):
-    c = table(spark, sf, "customer").filter(F.col("c_custkey") % 5 != 0)
+    c = table(spark, sf, "customer").filter(F.col("c_acctbal") >= 0)
     mapping = c.select(
         F.col("c_custkey").alias("old_id"), (F.col("c_custkey") * 10 + F.col("c_nationkey")).cast("long").alias("new_id")
     )
@@ -378,15 +378,14 @@ def _(spark, sf):
 
 @query(
     "c11_align_samples",
-    f"WITH {V}, {LAB}, a AS (SELECT * FROM lab WHERE visit_id % 2 = 0 OR score < 4), b AS (SELECT series_id, visit_date, label FROM"
+    f"WITH {V}, {LAB}, a AS (SELECT * FROM lab), b AS (SELECT series_id, visit_date, label FROM"
     " lab WHERE score > 1), c AS (SELECT series_id, visit_date, label FROM lab WHERE prev1 < 5) SELECT visit_id FROM a WHERE"
     " (series_id, visit_date, label) IN (SELECT * FROM b) AND (series_id, visit_date, label) IN (SELECT * FROM c)",
 )
 def _(spark, sf):
     v = labelled(spark, sf)
-    a = v.filter((F.col("visit_id") % 2 == 0) | (F.col("score") < 4))
     others = [v.filter(F.col("score") > 1), v.filter(F.col("prev1") < 5)]
-    return joins.align_samples(a, others, ["series_id", "visit_date", "label"]).select("visit_id")
+    return joins.align_samples(v, others, ["series_id", "visit_date", "label"]).select("visit_id")
 
 
 @query(
