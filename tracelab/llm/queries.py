@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import line_dedup, piece_encoding, token_counts
+from tracelab.llm import fingerprints, line_dedup, piece_encoding, preference_format, private_data, token_counts
 from tracelab.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,60 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least two documents hold go from all but the first of them."""
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op1_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled sketches of every text and of its edited text."""
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP2_SQL = """
+WITH turns AS (SELECT conv_id AS pair, turn, role, text FROM conversations),
+last AS (SELECT pair, max(turn) AS last, max_by(text, turn) AS answer FROM turns WHERE role = 'assistant' GROUP BY pair),
+chosen AS (SELECT t.* FROM turns t JOIN last l ON t.pair = l.pair AND t.turn <= l.last),
+rejected AS (
+    SELECT t.* FROM turns t JOIN last l ON t.pair = l.pair AND t.turn < l.last
+    UNION ALL
+    SELECT l.pair, l.last, 'assistant', o.answer FROM last l JOIN last o ON o.pair = xor(l.pair, 1)),
+both_sides AS (
+    SELECT coalesce(c.pair, r.pair) AS pair, coalesce(c.turn, r.turn) AS turn, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text
+    FROM chosen c FULL JOIN rejected r ON c.pair = r.pair AND c.turn = r.turn),
+differ AS (
+    SELECT pair, min(turn) AS split FROM both_sides
+    WHERE c_role IS DISTINCT FROM r_role OR c_text IS DISTINCT FROM r_text GROUP BY pair),
+parts AS (
+    SELECT b.pair, turn, 'prompt' AS part, c_role AS role, c_text AS text FROM both_sides b LEFT JOIN differ d ON b.pair = d.pair WHERE split IS NULL OR turn < split
+    UNION ALL
+    SELECT b.pair, turn, 'chosen', c_role, c_text FROM both_sides b JOIN differ d ON b.pair = d.pair WHERE turn >= split AND c_role IS NOT NULL
+    UNION ALL
+    SELECT b.pair, turn, 'rejected', r_role, r_text FROM both_sides b JOIN differ d ON b.pair = d.pair WHERE turn >= split AND r_role IS NOT NULL),
+shown AS (SELECT *, turn // 64 AS block, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said FROM parts),
+placed AS (
+    SELECT *, coalesce(sum(length(said)) OVER (PARTITION BY pair, part, block ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           + length(role) + 5 AS start FROM shown)
+SELECT pair, part, block, count(*) AS n_turns, string_agg(said, '' ORDER BY turn) AS rendered,
+       CASE WHEN part = 'prompt' THEN ''
+            ELSE coalesce(string_agg(start || ':' || (start + length(text) + 7), ',' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') END AS trained
+FROM placed GROUP BY pair, part, block
+"""
+
+
+@query("op2_preference_format", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with another conversation's answer: prompt once, completions with masks."""
+    return preference_format.format_pairs(*preference_format.answers_exchanged(table(spark, sf_dir, "conversations")))
+
+
+@query("op5_private_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = private_data.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = [k.name for k in private_data.KINDS if k.base]
+    return found.select(
+        "row.doc_id", *[count(k) for k in base],
+        F.sha2(F.encode(private_data.listed(F.filter("found", lambda s: s["kind"].isin(base))), "UTF-8"), 256).alias("base_sha256"),
+        private_data.listed(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
