@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +110,44 @@ def each_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.Reco
     return run
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit sums and products."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+BITS = 26  # a filter of hashes has 2**BITS bits, whatever the number of hashes
+
+
+def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that belong to a hash."""
+    return h >> np.uint64(64 - BITS), (h >> np.uint64(64 - 2 * BITS)) & np.uint64(2**BITS - 1)
+
+
+def hash_filter(hashes: DataFrame, col: str) -> np.ndarray:
+    """Signed hashes of a column as one bitmap of fixed size, merged from partial bitmaps; more hashes only make it let more through."""
+    h = F.col(col)
+    bits = F.array(F.shiftrightunsigned(h, 64 - BITS), F.shiftrightunsigned(h, 64 - 2 * BITS).bitwiseAND(2**BITS - 1))
+    bit = F.explode(F.transform(bits, lambda b: b + 1)).alias("bit")
+    parts = hashes.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    out = np.zeros(2**BITS // 8, np.uint8)
+    for bucket, part in parts.collect():
+        at = (bucket - 1) * 4096
+        out[at : at + len(part)] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may hold."""
+    one, two = probes(h)
+    held = lambda p: ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    out = held(one)
+    if out.any():
+        out[out] = held(two[out])
+    return out
+
+
 class Memo(dict):
     """A bounded cache in two generations: filled on a miss; when full, the entries become the older generation.
 

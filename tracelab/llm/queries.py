@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import fingerprints, line_dedup, piece_encoding, preference_format, private_data, token_counts
+from tracelab.llm import decontamination, fingerprints, line_dedup, piece_encoding, preference_format, private_data, quality, repeats, token_counts
 from tracelab.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,47 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         private_data.listed(F.col("found")).alias("spans"),
         F.array_join(F.transform("found", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of the benchmark, and which."""
+    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_same", "n_compared")
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every document."""
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "p_text", "p_host", "p_path", "p_keep", "keep")
+
+
+OP4_SQL = """
+WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 399)) AS s, h FROM hexed WHERE length(h) >= 800),
+keyed AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS k FROM starts),
+twice AS (SELECT k FROM keyed GROUP BY k HAVING count(*) >= 2),
+marked AS (SELECT doc_id, s FROM keyed SEMI JOIN twice USING (k)),
+edges AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 400 THEN 0 ELSE 1 END AS opens FROM marked),
+numbered AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM edges),
+runs AS (SELECT doc_id, n, min(s) AS a, max(s) + 400 AS b FROM numbered GROUP BY doc_id, n),
+gaps AS (
+    SELECT doc_id, n, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY n), 0) AS c, a AS d FROM runs
+    UNION ALL
+    SELECT doc_id, 1000000000, max(b), 1000000000 FROM runs GROUP BY doc_id),
+kept AS (
+    SELECT g.doc_id, string_agg(substr(h, 2 * c + 1, least(2 * (d - c), length(h))), '' ORDER BY n) AS k
+    FROM gaps g JOIN hexed x ON x.doc_id = g.doc_id GROUP BY g.doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT x.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM hexed x LEFT JOIN sums s ON s.doc_id = x.doc_id LEFT JOIN kept k ON k.doc_id = x.doc_id
+"""
+
+
+@query("op4_repeats", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated 400-byte strings."""
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
