@@ -49,7 +49,7 @@ def test_piece_encoding(spark, docs, rows):
     for i, t, _ in rows:
         ids = lib.encode(t or "", num_threads=1)
         want[i, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)), tuple(ids)] += 1
-    out = piece_encoding.encode_decode(docs, tokenizer("piece_bpe_32k.model"), keep=True)
+    out = piece_encoding.encode_decode(docs, tokenizer("piece_bpe_32k.model"), keep=("decoded", "ids"))
     got = Counter((r.id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) for r in out.collect())
     assert got == want
     assert piece_encoding.encode_decode(empty(spark), tokenizer("piece_bpe_32k.model")).count() == 0

@@ -180,15 +180,15 @@ def _utf8(run: bytearray) -> str:
 _codecs: dict[str, PieceCodec] = {}
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, keep: bool = False) -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)`` for every row, with ``keep`` also ``ids`` and ``decoded``.
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, n_tokens, ids_sha256, decoded_sha256)`` for every row, ``keep`` adds ``ids`` or ``decoded`` themselves.
 
     A null or empty text has no ids and decodes to the empty text.  Texts of any length are encoded whole; a repeated row gives its
     result again; an empty table gives an empty result; extra columns are not carried.  The model is read on the driver and shared: its
     size is that of a vocabulary.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if keep else [])
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + list(keep)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = _codecs.get(model_path)
@@ -202,13 +202,12 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             counts.append(len(ids))
             hashes.append(hashlib.sha256(",".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
             plain.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
-            if keep:
-                ids_out.append(ids)
-                texts_out.append(decoded)
+            ids_out.append(ids if "ids" in keep else None)
+            texts_out.append(decoded if "decoded" in keep else None)
         columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(plain, pa.string())]
-        if keep:
-            columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(texts_out, pa.string())]
+        more = {"ids": lambda: pa.array(ids_out, pa.list_(pa.int32())), "decoded": lambda: pa.array(texts_out, pa.string())}
+        columns += [more[k]() for k in keep]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[k] for k in keep)
     return identified(docs, id_col, text_col).select("id", "text").mapInArrow(each_batch(encode), schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import decontamination, fingerprints, line_dedup, piece_encoding, preference_format, private_data, quality, repeats, token_counts
+from tracelab.llm import decontamination, fingerprints, jaccard_join, line_dedup, piece_encoding, preference_format, private_data, quality, repeats, token_counts
 from tracelab.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +183,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated 400-byte strings."""
     out = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingled AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM worded),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM shingled),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS c
+    FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 90 * (n + m - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(r.m, s.doc_id)) AS component_id
+FROM shingled s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = s.doc_id
+"""
+
+
+@query("op10_jaccard_join", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with nearly the same three-word shingles."""
+    out = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
