@@ -10,6 +10,7 @@ left extensions differ, an interval is a maximal repeat with all its occurrences
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ GRAM = 100
 REACH = LENGTH - GRAM  # farthest a window may start in front of the place it names
 GATHERED = 5_000  # suffixes in one tree; larger gatherings compare their windows by hash, which any number of tasks can share
 PER_TASK = 20_000
+STRETCH = 1 << 18  # bytes that are hashed at a time
 
 _rng = np.random.default_rng(400)
 _VALUES = _rng.integers(0, 2**64, (2, 256), np.uint64)
@@ -64,23 +66,55 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[: len(values) - width + 1], out[width - done : len(values) - width + 1 + width - done]) if done < width else out
 
 
-def named_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(place, hash, first, last)``: places that windows name, and the first and last window that name each."""
+def named_places(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(place, hash, first, last)``: places that windows name, and the first and last window that name each.
+
+    ``data`` may be several texts one after the other, each up to its place in ``ends``; windows do not cross from one to the next.
+    """
     h = string_hashes(data, GRAM)
     windows = len(data) - LENGTH + 1
     if windows <= 0:
         none = np.zeros(0, np.int64)
         return none, none.view(np.uint64), none, none
     least = _sliding(h, REACH + 1, np.minimum)
+    for end in ends[:-1]:
+        least[max(0, end - LENGTH + 1) : end] = 0
     padded = np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(REACH, np.uint64)])
     at = np.nonzero(_sliding(padded, REACH + 1, np.maximum) == h)[0]  # a place is named if the largest minimum around it is its own
     mine = h[at]
-    first, last = np.maximum(at - REACH, 0), np.minimum(at, windows - 1)
+    bounds = np.array([0, *ends])
+    text = np.searchsorted(bounds, at, "right") - 1
+    first, last = np.maximum(at - REACH, bounds[text]), np.minimum(at, bounds[text + 1] - LENGTH)
     below = mine[1:] < mine[:-1]
     last[:-1] = np.where(below, np.minimum(last[:-1], at[1:] - REACH - 1), last[:-1])
     below = mine[:-1] < mine[1:]
     first[1:] = np.where(below, np.maximum(first[1:], at[:-1] + 1), first[1:])
-    return at, mine, first, last
+    good = first <= last
+    return at[good], mine[good], first[good], last[good]
+
+
+def stretches(texts: list[str]) -> Iterator[tuple[bytes, list[int], list[tuple[int, int]]]]:
+    """Texts as bytes in pieces of bounded size: ``(data, ends, origins)`` with the text and offset that each part of the data comes from.
+
+    A long text is cut into parts that overlap by one byte less than a window, so that every window is in one part.
+    """
+    parts: list[bytes] = []
+    ends: list[int] = []
+    origins: list[tuple[int, int]] = []
+    size = 0
+    for n, text in enumerate(texts):
+        raw = text.encode("utf-8", "surrogatepass")
+        for at in range(0, len(raw) - LENGTH + 1, STRETCH):
+            part = raw[at : at + STRETCH + LENGTH - 1]
+            size += len(part)
+            parts.append(part)
+            ends.append(size)
+            origins.append((n, at))
+            if size >= STRETCH:
+                yield b"".join(parts), ends, origins
+                parts, ends, origins, size = [], [], [], 0
+    if parts:
+        yield b"".join(parts), ends, origins
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -98,47 +132,91 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def intervals(keys: list[bytes], order: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-    """The interval tree of sorted keys: ``(common, i, j)`` for every run ``order[i:j]`` that shares ``common`` bytes, ``least`` at least, and cannot be longer."""
+def intervals(shared: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """The interval tree of a sorted list: ``(common, i, j)`` for every run ``i:j`` that shares ``common`` bytes, ``least`` at least, and cannot be longer.
+
+    ``shared[k]`` is what the elements ``k`` and ``k + 1`` have in common.
+    """
     stack: list[tuple[int, int]] = []
-    for at in range(1, len(order) + 1):
-        shared = common_prefix(keys[order[at - 1]], keys[order[at]]) if at < len(order) else 0
+    for at, common in enumerate([*shared, -1], 1):
         begin = at - 1
-        while stack and stack[-1][0] > shared:
+        while stack and stack[-1][0] > common:
             depth, begin = stack.pop()
             yield depth, begin, at
-        if shared >= least and (not stack or stack[-1][0] < shared):
-            stack.append((shared, begin))
+        if common >= least and (not stack or stack[-1][0] < common):
+            stack.append((common, begin))
 
 
-def maximal_repeats(before: list[bytes], after: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
-    """``(left, right, members)``: repeats of at least ``length`` bytes around a place, with all suffixes that hold them.
+def _sorted(keys: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Order of the keys, and what neighbours have in common."""
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return np.array(order), [common_prefix(keys[a], keys[b]) for a, b in pairwise(order)]
 
-    ``before`` holds what precedes each suffix, last byte first.  A repeat's members share ``left`` bytes in front and ``right`` behind and differ
-    on both sides; members that share more behind are a repeat of their own.
+
+class _Minima:
+    """Least value of any range of a list, from minima of ranges of doubled width."""
+
+    def __init__(self, values: list[int]):
+        self.levels = [np.array(values)]
+        while len(self.levels[-1]) > (w := 1 << (len(self.levels) - 1)):
+            self.levels.append(np.minimum(self.levels[-1][:-w], self.levels[-1][w:]))
+        self.table = np.zeros((len(self.levels), len(values)), np.int64)
+        for row, level in zip(self.table, self.levels, strict=True):
+            row[: len(level)] = level
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Least values of ``begin:end``, none of them empty."""
+        level = np.log2(end - begin).astype(np.int64)
+        return np.minimum(self.table[level, begin], self.table[level, end - (1 << level)])
+
+
+def maximal_repeats(before: list[bytes], after: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(right, members, left)``: repeats of at least ``length`` bytes around a place, with all suffixes that hold them.
+
+    ``before`` holds what precedes each suffix, last byte first.  Members, in the order of what precedes them, share ``right`` bytes from the place on
+    and no more all together; ``left`` says how many bytes in front neighbours share.  Its least value is what all members share, and
+    there their left extensions differ.
     """
-    by_after = sorted(range(len(after)), key=after.__getitem__)
-    rank = {m: r for r, m in enumerate(by_after)}
-    for right, i, j in intervals(after, by_after, max(1, length - max(map(len, before), default=0))):
-        run = sorted(by_after[i:j], key=before.__getitem__)
-        need = max(0, length - right)
-        if need == 0:
-            whole = common_prefix(before[run[0]], before[run[-1]])
-            if whole == 0:  # left extensions differ at once
-                yield 0, right, run
-        for left, a, b in intervals(before, run, max(1, need)):
-            members = run[a:b]
-            ends = min(members, key=rank.__getitem__), max(members, key=rank.__getitem__)
-            if common_prefix(after[ends[0]], after[ends[1]]) == right:
-                yield left, right, members
+    by_after, shared_after = _sorted(after)
+    by_before, shared_before = _sorted(before)
+    rank = np.empty(len(before), np.int64)
+    rank[by_before] = np.arange(len(before))
+    least = _Minima(shared_before)
+    for right, i, j in intervals(shared_after, max(1, length - max(map(len, before)))):
+        run = np.sort(rank[by_after[i:j]])
+        left = least.of(run[:-1], run[1:])
+        edges = np.nonzero(left < length - right)[0]  # too little in common: other repeats
+        begin = 0
+        for edge in [*edges.tolist(), len(run) - 1]:
+            if edge > begin:
+                yield right, by_before[run[begin : edge + 1]], left[begin:edge]
+            begin = edge + 1
+
+
+def reaches(before: list[bytes], after: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """How far each suffix is repeated in front of its place and from it on, -1 if it is in no repeat.
+
+    Its repeats all hold the place, so that together they reach as far as the farthest on either side.
+    """
+    front, back = np.full(len(before), -1), np.full(len(before), -1)
+    if len(before) == 2:
+        left, right = common_prefix(*before), common_prefix(*after)
+        if left + right >= length:
+            front[:], back[:] = left, right
+        return front, back
+    for right, members, left in maximal_repeats(before, after, length):
+        best = np.maximum(np.concatenate([left, left[-1:]]), np.concatenate([left[:1], left]))
+        front[members] = np.maximum(front[members], best)
+        back[members] = np.maximum(back[members], right)
+    return front, back
 
 
 def _places(docs: DataFrame) -> DataFrame:
     """``(hash)`` of every named place."""
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [named_places(text.encode("utf-8", "surrogatepass"))[1] for text in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["hash"])
+        found = [named_places(data, ends)[1] for data, ends, _ in stretches(batch.column(0).to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), pa.int64())], ["hash"])
 
     return docs.select("text").mapInArrow(each_batch(read), "hash long")
 
@@ -160,20 +238,22 @@ def _suffixes(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         rows: list[list] = [[] for _ in names]
         seen: set[tuple[int, int]] = set()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
-        for i, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            at, h, first, last = named_places(data)
+        ids, fps, texts = (c.to_pylist() for c in batch.columns)
+        for data, ends, origins in stretches(texts):
+            at, h, first, last = named_places(data, ends)
             keep = passing(h, shared.value)
-            signed = h[keep].view(np.int64).tolist()
-            for p, s, a, b in zip(at[keep].tolist(), signed, first[keep].tolist(), last[keep].tolist(), strict=True):
-                around = data[a : b + LENGTH]
-                digest = xxhash.xxh3_128_digest(around, seed=p - a)
+            at, h, first, last = at[keep], h[keep], first[keep], last[keep]
+            part = np.searchsorted(ends, at, "right")
+            for p, s, a, b, k in zip(at.tolist(), h.view(np.int64).tolist(), first.tolist(), last.tolist(), part.tolist(), strict=True):
+                digest = xxhash.xxh3_128_digest(data[a : b + LENGTH], seed=p - a)
                 c1, c2 = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
                 new = (c1, c2) not in seen
                 if new:
                     seen.add((c1, c2))
                 whole = (data[a:p][::-1], data[p : b + LENGTH]) if new else (None, None)
-                for col, v in zip(rows, (s, c1, c2, i, fp, p, p - a, b + LENGTH - p, *whole), strict=True):
+                n, offset = origins[k]
+                place = p - (ends[k - 1] if k else 0) + offset
+                for col, v in zip(rows, (s, c1, c2, ids[n], fps[n], place, p - a, b + LENGTH - p, *whole), strict=True):
                     col.append(v)
                 if len(rows[0]) >= 4096:
                     yield out()
@@ -200,11 +280,8 @@ def _tree_spans(gathered: DataFrame) -> DataFrame:
             if len(kinds) < 2:
                 continue
             ids, before, after = list(kinds), [v[0] for v in kinds.values()], [v[1] for v in kinds.values()]
-            best: dict[int, set[tuple[int, int]]] = {}
-            for left, right, members in maximal_repeats(before, after):
-                for m in members:
-                    best.setdefault(m, set()).add((left, right))
-            out += [(*ids[m], left, right) for m, pairs in best.items() for left, right in pairs]
+            front, back = reaches(before, after)
+            out += [(*ids[m], int(front[m]), int(back[m])) for m in np.nonzero(front >= 0)[0].tolist()]
         columns = list(zip(*out, strict=True)) or [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["c1", "c2", "front", "back"])
 
@@ -227,7 +304,7 @@ def _window_spans(large: DataFrame) -> DataFrame:
     windows = large.select("c1", "c2", "before", "after").mapInArrow(each_batch(read, 16), "w1 long, w2 long, c1 long, c2 long, front long")
     windows = materialise(windows, "windows")
     twice = materialise(windows.distinct().groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n >= 2").drop("n"), "repeated-windows")
-    return windows.join(twice, ["w1", "w2"]).select("c1", "c2", "front", (LENGTH - F.col("front")).alias("back")).distinct()
+    return windows.join(twice, ["w1", "w2"]).groupBy("c1", "c2").agg(F.max("front").alias("front"), (LENGTH - F.min("front")).alias("back"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
