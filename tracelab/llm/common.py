@@ -117,6 +117,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_rng = np.random.default_rng(400)
+BYTE_VALUES = _rng.integers(0, 2**64, (2, 256), np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def power(which: int, n: int, inverse: bool) -> np.ndarray:
+    """Powers of a base, or of its inverse modulo 2**64."""
+    have = _powers.get((which, inverse))
+    if have is None or len(have) < n:
+        base = pow(_BASES[which], -1, 2**64) if inverse else _BASES[which]
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        have = np.cumprod(steps, dtype=np.uint64)
+        if n <= 1 << 20:
+            _powers[which, inverse] = have
+    return have[:n]
+
+
 BITS = 26  # a filter of hashes has 2**BITS bits, whatever the number of hashes
 
 

@@ -12,6 +12,7 @@ others, links join components, and only pairs across components go on to the nex
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.quantile import let
-from tracelab.llm.common import LOWER, UPPER, each_batch, hash_filter, identified, mixed, passing
+from tracelab.llm.common import BYTE_VALUES, each_batch, hash_filter, identified, mixed, passing, power
 from tracelab.session import materialise
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-FOLD = str.maketrans(UPPER, LOWER)
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+IS_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+FOLDED = BYTE_VALUES[0].copy()
+FOLDED[65:91] = FOLDED[97:123]
+STRETCH = 1 << 18  # bytes that are hashed at a time
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 32  # coordinates of a point
@@ -32,16 +36,65 @@ LEAF = 64  # points of a leaf
 NARROW = 0.7  # smallest size over largest in one size class
 
 
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``size`` words; a shorter text is one run, a text without words has none."""
-    words = np.array([xxhash.xxh64_intdigest(w) for w in WORD.findall(text.translate(FOLD))], np.uint64)
-    if not len(words):
-        return words
-    runs = max(1, len(words) - size + 1)
-    total = np.full(runs, min(size, len(words)), np.uint64)
-    for k in range(min(size, len(words))):
-        total = mixed(total * np.uint64(0x2545F4914F6CDD1D) + words[k : k + runs])
-    return np.unique(total)
+def _parts(texts: list[str]) -> Iterator[tuple[bytes, list[int], list[int]]]:
+    """Texts as bytes in pieces of bounded size, cut between words: ``(data, ends, owners)`` with the text that each part belongs to."""
+    parts: list[bytes] = []
+    ends: list[int] = []
+    owners: list[int] = []
+    size = 0
+    for n, text in enumerate(texts):
+        raw = text.encode("utf-8", "surrogatepass")
+        at = 0
+        while at < len(raw):
+            cut = BLANK.search(raw, at + STRETCH)
+            end = cut.end() if cut else len(raw)
+            parts.append(raw[at:end] + b" ")
+            at = end
+            size += len(parts[-1])
+            ends.append(size)
+            owners.append(n)
+            if size >= STRETCH:
+                yield b"".join(parts), ends, owners
+                parts, ends, owners, size = [], [], [], 0
+    if parts:
+        yield b"".join(parts), ends, owners
+
+
+def words(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of the words of each text, A-Z as a-z, in order: sums of byte values times powers, brought to a common place."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for data, ends, owners in _parts(texts):
+        raw = np.frombuffer(data, np.uint8)
+        inside = ~IS_BLANK[raw]
+        edge = np.diff(np.concatenate([[False], inside]).astype(np.int8))
+        starts, stops = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]  # the data ends in a blank
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(FOLDED[raw] * power(0, len(raw), False), dtype=np.uint64, out=sums[1:])
+        hashes = mixed((sums[stops] - sums[starts]) * power(0, len(raw), True)[starts])
+        for n, part in zip(owners, np.split(hashes, np.searchsorted(starts, ends[:-1])), strict=True):
+            found[n].append(part)
+    none = np.zeros(0, np.uint64)
+    return [f[0] if len(f) == 1 else np.concatenate([none, *f]) for f in found]
+
+
+def shingles(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text, sorted distinct hashes of all runs of ``size`` words; a shorter text is one run, a text without words has none."""
+    each = words(texts)
+    everything = np.concatenate([np.zeros(0, np.uint64), *each])
+
+    def runs(row: np.ndarray, width: int) -> np.ndarray:
+        total = np.full(max(len(row) - width + 1, 0), width, np.uint64)
+        for k in range(width):
+            total = mixed(total * np.uint64(0x2545F4914F6CDD1D) + row[k : k + len(total)])
+        return total
+
+    whole = runs(everything, size)
+    out, at = [], 0
+    for row in each:
+        n = len(row)
+        out.append(np.unique(whole[at : at + n - size + 1]) if n >= size else runs(row, n) if n else row)
+        at += n
+    return out
 
 
 def largest_difference(total: int, percent: int) -> int:
@@ -75,10 +128,11 @@ def gathering_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         parts = d + 1 + 2 * spare
         spread = mixed(hashes ^ mixed(np.array([c + 1], np.uint64)))
         group = (spread >> np.uint64(33)) % np.uint64(parts)
-        sums, counts = np.zeros(parts, np.uint64), np.bincount(group.astype(np.int64), minlength=parts)
-        np.add.at(sums, group.astype(np.int64), spread)
-        chosen = np.argsort(counts, kind="stable")[spare:].astype(np.uint64)
-        keys.append(mixed(sums[chosen.astype(np.int64)] + mixed(chosen * np.uint64(1009) + np.uint64(c))))
+        group = group.view(np.int64)
+        sums, counts = np.zeros(parts, np.uint64), np.bincount(group, minlength=parts)
+        np.add.at(sums, group, spread)
+        chosen = np.argsort(counts, kind="stable")[spare:]
+        keys.append(mixed(sums[chosen] + mixed(chosen.view(np.uint64) * np.uint64(1009) + np.uint64(c))))
     return np.concatenate(keys)
 
 
@@ -96,7 +150,7 @@ def _signed(base: DataFrame, size: int) -> DataFrame:
     """``(id, fp, n, s1, s2)``: size and signature of every row's set."""
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
+        sets = shingles(batch.column(2).to_pylist(), size)
         marks = [signature(s) for s in sets]
         columns = [[len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks]]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], ["id", "fp", "n", "s1", "s2"])
@@ -109,8 +163,7 @@ def _keyed(base: DataFrame, size: int, percent: int) -> DataFrame:
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         owners, keys = [], []
-        for text in batch.column(0).to_pylist():
-            s = shingles(text, size)
+        for s in shingles(batch.column(0).to_pylist(), size):
             k = gathering_keys(s, percent)
             owners.append(np.full(len(k), signature(s)[0]))
             keys.append(k.view(np.int64))
@@ -127,8 +180,8 @@ def _members(base: DataFrame, bits: np.ndarray, size: int, percent: int) -> Data
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[list] = [[] for _ in names]
-        for i, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            s = shingles(text, size)
+        ids, fps, texts = (c.to_pylist() for c in batch.columns)
+        for i, fp, s in zip(ids, fps, shingles(texts, size), strict=True):
             k = gathering_keys(s, percent)
             k = np.unique(k[passing(k, shared.value)])
             if len(k):

@@ -15,37 +15,20 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import each_batch, hash_filter, identified, mixed, passing, same_row
+from tracelab.llm.common import BYTE_VALUES, each_batch, hash_filter, identified, mixed, passing, power, same_row
 from tracelab.session import materialise
 
 LENGTH = 400
 GRAM = 100
 REACH = LENGTH - GRAM  # farthest a window may start in front of the place it names
-GATHERED = 5_000  # suffixes in one tree; larger gatherings compare their windows by hash, which any number of tasks can share
+GATHERED = 20_000  # suffixes in one tree; larger gatherings compare their windows by hash, which any number of tasks can share
 PER_TASK = 20_000
 STRETCH = 1 << 18  # bytes that are hashed at a time
-
-_rng = np.random.default_rng(400)
-_VALUES = _rng.integers(0, 2**64, (2, 256), np.uint64)
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def _power(which: int, n: int, inverse: bool) -> np.ndarray:
-    """Powers of a base, or of its inverse modulo 2**64."""
-    have = _powers.get((which, inverse))
-    if have is None or len(have) < n:
-        base = pow(_BASES[which], -1, 2**64) if inverse else _BASES[which]
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
-        if n <= 1 << 20:
-            _powers[which, inverse] = have
-    return have[:n]
-
+SENT = 500_000  # kinds of suffix that a task remembers having sent
 
 def string_hashes(data: bytes, size: int, which: int = 0) -> np.ndarray:
     """A hash of every string of ``size`` bytes."""
@@ -53,8 +36,8 @@ def string_hashes(data: bytes, size: int, which: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[which][np.frombuffer(data, np.uint8)] * _power(which, len(data), False), dtype=np.uint64, out=sums[1:])
-    return mixed((sums[size:] - sums[:-size]) * _power(which, n, True))
+    np.cumsum(BYTE_VALUES[which][np.frombuffer(data, np.uint8)] * power(which, len(data), False), dtype=np.uint64, out=sums[1:])
+    return mixed((sums[size:] - sums[:-size]) * power(which, n, True))
 
 
 def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -228,15 +211,21 @@ def _suffixes(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """Suffixes at named places that the filter passes.
 
     ``c1, c2`` is a hash of the bytes that the place's windows cover, ``front`` before it and ``back`` from it on.  The bytes themselves come
-    with the first suffix of their kind in a batch.
+    with the first suffix of their kind in a task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     names = [f.split()[0] for f in SUFFIX.split(", ")]
     kinds = [pa.int64()] * 8 + [pa.binary()] * 2
 
+    sent: dict[int, set[int]] = {}
+
     def read(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows: list[list] = [[] for _ in names]
-        seen: set[tuple[int, int]] = set()
+        task = TaskContext.get().taskAttemptId()
+        if task not in sent:  # what this task has sent; bounded, since to send bytes again does no harm
+            sent.clear()
+            sent[task] = set()
+        seen = sent[task]
         out = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
         ids, fps, texts = (c.to_pylist() for c in batch.columns)
         for data, ends, origins in stretches(texts):
@@ -247,9 +236,11 @@ def _suffixes(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for p, s, a, b, k in zip(at.tolist(), h.view(np.int64).tolist(), first.tolist(), last.tolist(), part.tolist(), strict=True):
                 digest = xxhash.xxh3_128_digest(data[a : b + LENGTH], seed=p - a)
                 c1, c2 = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-                new = (c1, c2) not in seen
+                new = c1 not in seen
                 if new:
-                    seen.add((c1, c2))
+                    if len(seen) >= SENT:
+                        seen.clear()
+                    seen.add(c1)
                 whole = (data[a:p][::-1], data[p : b + LENGTH]) if new else (None, None)
                 n, offset = origins[k]
                 place = p - (ends[k - 1] if k else 0) + offset
@@ -317,7 +308,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suffixes = materialise(_suffixes(base, hash_filter(twice, "hash")), "suffixes")
     same = suffixes.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n >= 2").select("c1", "c2", F.lit(None).cast("long").alias("front"), F.lit(None).cast("long").alias("back"))
     bytes_of = suffixes.where(F.col("before").isNotNull()).select("hash", "c1", "c2", "before", "after")
-    sizes = materialise(bytes_of.groupBy("hash").agg(F.count("*").alias("n")).where("n >= 2"), "gatherings")
+    sizes = materialise(suffixes.select("hash", "c1", "c2").distinct().groupBy("hash").agg(F.count("*").alias("n")).where("n >= 2"), "gatherings")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     gathered = bytes_of.join(sizes, "hash")
     buckets = max(1, total // PER_TASK)
