@@ -280,7 +280,10 @@ def _tree_spans(gathered: DataFrame) -> DataFrame:
 
 
 def _window_spans(large: DataFrame) -> DataFrame:
-    """The same for gatherings of any size: hashes of all their windows, counted."""
+    """The same for gatherings of any size: hashes of all their windows, counted.
+
+    Equal windows name a place at the same distance; a window that names two places is met once for each.
+    """
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         c1, c2, before, after = (c.to_pylist() for c in batch.columns)
@@ -294,8 +297,8 @@ def _window_spans(large: DataFrame) -> DataFrame:
 
     windows = large.select("c1", "c2", "before", "after").mapInArrow(each_batch(read, 16), "w1 long, w2 long, c1 long, c2 long, front long")
     windows = materialise(windows, "windows")
-    twice = materialise(windows.distinct().groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n >= 2").drop("n"), "repeated-windows")
-    return windows.join(twice, ["w1", "w2"]).groupBy("c1", "c2").agg(F.max("front").alias("front"), (LENGTH - F.min("front")).alias("back"))
+    twice = materialise(windows.distinct().groupBy("w1", "w2", "front").agg(F.count("*").alias("n")).where("n >= 2").drop("n"), "repeated-windows")
+    return windows.join(twice, ["w1", "w2", "front"]).groupBy("c1", "c2").agg(F.max("front").alias("front"), (LENGTH - F.min("front")).alias("back"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
