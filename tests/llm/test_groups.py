@@ -169,7 +169,7 @@ def test_quality_on_unseen_labels(spark):
     verdict = quality.judged(docs, seen).withColumnRenamed("id", "doc_id")
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     share = {r.good: r.kept for r in verdict.join(held, "doc_id").groupBy(good.alias("good")).agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
-    assert share[True] > 0.97 and share[False] < 0.1
+    assert share[True] > 0.98 and share[False] < 0.2, share
 
 
 def test_quality_without_labels_and_with_odd_rows(spark, docs, rows):

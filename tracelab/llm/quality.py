@@ -70,7 +70,7 @@ def fit(base: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> TextModel:
     vectors = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_words", outputCol="_vector").transform(rows)
     learner = LogisticRegression(
         featuresCol="_vector", labelCol="good", rawPredictionCol="_raw", probabilityCol="_chance", predictionCol="_verdict",
-        regParam=2e-4, elasticNetParam=0.0, standardization=False, maxIter=100,
+        regParam=2e-5, elasticNetParam=0.0, standardization=False, maxIter=100,
     )
     return TextModel(learner.fit(vectors), 0.5)
 
