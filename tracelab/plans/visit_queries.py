@@ -30,6 +30,8 @@ def day_text(c):
 def qday(expr):
     return f"strftime({expr}, '%Y-%m-%d')"
 
+TRANSITIONS = [f"{a}To{b}" for a in range(1, 6) for b in range(1, 6)]
+
 
 @query("e1_previous_scores", f"WITH {V}, {LAB} SELECT visit_id, prev1, prev2, prev3, prev4, label FROM lab")
 def _(spark, sf):
@@ -173,12 +175,11 @@ def _(spark, sf):
 
 @query(
     "b13_one_hot",
-    f"WITH {V}, {LAB} SELECT visit_id, (label = '1To1')::INT AS \"is_1To1\", (label = '1To2')::INT AS \"is_1To2\","
-    " (label = '2To2')::INT AS \"is_2To2\" FROM lab",
+    f"WITH {V}, {LAB} SELECT visit_id, " + ", ".join(f"(label = '{k}')::INT AS \"is_{k}\"" for k in TRANSITIONS) + " FROM lab",
 )
 def _(spark, sf):
-    out = labels.one_hot(labelled(spark, sf), ["1To1", "1To2", "2To2"])
-    return out.select("visit_id", "is_1To1", "is_1To2", "is_2To2")
+    out = labels.one_hot(labelled(spark, sf), TRANSITIONS)
+    return out.select("visit_id", *[f"is_{k}" for k in TRANSITIONS])
 
 
 @query("b14_season", f"WITH {V} SELECT visit_id, (month(visit_date) % 12 // 3 + 1)::INT AS season FROM v")

@@ -24,9 +24,12 @@ def write_traces(df: DataFrame, path: str) -> None:
 
 
 def write_rollups(df: DataFrame, path: str, resolutions: Sequence[str] = RESOLUTIONS) -> None:
-    """Every resolution of the records as one table partitioned by farm and resolution."""
-    farms = df.select("series_id", "farm_id").distinct()
-    rolled = rollups(df, resolutions).join(farms, "series_id")
+    """Every resolution of the records as one table partitioned by farm and resolution.
+
+    A series seen in two farms is rolled up in each by itself.
+    """
+    rolled = rollups(df.withColumn("series_id", F.struct("farm_id", "series_id")), resolutions)
+    rolled = rolled.withColumn("farm_id", F.col("series_id.farm_id")).withColumn("series_id", F.col("series_id.series_id"))
     spread = rolled.repartitionByRange("farm_id", "resolution", "series_id", "bucket")
     ordered = spread.sortWithinPartitions("farm_id", "resolution", "series_id", "bucket")
     ordered.write.mode("overwrite").partitionBy("farm_id", "resolution").parquet(path)
@@ -63,13 +66,13 @@ def read_samples(spark: SparkSession, path: str, meta: Sequence[str] = META) ->
 
 
 def long_export(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """``(id, time, variable, value)`` rows without repeats."""
-    return df.unpivot(list(ids), list(values), "variable", "value").dropDuplicates([*ids, "variable"])
+    """``(id, time, variable, value)`` rows without repeats, the least value of each."""
+    return df.unpivot(list(ids), list(values), "variable", "value").groupBy(*ids, "variable").agg(F.min("value").alias("value"))
 
 
 def wide_export(df: DataFrame, series: Sequence[int]) -> DataFrame:
-    """One column per stated series, one row per time."""
-    wide = df.dropDuplicates(["series_id", "ts"]).groupBy("ts").pivot("series_id", list(series)).agg(F.first("value"))
+    """One column per stated series, one row per time; of repeated values the least."""
+    wide = df.groupBy("ts").pivot("series_id", list(series)).agg(F.min("value"))
     return wide.orderBy("ts")
 
 
@@ -79,10 +82,14 @@ def write_per_series(df: DataFrame, path: str, names: dict[str, str]) -> None:
     renamed.repartition("series_id").write.mode("overwrite").partitionBy("series_id").option("header", True).csv(path)
 
 
-def read_results(spark: SparkSession, path: str, schema: str, config: dict[str, str]) -> DataFrame:
-    """Result JSON below a folder, the configuration cut out of each path (A7): ``{column: pattern}``."""
-    raw = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-    return with_path_columns(raw, config)
+def read_results(spark: SparkSession, path: str, schema: str, config: dict[str, str], *, lines: bool = True) -> DataFrame:
+    """Result JSON below a folder, the configuration cut out of each path (A7): ``{column: pattern}``.
+
+    ``lines``: one result per line; otherwise each file is one result, or a list of them, laid out over any number of lines.  What does not
+    parse is an error.
+    """
+    raw = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    return with_path_columns(raw.option("multiLine", not lines).option("mode", "FAILFAST").json(path), config)
 
 
 def read_experiments(spark: SparkSession, path: str, schema: str, config: dict[str, str]) -> DataFrame:
