@@ -221,21 +221,13 @@ def resample_with(df: DataFrame, resolution: str, how: dict[str, str]) -> DataFr
 
 
 def shrink_to_width(df: DataFrame, width: int) -> DataFrame:
-    """Sum a gridded series into ``width`` equal bins by position, with the bin's last time.
+    """Sum a gridded series into at most ``width`` equal bins by position, with the bin's last time.
 
-    A series for which some bin would stay empty is returned point by point, unbinned.
+    One rule for series of any length: of a series shorter than ``width``, some bins stay empty.
     """
     size = df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    joined = df.join(size, "series_id").withColumn(
-        "bin", F.bround(F.col("pos") / (F.col("n") / F.lit(float(width)))).cast("long")
-    )
-    # bins 0..width are all hit exactly when the last position reaches the last bin
-    fits = F.bround((F.col("n") - 1) / (F.col("n") / F.lit(float(width)))) == width
-    return (
-        joined.withColumn("bin", F.when(fits, F.col("bin")).otherwise(F.col("pos")))
-        .groupBy("series_id", "bin")
-        .agg(F.sum("value").alias("value"), F.max("ts").alias("last_ts"))
-    )
+    binned = df.join(size, "series_id").withColumn("bin", F.expr(f"pos * {int(width)}L div n"))
+    return binned.groupBy("series_id", "bin").agg(F.sum("value").alias("value"), F.max("ts").alias("last_ts"))
 
 
 def crop_to_blocks(df: DataFrame, block: int) -> DataFrame:

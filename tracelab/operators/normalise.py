@@ -89,16 +89,6 @@ def quotient(df: DataFrame, *, residual: bool = False, peaks: bool = False) -> D
     return out.drop("_m")
 
 
-def peak_positions(width: int, span: int = 240) -> list[int]:
-    """Positions kept by the peak filter: one cell around every other stride."""
-    peaks = -(-width // span)
-    stride = int(width / peaks / 2)
-    if peaks == 1:
-        return [stride - 1, stride, stride + 1]
-    centres = range(stride, width, stride)
-    return sorted({p for i, c in enumerate(centres) if i % 2 == 0 for p in (c - 1, c)})
-
-
 def peak_filter(df: DataFrame, span: int = 240, width: int | None = None) -> DataFrame:
     """Null every cell that is not beside a peak (N2); ``width`` defaults to the array's own."""
     w = F.lit(width) if width else F.size("features")

@@ -88,8 +88,9 @@ def stft_power(df: DataFrame, width: int) -> DataFrame:
 
 
 def dyadic_scales(octaves: int, step: float = 0.1, every: int = 1) -> list[float]:
-    """``2**n`` for n from 1 in steps up to ``octaves``, optionally thinned."""
-    return [float(2**n) for n in np.arange(1, octaves + 1, step)][::every]
+    """Scales from 2 on over the given octaves, ``1 / step`` voices in each, optionally thinned."""
+    voices = round(1 / step)
+    return [2.0 ** (1 + i / voices) for i in range(0, octaves * voices, every)]
 
 
 def wavelet_hat(wavelet: str, f0: float) -> tuple[Callable[[np.ndarray], np.ndarray], float]:
@@ -119,9 +120,11 @@ def cwt_array(x: np.ndarray, scales: Sequence[float], wavelet: str, f0: float) -
 def influence_limit(n: int, scales: int, wavelet: str = "morlet", f0: float = 6.0) -> np.ndarray:
     """First masked scale index per position: the log cone stretched over the scale axis (S3)."""
     _, wavelength = wavelet_hat(wavelet, f0)
-    cone = wavelength / np.sqrt(2) * (n / 2 - np.abs(np.arange(n) - (n - 1) / 2))
-    logs = np.log(cone)
-    return np.interp(logs, (logs.min(), logs.max()), (0, scales)).astype(int)
+    from_edge = 0.5 + np.minimum(np.arange(n), np.arange(n)[::-1])  # the cone is as wide as a position is far from its nearer end
+    height = np.log2(from_edge * wavelength / np.sqrt(2))
+    height -= height[0]
+    top = height.max()
+    return np.floor(scales * (height / top if top > 0 else height)).astype(int)
 
 
 def cwt_magnitude(

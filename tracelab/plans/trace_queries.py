@@ -522,8 +522,7 @@ def _(spark, sf):
 @query(
     "t17_screen_width",
     f"WITH {HOURLY}, n AS (SELECT series_id, count(*) AS n FROM g GROUP BY 1),"
-    " x AS (SELECT g.*, CASE WHEN round_even((n - 1) / (n / 100.0::DOUBLE), 0) = 100"
-    " THEN round_even(pos / (n / 100.0::DOUBLE), 0)::BIGINT ELSE pos END AS bin FROM g JOIN n USING (series_id))"
+    " x AS (SELECT g.*, (pos * 100) // n AS bin FROM g JOIN n USING (series_id))"
     f" SELECT series_id, bin, {q6('sum(value)')} AS value, {qsecs('max(ts)')} AS last_s FROM x GROUP BY 1, 2",
 )
 def _(spark, sf):
