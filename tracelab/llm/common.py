@@ -6,6 +6,7 @@ its id and a fingerprint of its text: rows that repeat both are equal, and every
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -136,6 +137,58 @@ def power(which: int, n: int, inverse: bool) -> np.ndarray:
     return have[:n]
 
 
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+IS_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+IS_SIGN = np.array([b < 128 and not chr(b).isalnum() and chr(b) != "_" for b in range(256)])
+TEXT_BYTES = 1 << 18  # bytes whose words are hashed at a time
+FOLDED = BYTE_VALUES[0].copy()
+FOLDED[65:91] = FOLDED[97:123]
+
+
+def _word_parts(texts: list[str]) -> Iterator[tuple[bytes, list[int], list[int]]]:
+    """Texts as bytes in pieces of bounded size, cut between words: ``(data, ends, owners)`` with the text that each part belongs to."""
+    parts: list[bytes] = []
+    ends: list[int] = []
+    owners: list[int] = []
+    size = 0
+    for n, text in enumerate(texts):
+        raw = text.encode("utf-8", "surrogatepass")
+        at = 0
+        while at < len(raw):
+            cut = BLANK.search(raw, at + TEXT_BYTES)
+            end = cut.end() if cut else len(raw)
+            parts.append(raw[at:end] + b" ")
+            at = end
+            size += len(parts[-1])
+            ends.append(size)
+            owners.append(n)
+            if size >= TEXT_BYTES:
+                yield b"".join(parts), ends, owners
+                parts, ends, owners, size = [], [], [], 0
+    if parts:
+        yield b"".join(parts), ends, owners
+
+
+def words(texts: list[str], between: np.ndarray = IS_BLANK) -> list[np.ndarray]:
+    """Hashes of the words of each text, A-Z as a-z, in order: sums of byte values times powers, brought to a common place.
+
+    ``between`` says which bytes are between words; blanks must be.
+    """
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for data, ends, owners in _word_parts(texts):
+        raw = np.frombuffer(data, np.uint8)
+        inside = ~between[raw]
+        edge = np.diff(np.concatenate([[False], inside]).astype(np.int8))
+        starts, stops = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]  # the data ends in a blank
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(FOLDED[raw] * power(0, len(raw), False), dtype=np.uint64, out=sums[1:])
+        hashes = mixed((sums[stops] - sums[starts]) * power(0, len(raw), True)[starts])
+        for n, part in zip(owners, np.split(hashes, np.searchsorted(starts, ends[:-1])), strict=True):
+            found[n].append(part)
+    none = np.zeros(0, np.uint64)
+    return [f[0] if len(f) == 1 else np.concatenate([none, *f]) for f in found]
+
+
 BITS = 26  # a filter of hashes has 2**BITS bits, whatever the number of hashes
 
 

@@ -7,16 +7,13 @@ although some of its words were replaced.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.functions.quantile import let
-from tracelab.llm.common import each_batch, hash_filter, identified, mixed, passing, same_row
+from tracelab.llm.common import IS_SIGN, each_batch, hash_filter, identified, mixed, passing, same_row, words
 from tracelab.session import materialise
 
 # fixed values: places of a twelve-token window that a seed reads; each place is ignored by one mask
@@ -24,12 +21,11 @@ MASKS = ("011011011011", "101101101101", "110110110110")
 SPAN = 12
 OVERLAP = 13
 SHARE = 0.8
-WORD = re.compile(r"\w+")
 
 
-def tokens(text: str) -> np.ndarray:
-    """Hashes of the lower-cased words."""
-    return np.array([xxhash.xxh64_intdigest(w) for w in WORD.findall(text.lower())], np.uint64)
+def tokens(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of each text's words: runs of letters, digits and underscores, all beyond ASCII among them, A-Z lower-cased."""
+    return words(texts, IS_SIGN)
 
 
 def seeds(toks: np.ndarray) -> np.ndarray:
@@ -52,8 +48,7 @@ def _benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         toks, found = [], []
-        for text in batch.column(2).to_pylist():
-            t = tokens(text)
+        for t in tokens(batch.column(2).to_pylist()):
             s = seeds(t)
             toks.append(t.view(np.int64))
             found.append(s.T.reshape(-1).view(np.int64))
@@ -71,19 +66,22 @@ def _regions(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = shared.value
         rows: list[list] = [[] for _ in range(6)]
-        for i, fp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            t = tokens(text)
-            s = seeds(t)
-            hit_mask, hit_at = np.nonzero(passing(s, bits))
-            if not len(hit_at):
-                continue
-            order = np.argsort(hit_at, kind="stable")
-            hit_mask, hit_at = hit_mask[order], hit_at[order]
-            groups = np.split(np.arange(len(hit_at)), np.nonzero(np.diff(hit_at) > 2 * OVERLAP + SPAN)[0] + 1)
-            for g in groups:
-                start, end = max(0, int(hit_at[g[0]]) - OVERLAP), int(hit_at[g[-1]]) + SPAN + OVERLAP
-                for k, v in enumerate((i, fp, start, t[start:end].view(np.int64), s[hit_mask[g], hit_at[g]].view(np.int64), hit_at[g].astype(np.int64))):
-                    rows[k].append(v)
+        ids, fps, texts = (c.to_pylist() for c in batch.columns)
+        each = tokens(texts)
+        t = np.concatenate([np.zeros(0, np.uint64), *each])
+        owner = np.repeat(np.arange(len(each)), [len(e) for e in each])
+        begin = np.cumsum([0, *(len(e) for e in each)])
+        s = seeds(t)
+        inside = owner[: s.shape[1]] == owner[SPAN - 1 :][: s.shape[1]]  # windows do not cross from one text to the next
+        hit_at, hit_mask = np.nonzero((passing(s, bits) & inside).T)
+        if len(hit_at):
+            new = (np.diff(hit_at) > 2 * OVERLAP + SPAN) | (np.diff(owner[hit_at]) > 0)
+            for g in np.split(np.arange(len(hit_at)), np.nonzero(new)[0] + 1):
+                n = int(owner[hit_at[g[0]]])
+                start, end = max(int(begin[n]), int(hit_at[g[0]]) - OVERLAP), min(int(begin[n + 1]), int(hit_at[g[-1]]) + SPAN + OVERLAP)
+                found = s[hit_mask[g], hit_at[g]].view(np.int64)
+                for col, v in zip(rows, (ids[n], fps[n], start - int(begin[n]), t[start:end].view(np.int64), found, hit_at[g] - begin[n]), strict=True):
+                    col.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "fp", "start", "tokens", "seeds", "places"])
 
@@ -100,7 +98,7 @@ def overlaps(
     A stretch is a window of ``overlap`` (at most ``OVERLAP``) words in which at least ``share`` of the words are equal place by place, found
     through a twelve-word window in it with all words of one mask equal; an item of twelve words needs the whole of itself, and one of
     fewer words is no evidence.  ``n_same`` of ``n_compared`` words around the stretch are equal (the best alignment counts).  Words are
-    compared in lower case.  Null or empty texts hold nothing; rows that repeat id and text are one row of the result; null ids are kept.
+    compared with A-Z in lower case and without signs.  Null or empty texts hold nothing; rows that repeat id and text are one row of the result; null ids are kept.
     Without documents or without items the result is empty; extra columns are not carried.
     """
     if not SPAN <= overlap <= OVERLAP:

@@ -11,9 +11,6 @@ others, links join components, and only pairs across components go on to the nex
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,14 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.quantile import let
-from tracelab.llm.common import BYTE_VALUES, each_batch, hash_filter, identified, mixed, passing, power
+from tracelab.llm.common import each_batch, hash_filter, identified, mixed, passing, words
 from tracelab.session import materialise
 
-BLANK = re.compile(rb"[\x20\x09-\x0D]")
-IS_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
-FOLDED = BYTE_VALUES[0].copy()
-FOLDED[65:91] = FOLDED[97:123]
-STRETCH = 1 << 18  # bytes that are hashed at a time
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 32  # coordinates of a point
@@ -36,47 +28,6 @@ LEAF = 64  # points of a leaf
 NARROW = 0.7  # smallest size over largest in one size class
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[bytes, list[int], list[int]]]:
-    """Texts as bytes in pieces of bounded size, cut between words: ``(data, ends, owners)`` with the text that each part belongs to."""
-    parts: list[bytes] = []
-    ends: list[int] = []
-    owners: list[int] = []
-    size = 0
-    for n, text in enumerate(texts):
-        raw = text.encode("utf-8", "surrogatepass")
-        at = 0
-        while at < len(raw):
-            cut = BLANK.search(raw, at + STRETCH)
-            end = cut.end() if cut else len(raw)
-            parts.append(raw[at:end] + b" ")
-            at = end
-            size += len(parts[-1])
-            ends.append(size)
-            owners.append(n)
-            if size >= STRETCH:
-                yield b"".join(parts), ends, owners
-                parts, ends, owners, size = [], [], [], 0
-    if parts:
-        yield b"".join(parts), ends, owners
-
-
-def words(texts: list[str]) -> list[np.ndarray]:
-    """Hashes of the words of each text, A-Z as a-z, in order: sums of byte values times powers, brought to a common place."""
-    found: list[list[np.ndarray]] = [[] for _ in texts]
-    for data, ends, owners in _parts(texts):
-        raw = np.frombuffer(data, np.uint8)
-        inside = ~IS_BLANK[raw]
-        edge = np.diff(np.concatenate([[False], inside]).astype(np.int8))
-        starts, stops = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]  # the data ends in a blank
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(FOLDED[raw] * power(0, len(raw), False), dtype=np.uint64, out=sums[1:])
-        hashes = mixed((sums[stops] - sums[starts]) * power(0, len(raw), True)[starts])
-        for n, part in zip(owners, np.split(hashes, np.searchsorted(starts, ends[:-1])), strict=True):
-            found[n].append(part)
-    none = np.zeros(0, np.uint64)
-    return [f[0] if len(f) == 1 else np.concatenate([none, *f]) for f in found]
-
-
 def shingles(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     """For each text, sorted distinct hashes of all runs of ``size`` words; a shorter text is one run, a text without words has none."""
     each = words(texts)
