@@ -2,7 +2,9 @@
 
 import pytest
 
+from tracelab.operators.normalise import apply_steps
 from tracelab.plans.catalogue import QUERIES
+from tracelab.plans.sample_queries import samples
 
 SF = "/root/testdata/sf0.001"
 PYTHON = ("s1", "s2", "s3", "s4", "s5", "s6", "s7", "s9", "s10", "m10_near")
@@ -38,6 +40,15 @@ def test_zoom_prunes_partitions(spark):
     assert "PartitionFilters: [isnotnull(resolution" in text and "= 10 minutes" in text
 
 
+def test_plans_grow_by_one_scan_with_each_fit(spark):
+    data = samples(spark, SF)
+    scans = []
+    for n in range(1, 5):
+        steps = ["STANDARDSCALER", "MINMAX", "CENTER", "QN"][:n]
+        scans.append(apply_steps(data, steps)._jdf.queryExecution().optimizedPlan().toString().count("parquet"))
+    assert all(b - a <= 1 for a, b in zip(scans, scans[1:])), scans
+
+
 def test_interval_join_is_an_equi_join(spark):
     text = plan(spark, "c1_interval_join")
     assert "HashJoin" in text or "SortMergeJoin" in text

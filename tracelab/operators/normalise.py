@@ -15,6 +15,7 @@ from tracelab.functions import scalar
 from tracelab.functions.quantile import array_median, let, medians
 from tracelab.operators.joins import zip_features
 from tracelab.operators.samples import sum_bins
+from tracelab.session import materialise
 
 Stats = dict[str, Callable[[Column], Column]]
 
@@ -41,8 +42,14 @@ def as_params(per: DataFrame, names: Sequence[str]) -> DataFrame:
     return per.groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("params"))
 
 
-def transform_positions(df: DataFrame, params: DataFrame, fn: Callable[[Column, Column], Column]) -> DataFrame:
+def settled(params: DataFrame, once: bool) -> DataFrame:
+    """Fitted parameters, with ``once`` as a table of one row, so that a later fit does not plan and run this one again."""
+    return materialise(params, "fit") if once else params
+
+
+def transform_positions(df: DataFrame, params: DataFrame, fn: Callable[[Column, Column], Column], *, once: bool = False) -> DataFrame:
     """Apply ``fn(x, parameters of the position)`` to every cell (K2)."""
+    params = settled(params, once)
     return (
         df.withColumn("_p", params.scalar())
         .withColumn("features", F.zip_with("features", "_p", lambda x, p: fn(x, p)))
@@ -62,7 +69,7 @@ def array_sum(arr: Column) -> Column:
 # -- quotient normalisation --------------------------------------------------
 
 
-def quotient(df: DataFrame, *, residual: bool = False, peaks: bool = False) -> DataFrame:
+def quotient(df: DataFrame, *, residual: bool = False, peaks: bool = False, once: bool = False) -> DataFrame:
     """Divide each sample by the median of its ratios to the positions' medians.
 
     ``residual`` gives ``ln(anscombe(result)) - ln(anscombe(median))`` instead (N3).
@@ -74,6 +81,7 @@ def quotient(df: DataFrame, *, residual: bool = False, peaks: bool = False) -> D
             "params", lambda p: F.when(p["median"] <= 0, F.lit(1.0)).otherwise(p["median"])
         ).alias("medians")
     )
+    params = settled(params, once)
     ratio = F.zip_with("features", "_m", lambda x, m: F.when(x / m > 0, x / m))
 
     def scaled(factor: Column) -> Column:
@@ -108,10 +116,10 @@ def peak_filter(df: DataFrame, span: int = 240, width: int | None = None) -> Dat
 # -- per position ------------------------------------------------------------
 
 
-def standard_scale(df: DataFrame) -> DataFrame:
+def standard_scale(df: DataFrame, *, once: bool = False) -> DataFrame:
     """Zero mean and unit population deviation per position."""
     params = fit_positions(df, {"mean": F.avg, "std": F.stddev_pop})
-    return transform_positions(df, params, lambda x, p: (x - p["mean"]) / F.when(p["std"] > 0, p["std"]).otherwise(F.lit(1.0)))
+    return transform_positions(df, params, lambda x, p: (x - p["mean"]) / F.when(p["std"] > 0, p["std"]).otherwise(F.lit(1.0)), once=once)
 
 
 def centre_positions(df: DataFrame) -> DataFrame:
@@ -123,7 +131,7 @@ def fit_min_max(df: DataFrame) -> DataFrame:
     return fit_positions(df, {"lo": F.min, "hi": F.max})
 
 
-def min_max(df: DataFrame, params: DataFrame | None = None, eps: float = 0.0) -> DataFrame:
+def min_max(df: DataFrame, params: DataFrame | None = None, eps: float = 0.0, *, once: bool = False) -> DataFrame:
     """Scale each position to 0–1 with its own or with stored limits."""
 
     def fn(x: Column, p: Column) -> Column:
@@ -131,7 +139,7 @@ def min_max(df: DataFrame, params: DataFrame | None = None, eps: float = 0.0) ->
         width = span + F.lit(eps) if eps else F.when(span > 0, span).otherwise(F.lit(1.0))
         return (x - p["lo"]) / width
 
-    return transform_positions(df, params if params is not None else fit_min_max(df), fn)
+    return transform_positions(df, params if params is not None else fit_min_max(df), fn, once=once)
 
 
 def inverse_min_max(df: DataFrame, params: DataFrame, eps: float = 0.0) -> DataFrame:
@@ -157,9 +165,9 @@ def l2(df: DataFrame) -> DataFrame:
     return df.withColumn("features", let(divisor, lambda n: F.transform("features", lambda x: x / n)))
 
 
-def centre(df: DataFrame) -> DataFrame:
+def centre(df: DataFrame, *, once: bool = False) -> DataFrame:
     """Subtract the mean over every cell of every sample."""
-    mean = cells_of(df).groupBy().agg(F.avg("x").alias("m")).scalar()
+    mean = settled(cells_of(df).groupBy().agg(F.avg("x").alias("m")), once).scalar()
     return df.withColumn("_m", mean).withColumn("features", F.transform("features", lambda x: x - F.col("_m"))).drop("_m")
 
 
@@ -197,17 +205,17 @@ def last_day_difference(df: DataFrame, day: int, *, append: bool = False) -> Dat
 
 
 def steps_table(day: int) -> dict[str, Callable[[DataFrame], DataFrame]]:
-    """Step name → transformation."""
+    """Step name → transformation; fitted steps run their fit once, as they are applied."""
     return {
         "ANSCOMBE": lambda d: map_cells(d, scalar.anscombe),
         "SQRT": lambda d: map_cells(d, F.sqrt),
         "LOG": lambda d: map_cells(d, scalar.masked_log),
         "EXP": lambda d: map_cells(d, F.exp),
         "L2": l2,
-        "QN": quotient,
-        "MINMAX": min_max,
-        "STANDARDSCALER": standard_scale,
-        "CENTER": centre,
+        "QN": lambda d: quotient(d, once=True),
+        "MINMAX": lambda d: min_max(d, once=True),
+        "STANDARDSCALER": lambda d: standard_scale(d, once=True),
+        "CENTER": lambda d: centre(d, once=True),
         "DIFF": lambda d: day_difference(d, day),
         "DIFFAPPEND": lambda d: day_difference(d, day, append=True),
         "DIFFLASTD": lambda d: last_day_difference(d, day),
@@ -221,6 +229,9 @@ def apply_steps(
 ) -> DataFrame:
     """Apply named steps in order (N11); an unknown name raises before any work.
 
+    A fitted step reads the input through the steps before it, whose parameters are tables by then: its plan grows by one small scan per
+    earlier fit.
+
     ``APPEND`` starts a second branch from the input, whose features follow the first's (G5).
     ``TEMPERATURE``, ``HUMIDITY``, … replace the features by the exogenous arrays of that name,
     with the suffix ``APPEND`` they follow the features (N12).

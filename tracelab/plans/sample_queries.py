@@ -709,6 +709,17 @@ def _(spark, sf):
     return long_features(normalise.apply_steps(counts(spark, sf), ["QN", "ANSCOMBE", "STANDARDSCALER"]))
 
 
+@query(
+    "n11_several_fits",
+    f"WITH {X}, a AS (SELECT pos, avg(x) AS mean, stddev_pop(x) AS std FROM x GROUP BY 1), s AS (SELECT sample_id, pos,"
+    " (x - mean) / CASE WHEN std > 0 THEN std ELSE 1 END AS x FROM x JOIN a USING (pos)), c AS (SELECT sample_id, pos, exp(x - (SELECT avg(x) FROM s)) AS x FROM s),"
+    " b AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM c GROUP BY 1), m AS (SELECT sample_id, pos, sqrt((x - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END) AS x"
+    f" FROM c JOIN b USING (pos)) SELECT sample_id, pos, {q6('x - (SELECT avg(x) FROM m)')} AS x FROM m",
+)
+def _(spark, sf):
+    return long_features(normalise.apply_steps(samples(spark, sf), ["STANDARDSCALER", "CENTER", "EXP", "MINMAX", "SQRT", "CENTER"]))
+
+
 @query(
     "g5_two_branches",
     f"WITH {X}, nn AS (SELECT sample_id, sqrt(sum(x * x)) AS n FROM x GROUP BY 1) SELECT {OUT} FROM (SELECT sample_id, pos, x / n AS x FROM x JOIN nn"
