@@ -86,17 +86,21 @@ def posteriors(scored: DataFrame) -> DataFrame:
     """``(host, path, n_path, prior, p_host, p_path)`` from ``host``, ``path`` and ``p_text`` of all texts."""
     paths = materialise(scored.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum("p_text").alias("s_path")), "path-sums")
     hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
-    whole = hosts.agg(F.sum("n_host").alias("n"), (F.sum("s_host") / F.sum("n_host")).alias("prior"), F.count("*").alias("hosts"))
+    whole = hosts.agg(
+        F.struct(F.sum("n_host").alias("n"), (F.sum("s_host") / F.sum("n_host")).alias("prior"), F.count("*").alias("hosts")).alias("whole")
+    )
+    hosts = hosts.withColumn("whole", whole.scalar()).select("host", "n_host", "s_host", "whole.*")
     off = F.col("s_host") / F.col("n_host") - F.col("prior")
-    spread = hosts.crossJoin(whole).groupBy("n", "prior", "hosts").agg((F.sum(F.col("n_host") * off * off) / F.first("n")).alias("spread"))
-    spread = spread.select("prior", "n", _pull(F.col("n"), F.col("prior"), F.col("spread"), F.col("hosts")).alias("pull"))
-    hosts = hosts.crossJoin(spread).withColumn("p_host", (F.col("s_host") + F.col("pull") * F.col("prior")) / (F.col("n_host") + F.col("pull"))).drop("pull")
-    joined = paths.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).drop("of")
+    spread = F.sum(F.col("n_host") * off * off) / F.sum("n_host")
+    pull = hosts.agg(_pull(F.first("n"), F.first("prior"), spread, F.first("hosts")).alias("pull"))
+    hosts = hosts.withColumn("pull", pull.scalar()).withColumn("p_host", (F.col("s_host") + F.col("pull") * F.col("prior")) / (F.col("n_host") + F.col("pull")))
+    joined = paths.join(hosts.drop("hosts", "pull").withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).drop("of")
     off = F.col("s_path") / F.col("n_path") - F.col("s_host") / F.col("n_host")
-    within = joined.agg((F.sum(F.col("n_path") * off * off) / F.sum("n_path")).alias("spread"), F.count("*").alias("paths"))
-    pull = _pull(F.col("n"), F.col("prior"), F.col("spread"), F.col("paths"))
-    return joined.crossJoin(within).select(
-        "host", "path", "n_path", "prior", "p_host", ((F.col("s_path") + pull * F.col("p_host")) / (F.col("n_path") + pull)).alias("p_path")
+    spread = F.sum(F.col("n_path") * off * off) / F.sum("n_path")
+    pull = joined.agg(_pull(F.first("n"), F.first("prior"), spread, F.count("*")).alias("pull"))
+    return joined.withColumn("pull", pull.scalar()).select(
+        "host", "path", "n_path", "prior", "p_host",
+        ((F.col("s_path") + F.col("pull") * F.col("p_host")) / (F.col("n_path") + F.col("pull"))).alias("p_path"),
     )
 
 
