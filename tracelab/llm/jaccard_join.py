@@ -6,7 +6,7 @@ group counts: leaves of points with their bounding boxes make its R-tree, summed
 and the pairs that survive are verified on the sets themselves.
 
 A gathering's pairs are not all compared.  Sets of one text are one point; a few points of each gathering (its centres) meet the
-others, links join components, and only pairs across components go on to the next round with four times as many centres.
+others, links join components, and only pairs across components go on to the next round with ``GROWTH`` times as many centres.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ SHINGLE = 3
 PERCENT = 90
 GROUPS = 32  # coordinates of a point
 LEAF = 64  # points of a leaf
+GROWTH = 16  # each round takes so many times the centres of the one before
 NARROW = 0.7  # smallest size over largest in one size class
 
 
@@ -155,13 +156,17 @@ def enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``(node, comp)``: the smallest node that each node of the edges ``(a, b)`` reaches.
 
-    Labels fall to the least one among neighbours, then to that label's own; a pass that changes nothing ends it.
+    Labels fall to the least one among neighbours, then to that label's own; a pass that changes nothing ends it.  ``known`` may hold components
+    of some of the edges, to start from.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
+    if known is not None:
+        labels = labels.join(known.withColumnRenamed("comp", "had"), "node", "left").select("node", F.least("comp", "had").alias("comp"))
+    labels = materialise(labels, "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "near").alias("low"))
@@ -172,27 +177,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _linked(sets: DataFrame, percent: int) -> DataFrame | None:
-    """``(a, b)``: links that join all sets which chains of similar pairs connect; None where there are no pairs at all.
+def _linked(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
+    """``(a, b)``: links that join all sets which chains of similar pairs connect, and ``(node, comp)``, their components; None where there are no links.
 
     Centres are taken in the order of their node; ``done`` is the last one that has met all of its gathering.
     """
-    members = materialise(sets.select("node", "n", "point", F.explode("keys").alias("key")), "gathered")
-    comps = None
-    done = None
+
+    def open_rows(rows: DataFrame) -> DataFrame:
+        """Rows of gatherings that hold sets of more than one component."""
+        opened = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        return materialise(rows.join(opened, "key"), "live")
+
+    live = open_rows(sets.select("node", "n", "point", F.col("node").alias("comp"), F.explode("keys").alias("key")))
+    comps: DataFrame | None = None
     found: DataFrame | None = None
     take = 1
-    while True:
-        now = members if comps is None else members.join(comps, "node", "left")
-        now = now.withColumn("comp", F.col("node") if comps is None else F.coalesce("comp", "node"))
-        opened = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        if done is not None:
-            opened = opened.join(done, "key")
-        else:
-            opened = opened.withColumn("done", F.lit(None).cast("long"))
-        live = materialise(now.join(materialise(opened, "open"), "key").where(F.col("done").isNull() | (F.col("node") > F.col("done"))), "live")
-        if live.isEmpty():
-            return found
+    while not live.isEmpty():
         ranked = live.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("r") <= take)
         leaf = ranked.groupBy("key", F.floor((F.col("r") - 1) / LEAF).alias("leaf")).agg(
             F.collect_list(F.struct("node", "comp", "n", "point")).alias("points"), F.min("n").alias("least"), F.max("node").alias("done"),
@@ -209,19 +209,23 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame | None:
         first, second = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
         shared = F.size(F.array_intersect("ha", "hb"))
         links = pairs.join(first, "a").join(second, "b").where(enough(shared, F.size("ha"), F.size("hb"), percent)).select("a", "b")
-        links = materialise(links if found is None else found.unionByName(links), "links")
-        found = links
+        links = materialise(links, "links")
         if not links.isEmpty():
-            comps = components(links)
-        done = materialise(leaf.groupBy("key").agg(F.max("done").alias("done")), "done")
-        take *= 4
+            found = links if found is None else found.unionByName(links)
+            comps = components(found, comps)
+        rest = live.join(leaf.groupBy("key").agg(F.max("done").alias("done")), "key").where("node > done").drop("done")
+        if comps is not None:
+            rest = rest.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        live = open_rows(rest)
+        take *= GROWTH
+    return None if found is None else (found, comps)
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
-    """Sets of all rows and the links between different sets.
+def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """Sets of all rows, the links between different sets and their components.
 
     First ``(id, fp, n, s1, s2)``: rows with equal signatures are one class.  Then ``(a, b)``, by the ``s1`` of two classes: each link is a verified pair,
-    and together they connect whatever the full join connects; None if there are none.
+    and together they connect whatever the full join connects; with them ``(node, comp)``, the least ``s1`` that each of these reaches.  None if there are no links.
     """
     base = identified(docs, id_col, text_col).select("id", "fp", "text")
     signed = materialise(_signed(base, size), "signatures")
@@ -242,13 +246,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows of equal set, ``component_id`` the smallest id that links reach, the row's own included; null ids count as no id, and a component
     without any id has null.  Repeated rows are linked.  An empty table gives an empty result; extra columns are not carried.
     """
-    signed, links = joined(docs, id_col, text_col, size=size, percent=percent)
+    signed, linked = joined(docs, id_col, text_col, size=size, percent=percent)
     classes = materialise(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("class_id")), "classes")
-    if links is None:
+    if linked is None:
         placed = classes.withColumn("component_id", F.col("class_id"))
     else:
-        comps = components(links)
-        tied = classes.join(comps, F.col("s1") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "s1"))
+        tied = classes.join(linked[1], F.col("s1") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "s1"))
         least = materialise(tied.groupBy("comp").agg(F.min("class_id").alias("component_id")), "components")
         placed = tied.join(least, "comp").select("s1", "s2", "class_id", "component_id")
     placed = materialise(placed, "placed-classes")
