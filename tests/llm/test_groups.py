@@ -1,5 +1,6 @@
 """Operators that compare texts with each other, next to plain Python."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -162,6 +163,36 @@ def test_decontamination(spark):
     assert decontamination.overlaps(table, bench.limit(0)).count() == 0 and decontamination.overlaps(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_wherever_words_are_replaced(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 9)))
+    text = lambda n: [word() for _ in range(n)]
+    items = [text(13), text(12), text(60)]
+    docs = []
+    for item in items[:2]:  # all ways to replace two words, and some to replace three
+        n = len(item)
+        ways = [*itertools.combinations(range(n), 2), *itertools.islice(itertools.combinations(range(n), 3), 0, None, 9)]
+        docs += [text(6) + [f"x{w}" if k in gone else w for k, w in enumerate(item)] + text(6) for gone in ways]
+    for every in (3, 4, 5, 6):
+        docs += [text(4) + [f"x{w}" if k % every == at else w for k, w in enumerate(items[2])] + text(4) for at in range(every)]
+
+    def held(doc, item):
+        width = min(13, len(item))
+        return any(
+            10 * sum(a == b for a, b in zip(doc[i : i + width], item[j : j + width], strict=True)) >= 8 * width
+            for i in range(len(doc) - width + 1) for j in range(len(item) - width + 1)
+        )
+
+    want = {(d, k) for d, doc in enumerate(docs) for k, item in enumerate(items) if held(doc, item)}
+    table = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = decontamination.overlaps(table, bench).collect()
+    assert {(r.id, r.item) for r in found} == want and len(found) == len(want)
+    assert {k for _, k in want} == {0, 1, 2} and len(want) >= 78 + 66 + 5 and len(want) < len(docs)
+    with pytest.raises(ValueError):
+        decontamination.overlaps(table, bench, share=0.7)
+
+
 def test_quality_on_unseen_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     seen, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")

@@ -7,6 +7,8 @@ although some of its words were replaced.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,9 +18,11 @@ from tracelab.functions.quantile import let
 from tracelab.llm.common import IS_SIGN, each_batch, hash_filter, identified, mixed, passing, same_row, words
 from tracelab.session import materialise
 
-# fixed values: places of a twelve-token window that a seed reads; each place is ignored by one mask
-MASKS = ("011011011011", "101101101101", "110110110110")
-SPAN = 12
+# fixed values: places of a nine-token window that a seed reads; wherever CHANGED of LEAST tokens in a row differ, one mask at one place reads none of them
+MASKS = ("110101011", "101111001", "110010111")
+SPAN = 9
+CHANGED = 2
+LEAST = 12
 OVERLAP = 13
 SHARE = 0.8
 
@@ -49,7 +53,7 @@ def _benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         toks, found = [], []
         for t in tokens(batch.column(2).to_pylist()):
-            s = seeds(t)
+            s = seeds(t if len(t) >= LEAST else t[:0])
             toks.append(t.view(np.int64))
             found.append(s.T.reshape(-1).view(np.int64))
         longs = [pa.array(x, pa.list_(pa.int64())) for x in (toks, found)]
@@ -95,14 +99,16 @@ def overlaps(
 ) -> DataFrame:
     """``(id, fp, item, n_same, n_compared)``: documents that hold a stretch of a benchmark item, one row per document text and item.
 
-    A stretch is a window of ``overlap`` (at most ``OVERLAP``) words in which at least ``share`` of the words are equal place by place, found
-    through a twelve-word window in it with all words of one mask equal; an item of twelve words needs the whole of itself, and one of
+    A stretch is a window of ``overlap`` (``LEAST`` to ``OVERLAP``) words in which at least ``share`` of the words are equal place by place, whichever
+    these are: the masks find every window with up to ``CHANGED`` other words, and a lower share is refused.  An item of ``LEAST`` words is one window, and one of
     fewer words is no evidence.  ``n_same`` of ``n_compared`` words around the stretch are equal (the best alignment counts).  Words are
     compared with A-Z in lower case and without signs.  Null or empty texts hold nothing; rows that repeat id and text are one row of the result; null ids are kept.
     Without documents or without items the result is empty; extra columns are not carried.
     """
-    if not SPAN <= overlap <= OVERLAP:
-        raise ValueError(f"an overlap of {SPAN} to {OVERLAP} words")
+    if not LEAST <= overlap <= OVERLAP:
+        raise ValueError(f"an overlap of {LEAST} to {OVERLAP} words")
+    if max(n - math.ceil(n * share) for n in (LEAST, overlap)) > CHANGED:
+        raise ValueError(f"a share that lets at most {CHANGED} words differ")
     items = materialise(_benchmark(benchmark, item_col, item_text), "benchmark-items")
     regions = materialise(_regions(identified(docs, id_col, text_col), hash_filter(items.select(F.explode("seeds").alias("seed")), "seed")), "seed-regions")
     own = items.select("item", "item_fp", F.posexplode("seeds").alias("n", "seed")).select(
