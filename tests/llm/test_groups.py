@@ -265,3 +265,26 @@ def test_pipeline_stages(spark):
     assert set(clean) <= set(one)
     last = pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in last} == set(clean) and all(len(r.ids) == r.n_tokens for r in last)
+
+
+def test_pipeline_keeps_one_of_five_word_near_copies(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8)))
+    base = [word() for _ in range(200)]
+    texts = [base, [word() if k in (40, 80, 120, 160) else w for k, w in enumerate(base)]]
+    for n in (4, 9, 30, 60, 120, 300):
+        base = [word() for _ in range(n)]
+        for share in (0, 0.01, 0.015, 0.02, 0.025, 0.04):
+            gone = set(rng.sample(range(n), round(n * share)))
+            texts.append([word() if k in gone else w for k, w in enumerate(base)])
+        texts.append(base + [word() for _ in range(n // 5)])
+    sets5 = [{tuple(t[k : k + 5]) for k in range(max(len(t) - 4, 1))} for t in texts]
+    assert 100 * len(sets5[0] & sets5[1]) >= 80 * len(sets5[0] | sets5[1])
+    groups = []
+    for i, s in enumerate(sets5):
+        hit = [g for g in groups if any(100 * len(s & sets5[j]) >= 80 * len(s | sets5[j]) for j in g)]
+        groups = [g for g in groups if g not in hit] + [sum(hit, []) + [i]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.keep_one(spark, docs, SF).collect()) == sorted(min(g) for g in groups)
