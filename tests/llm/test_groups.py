@@ -244,6 +244,26 @@ def test_preference_format(spark):
     assert preference_format.format_pairs(nothing, nothing).count() == 0
 
 
+def test_answers_exchanged_keeps_whole_conversations(spark):
+    said = {
+        2: [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "two"), ("user", "thanks"), ("tool", "log")],
+        3: [("user", "d"), ("assistant", "three")],
+        4: [("user", "no answer"), ("user", "none")],
+        5: [("user", "e"), ("assistant", "five"), ("user", "left over")],
+    }
+    table = spark.createDataFrame([(i, k, r, t) for i, ts in said.items() for k, (r, t) in enumerate(ts)], "conv_id long, turn long, role string, text string")
+    out = {(r.pair, r.part): r for r in preference_format.format_pairs(*preference_format.answers_exchanged(table)).collect()}
+    show = lambda turns: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in turns)
+    spans = lambda r: [r.rendered[int(a) : int(b)] for a, b in (s.split(":") for s in r.trained.split(",") if s)]
+    want = {
+        (2, "prompt"): said[2][:3], (2, "chosen"): said[2][3:], (2, "rejected"): [("assistant", "three"), *said[2][4:]],
+        (3, "prompt"): said[3][:1], (3, "chosen"): said[3][1:], (3, "rejected"): [("assistant", "two")],
+        (4, "chosen"): said[4], (5, "prompt"): said[5][:1], (5, "chosen"): said[5][1:],
+    }
+    assert {k: r.rendered for k, r in out.items()} == {k: show(t) for k, t in want.items()}
+    assert spans(out[2, "chosen"]) == ["two<|end|>"] and spans(out[2, "rejected"]) == ["three<|end|>"] and spans(out[4, "chosen"]) == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 

@@ -64,18 +64,25 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "pair", tur
     )
 
 
+def through_last_answer(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text)``: conversations that have an assistant turn, up to and with the last of these."""
+    turns = turns_of(conversations, "conv_id", "turn", "role", "text")
+    last = turns.where(F.col("said.role") == "assistant").groupBy("pair").agg(F.max("turn").alias("last"))
+    return turns.join(last, "pair").where(F.col("turn") <= F.col("last")).select(F.col("pair").alias("conv_id"), "turn", "said.role", "said.text")
+
+
 def answers_exchanged(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Preference pairs out of plain conversations, for a corpus that has none.
 
-    Chosen is each conversation up to and with its last assistant turn; rejected is the same with that turn's text taken from the
-    conversation whose id differs in the last bit.  Conversations without an assistant turn, or without such a partner, have no rejected answer.
+    Chosen is each whole conversation; rejected is the same with the last assistant turn's text taken from the conversation whose id differs
+    in the last bit, and with the turns after it.  A conversation without such a partner has no rejected answer, and its rejected side ends before
+    the last assistant turn; one without an assistant turn has no rejected side.
     """
     turns = turns_of(conversations, "conv_id", "turn", "role", "text")
     last = turns.where(F.col("said.role") == "assistant").groupBy("pair").agg(F.max_by("said", "turn").alias("answer"), F.max("turn").alias("last"))
     last = materialise(last, "last-answers")
     lent = last.select(F.col("pair").bitwiseXOR(F.lit(1)).alias("pair"), F.col("answer").alias("lent"))
-    cut = turns.join(last.select("pair", "last"), "pair").where(F.col("turn") <= F.col("last"))
-    chosen = cut.select("pair", "turn", "said.role", "said.text")
-    worse = last.join(lent, "pair").select("pair", F.col("last").alias("turn"), "lent.role", "lent.text")
-    rejected = cut.where(F.col("turn") < F.col("last")).select("pair", "turn", "said.role", "said.text").unionByName(worse)
-    return chosen, rejected
+    worse = last.select("pair", "last").join(lent, "pair", "left")
+    said = F.when(F.col("turn") == F.col("last"), F.col("lent")).when((F.col("turn") < F.col("last")) | F.col("lent").isNotNull(), F.col("said"))
+    rejected = turns.join(worse, "pair").select("pair", "turn", said.alias("said")).where(F.col("said").isNotNull())
+    return turns.select("pair", "turn", "said.role", "said.text"), rejected.select("pair", "turn", "said.role", "said.text")

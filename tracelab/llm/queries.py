@@ -123,8 +123,9 @@ FROM placed GROUP BY pair, part, block
 
 @query("op2_preference_format", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against itself with another conversation's answer: prompt once, completions with masks."""
-    return preference_format.format_pairs(*preference_format.answers_exchanged(table(spark, sf_dir, "conversations")))
+    """Conversations, as far as their last answer like in the SQL, against themselves with another's answer: prompt once, completions with masks."""
+    told = preference_format.through_last_answer(table(spark, sf_dir, "conversations"))
+    return preference_format.format_pairs(*preference_format.answers_exchanged(told))
 
 
 @query("op5_private_data")
