@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tracelab.operators.evaluate import normal_tail
 from tracelab.sources import tables
 
@@ -39,3 +40,28 @@ def test_tail_is_right_in_relation_to_its_size(spark):
     got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(normal_tail(F.col("z")).alias("p")).collect()]
     for z, p in zip(zs, got, strict=True):
         assert math.isclose(p, math.erfc(z / math.sqrt(2)) / 2, rel_tol=1e-9), z
+
+
+def test_values_that_the_given_tables_do_not_hold_are_kept(spark, tmp_path):
+    sf, odd = "/root/testdata/sf0.001", str(tmp_path)
+    key = F.col("o_orderkey") % 7
+    orders = spark.read.parquet(f"{sf}/orders.parquet").withColumn("o_orderstatus", F.when(key == 0, "X").when(key != 1, F.col("o_orderstatus")))
+    orders.write.parquet(f"{odd}/orders.parquet")
+    key = F.col("l_orderkey") % 7
+    swap = lambda c: F.when(key == 0, "X").when(key != 1, F.col(c)).alias(c)
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    items = items.select(*[swap(c) if c in ("l_linestatus", "l_returnflag") else c for c in items.columns])
+    items = items.withColumn("l_linenumber", F.when(key == 2, 8).otherwise(F.col("l_linenumber")).cast(items.schema["l_linenumber"].dataType))
+    items.write.parquet(f"{odd}/lineitem.parquet")
+    run = lambda name: entry.queries()[name](spark, odd).collect()
+
+    got = run("g1_union_of_sources")
+    assert len(got) == orders.count() and {r.source for r in got} == {"f", "o", "p", "x", None}
+    got = run("a15_merged_results")
+    assert sum(r.n for r in got) == items.count() and {r.method for r in got} == {"F", "O", "X", None}
+    got = run("m7_cross_farm_split")
+    assert {r.direction for r in got} == {"A", "N", "R", "X"} and sum(r.n for r in got) == 4 * items.count()
+    assert all((r.split == "train") == (r.farm_id == r.direction) for r in got) and None in {r.farm_id for r in got}
+    got = run("m20_metric_pivot")
+    assert {r.method for r in got} == {"F", "O", "X", None} and all(list(r.asDict()) == ["method", *[f"fold_{i}" for i in range(1, 9)]] for r in got)
+    assert any(r.fold_8 is not None for r in got)

@@ -150,11 +150,17 @@ def temporal_split(visits: DataFrame) -> DataFrame:
     return directed.withColumn("split", split)
 
 
-def cross_source_split(df: DataFrame, sources: Sequence[str], source: str = "source") -> DataFrame:
-    """Train on one source and test on the other, both ways (M7)."""
-    directed = df.filter(F.col(source).isin(*sources)).withColumn(
-        "direction", F.explode(F.array(*[F.lit(s) for s in sources]))
-    )
+def cross_source_split(df: DataFrame, sources: Sequence[str] | None = None, source: str = "source") -> DataFrame:
+    """Train on one source and test on the other, both ways (M7).
+
+    Without ``sources`` each source of the data trains once, and rows whose source is null are only tested.
+    """
+    if sources is None:
+        sources = [r[0] for r in df.select(source).filter(F.col(source).isNotNull()).distinct().sort(source).collect()]
+    else:
+        df = df.filter(F.col(source).isin(*sources))
+    kind = df.schema[source].dataType.simpleString()
+    directed = df.withColumn("direction", F.explode(F.array(*[F.lit(s) for s in sources]).cast(f"array<{kind}>")))
     return directed.withColumn("split", F.when(F.col(source) == F.col("direction"), "train").otherwise("test"))
 
 

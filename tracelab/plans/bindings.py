@@ -145,6 +145,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def values_of(df: DataFrame, col: str) -> list:
+    """The values that a column of few values holds, null among them."""
+    return [r[0] for r in df.select(col).distinct().sort(col).collect()]
+
+
 # -- experiment reports ------------------------------------------------------
 
 R = (

@@ -9,7 +9,7 @@ from tracelab.operators import evaluate, filters, grid, herd, models, sets, spli
 from tracelab.operators.labels import light_phase
 from tracelab.plans.bindings import (
     HOURLY, P, R, S, V, VE, X, hourly_grid, predictions, q6, qsecs, r6, reports, samples, secs, series, table, visits,
-    visits_on_series, weather,
+    values_of, visits_on_series, weather,
 )
 from tracelab.plans.registry import query
 from tracelab.plans.trace_queries import COMMON, REC, common_hourly, records, sql_draw
@@ -476,9 +476,9 @@ def _(spark, sf):
     "SELECT lower(o_orderstatus) AS source, o_orderkey AS visit_id FROM orders",
 )
 def _(spark, sf):
-    o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "visit_id")
-    parts = {s.lower(): o.filter(F.col("o_orderstatus") == s) for s in ("F", "O", "P")}
-    return sets.union_sources(parts).select("source", "visit_id")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("visit_id"), F.lower("o_orderstatus").alias("status"))
+    parts = {s: o.filter(F.col("status").eqNullSafe(F.lit(s))) for s in values_of(o, "status") or [None]}
+    return sets.union_sources(parts).select(F.col("source").cast("string"), "visit_id")
 
 
 @query("g2_common_ids", "SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders")
@@ -589,7 +589,7 @@ def _(spark, sf):
     f" count(*) AS n, {q6('avg(price)')} AS price FROM r, f GROUP BY 1, 2, 3",
 )
 def _(spark, sf):
-    out = splits.cross_source_split(reports(spark, sf), ["A", "N", "R"], "farm_id")
+    out = splits.cross_source_split(reports(spark, sf), source="farm_id")
     return out.groupBy("direction", "farm_id", "split").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("price")).alias("price"))
 
 
@@ -769,8 +769,8 @@ def _(spark, sf):
     f"WITH {R} SELECT method, " + ", ".join(f"{q6(f'avg(price) FILTER (fold = {i})')} AS fold_{i}" for i in range(1, 8)) + " FROM r GROUP BY 1",
 )
 def _(spark, sf):
-    out = reports(spark, sf).groupBy("method").pivot("fold", list(range(1, 8))).agg(F.avg("price"))
-    return out.select("method", *[r6(str(i)).alias(f"fold_{i}") for i in range(1, 8)])
+    out = reports(spark, sf).groupBy("method").pivot("fold").agg(F.avg("price"))
+    return out.select("method", *[r6(c).alias(f"fold_{c}") for c in out.columns[1:]])
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.operators import models, splits
-from tracelab.plans.bindings import HOURLY, R, S, V, X, hourly_grid, long_features, q6, qsecs, r6, reports, samples, secs, series, visits, weather
+from tracelab.plans.bindings import HOURLY, R, S, V, X, hourly_grid, long_features, q6, qsecs, r6, reports, samples, secs, series, values_of, visits, weather
 from tracelab.plans.registry import query
 from tracelab.plans.result_queries import _folds
 from tracelab.plans.trace_queries import _ROLL_OUT, REC, ROLL_ALL, records, roll_out, sql_draw
@@ -173,8 +173,8 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "merge")
     r = _results(spark, sf)
-    for part in ("F", "O"):
-        r.filter(F.col("method") == part).write.option("header", True).csv(f"{path}/in_{part}")
+    for n, part in enumerate(values_of(r, "method") or [None]):
+        r.filter(F.col("method").eqNullSafe(F.lit(part))).write.option("header", True).csv(f"{path}/in_{n}")
     schema = "farm_id STRING, method STRING, fold INT, n BIGINT, price DOUBLE"
     tables.merge_results(spark, f"{path}/in_*", schema, f"{path}/out", ["farm_id", "method", "fold"])
     out = spark.read.schema(schema).option("header", True).csv(f"{path}/out")
