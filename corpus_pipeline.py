@@ -28,9 +28,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join on five-word shingles at 0.8: of each component the document with the smallest id stays, once."""
-    near = jaccard_join.near_duplicates(docs, size=5, percent=80).where(F.col("id").eqNullSafe(F.col("component_id")))
-    stay = materialise(near.groupBy("id", "fp").agg(F.count("*").alias("n")), "representatives").withColumnsRenamed({"id": "s_id", "fp": "s_fp"})
+    """N-gram Jaccard join on five-word shingles at 0.8: of each component one document stays, once.
+
+    It is the one of the smallest id, nulls last, and among texts of one id that of the smallest fingerprint; texts without words all stay.
+    """
+    near = jaccard_join.representatives(docs, size=5, percent=80)
+    stay = materialise(near, "representatives").withColumnsRenamed({"id": "s_id", "fp": "s_fp"})
     base = identified(docs)
     left = base.join(stay, base["id"].eqNullSafe(stay["s_id"]) & (base["fp"] == stay["s_fp"])).select("id", "fp", "row", "n")
     return restored(left.where("n = 1").unionByName(left.where("n > 1").dropDuplicates(["id", "fp"])), docs)

@@ -308,3 +308,21 @@ def test_pipeline_keeps_one_of_five_word_near_copies(spark):
         groups = [g for g in groups if g not in hit] + [sum(hit, []) + [i]]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in pipeline.keep_one(spark, docs, SF).collect()) == sorted(min(g) for g in groups)
+
+
+def test_pipeline_keeps_one_of_components_without_ids_and_of_one_id(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(22)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    near = lambda t: " ".join([*t[:50], f"w{rng.randrange(10**6)}", *t[51:]])
+    a, b, c, d, e = (text() for _ in range(5))
+    groups = [
+        [(None, " ".join(a)), (None, near(a)), (None, near(a))], [(None, " ".join(b)), (None, near(b))],
+        [(5, " ".join(c)), (5, near(c)), (6, near(c)), (None, near(c))], [(5, " ".join(d)), (7, near(d))], [(8, " ".join(e)), (8, " ".join(e))],
+        [(9, "")], [(10, None)], [(None, " ")],
+    ]
+    rows = [r for g in groups for r in g]
+    got = pipeline.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()
+    kept = [[r.doc_id for r in got if (r.doc_id, r.text) in g] for g in groups]
+    assert kept == [[None], [None], [5], [5], [8], [9], [10], [None]] and len(got) == len(groups)

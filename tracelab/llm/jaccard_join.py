@@ -260,3 +260,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``(id, fp, n)``: of each component the row of the least id, nulls last, and then of the least fingerprint, and how many rows repeat both.
+
+    Texts without words have no links, so that each of them stands for itself.
+    """
+    signed, linked = joined(docs, id_col, text_col, size=size, percent=percent)
+    rows = signed.groupBy("id", "fp", "s1").agg(F.count("*").alias("n"), F.max("n").alias("size"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "n")
+    firsts = rows.where("size > 0").groupBy("s1").agg(F.min(order).alias("first"))
+    if linked is not None:
+        tied = firsts.join(linked[1], F.col("s1") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "s1"))
+        firsts = tied.groupBy("comp").agg(F.min("first").alias("first"))
+    return firsts.select("first.id", "first.fp", "first.n").unionByName(rows.where("size = 0").select("id", "fp", "n"))
