@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}  # folders made for local sessions that name none, by application
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings that results depend on (they may be set on a running session)."""
@@ -40,11 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    named = tempfile.mkdtemp(prefix="tracelab-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="tracelab-")
+    return _own[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,8 +56,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tracelab/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+@dataclass
+class Scratch:
+    """A table in the shared folder, and the folder to remove once a later table has replaced it."""
+
+    df: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def scratch(df: DataFrame, name: str) -> Scratch:
     """Cut lineage by writing a table to the shared folder and reading it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Like ``scratch``, for tables that are read until the end."""
+    return scratch(df, name).df
