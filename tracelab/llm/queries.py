@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm import decontamination, fingerprints, jaccard_join, line_dedup, piece_encoding, preference_format, private_data, quality, repeats, token_counts
+from tracelab.llm import (
+    decontamination, exact_dedup, fingerprints, jaccard_join, line_dedup, phrases, piece_encoding, preference_format, private_data, quality, repeats, token_counts, vector_codes,
+)
 from tracelab.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,3 +211,88 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with nearly the same three-word shingles."""
     out = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def _lloyd_sql(rounds: int = 4) -> str:
+    """Rounds as one query after the other."""
+    out = ["""kept AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+    SELECT vec_id, label, p, list_slice(v, p * len(v) // 4 + 1, (p + 1) * len(v) // 4) AS part FROM kept, range(4) t(p)),
+b0 AS MATERIALIZED (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part AS c FROM parts
+    WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256))"""]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (
+    SELECT vec_id, label, x.p, part, min((list_inner_product(part, part) - 2 * list_inner_product(part, c) + list_inner_product(c, c))::BIGINT * 256 + e) AS m
+    FROM parts x JOIN b{r} b ON x.p = b.p GROUP BY vec_id, label, x.p, part)""")
+        if r < rounds:
+            out.append(f"""b{r + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN (
+        SELECT p, e, list(mean ORDER BY i) AS c FROM (
+            SELECT p, m % 256 AS e, i, floor(sum(part[i]) / count(*)) AS mean FROM a{r}, range(1, 1000) t(i) WHERE i <= len(part) GROUP BY ALL) GROUP BY p, e) n
+    ON b.p = n.p AND b.e = n.e)""")
+    return "WITH " + ",\n".join(out) + f""",
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label),
+book AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS h FROM (
+    SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM coded, book
+"""
+
+
+@query("op11_vector_codes", _lloyd_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector under codebooks of four rounds."""
+    return vector_codes.code_table(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+OP12_SQL = """
+WITH texts AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+grouped AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM texts)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM grouped
+"""
+
+
+@query("op12_exact_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row of its equal texts every document gives way to."""
+    found = exact_dedup.verdicts(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    )
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS p
+    FROM worded, range(1, 5) t(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cand AS MATERIALIZED (SELECT lang, k, p, c AS a, string_split(p, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (
+    SELECT lang, p, k, a, j, array_to_string(list_slice(w, 1, j), ' ') AS x, array_to_string(list_slice(w, j + 1, k), ' ') AS y
+    FROM cand, range(1, 4) t(j) WHERE j < k),
+scores AS (
+    SELECT c.lang, c.p, c.a, c.j, l.c AS l, r.c AS r, (2000000::HUGEINT * c.a) // (l.c + r.c) AS score
+    FROM cuts c JOIN f l ON l.lang = c.lang AND l.p = c.x AND l.k = c.j JOIN f r ON r.lang = c.lang AND r.p = c.y AND r.k = c.k - c.j),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+inner_parts AS (
+    SELECT lang, array_to_string(list_slice(w, i, i + n - 1), ' ') AS p, max(a) AS a
+    FROM cand, range(2, 4) s(n), range(1, 4) t(i) WHERE n < k AND i + n - 1 <= k GROUP BY ALL),
+words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang)
+SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, x.a DESC, x.p) AS rank, x.p AS phrase, x.a, l, r, n, score::BIGINT AS score
+FROM lowest x JOIN words ON words.lang = x.lang LEFT JOIN inner_parts i ON i.lang = x.lang AND i.p = x.p
+WHERE i.a IS NULL OR 100 * i.a < 80 * x.a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to four words."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
