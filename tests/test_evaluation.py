@@ -85,6 +85,11 @@ def test_leave_two_out_matches_combinations(spark):
     some = splits.leave_n_out(df, 3, only=only).select("members").collect()
     assert some and all(r.members[0] in (0, 2) and len(set(r.members)) == 3 for r in some)
     assert splits.leave_n_out(df, 3, cap=4).count() == 4
+    every = {tuple(r.members) for r in splits.leave_n_out(df, 3).collect()}
+    drawn = {tuple(r.members) for r in splits.leave_n_out(df, 3, drawn=4).collect()}
+    assert 1 <= len(drawn) <= 4 and drawn <= every  # of four drawn, those with both classes left to train on
+    assert {tuple(r.members) for r in splits.leave_n_out(df, 3, drawn=1000).collect()} == every
+    assert splits.leave_n_out(df, 3, cap=1000).count() == len(every)
 
 
 def test_bootstrap_draws(spark):

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MINUTE = "yyyy-MM-dd'T'HH:mm"
+
 
 def anscombe(x: Column, *, sigma_sq: float = 0.0, alpha: float = 1.0) -> Column:
     """Generalised Anscombe transform."""
@@ -52,6 +54,31 @@ def log_anscombe(x: Column) -> Column:
     return F.log(anscombe_simple(x))
 
 
+def root(x: Column) -> Column:
+    """Square root; null below zero (I4)."""
+    return F.when(x >= 0, F.sqrt(x))
+
+
+def unlog(x: Column) -> Column:
+    """Inverse of the logarithm (I4)."""
+    return F.exp(x)
+
+
+def minute_text(ts: Column) -> Column:
+    """``2024-01-31T23:59``."""
+    return F.date_format(ts, MINUTE)
+
+
+def day_first_text(ts: Column) -> Column:
+    """``31/01/2024``."""
+    return F.date_format(ts, "dd/MM/yyyy")
+
+
+def epoch_of_minute(text: Column) -> Column:
+    """Seconds since 1970 of a minute's text; null for anything else."""
+    return F.unix_seconds(F.try_to_timestamp(text, F.lit(MINUTE)))
+
+
 def magnitude(*axes: Column) -> Column:
     """Length of a vector."""
     total = axes[0] * axes[0]

@@ -142,10 +142,10 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Col
     return scan(df, keys, order, bucket, cumsum={name: F.lit(1).cast("long")})
 
 
-def runs(df: DataFrame, keys: Sequence[str], pos: str, flag: Column, block: int) -> DataFrame:
+def runs(df: DataFrame, keys: Sequence[str], pos: str, flag: Column, block: int, *, end: str | None = None) -> DataFrame:
     """Gaps and islands of a non-null boolean on a grid of consecutive positions.
 
-    Adds ``run_start``, ``run_end`` and ``run_len``.  A run of one value lies between the nearest
+    Adds ``run_start``, ``run_end`` and ``run_len``, and the key's last position as ``end``.  A run of one value lies between the nearest
     rows of the other value, so one pass that carries both kinds of position finds its ends.
     """
     here = F.col(pos)
@@ -168,6 +168,7 @@ def runs(df: DataFrame, keys: Sequence[str], pos: str, flag: Column, block: int)
             }
         )
         .withColumn("run_len", F.col("run_end") - F.col("run_start") + 1)
+        .withColumns({end: F.col("_end")} if end else {})
         .drop("_flag", "_on", "_off", "_on2", "_off2", "_first", "_end")
     )
 

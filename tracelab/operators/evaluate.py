@@ -7,14 +7,21 @@ run through value buckets.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.quantile import quantiles, value_bucket
 from tracelab.functions.scan import neighbours, scan
 from tracelab.operators.splits import resample_weights
+from tracelab.session import materialise
+
+ROWS = 4096  # scores whose counts are weighted at a time
+
 
 def confusion(df: DataFrame, keys: Sequence[str], *, y: str = "y", pred: str = "y_pred") -> DataFrame:
     """Confusion counts and precision, recall, F1, support per class, balanced accuracy."""
@@ -146,23 +153,90 @@ def average_precision(df: DataFrame, keys: Sequence[str], *, y: str = "y", score
     return run.groupBy(*keys).agg(F.when(F.max("p_total") > 0, gain / F.max("p_total")).alias("average_precision"))
 
 
+def weight_arrays(draws: DataFrame, key: str, replicates: int) -> DataFrame:
+    """``(key, weights)``: how often each key is drawn in replicates 1 to ``replicates``, as one array."""
+    times = F.map_from_entries(F.collect_list(F.struct("replicate", "times")))
+    every = F.sequence(F.lit(1), F.lit(replicates))
+    return draws.groupBy(key).agg(times.alias("_t")).select(
+        key, F.transform(every, lambda r: F.coalesce(F.try_element_at("_t", r), F.lit(0).cast("long"))).alias("weights")
+    )
+
+
+def weighted_totals(df: DataFrame, columns: Sequence[str], replicates: int) -> DataFrame:
+    """``(replicate, columns)``: sums of the columns weighted by the array ``weights``, added up in the tasks first: one set of arrays each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(columns), replicates))
+        for batch in batches:
+            weights = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, replicates)
+            for i in range(len(columns)):
+                totals[i] += batch.column(i + 1).to_numpy(zero_copy_only=False).astype(np.float64) @ weights
+        yield pa.RecordBatch.from_arrays([pa.array([t.tolist()]) for t in totals], list(columns))
+
+    parts = df.select("weights", *columns).mapInArrow(run, ", ".join(f"{c} array<double>" for c in columns))
+    each = parts.select(F.posexplode(F.arrays_zip(*columns)).alias("_at", "a"))
+    return each.groupBy((F.col("_at") + 1).alias("replicate")).agg(*[F.sum(f"a.{c}").alias(c) for c in columns])
+
+
+def replicate_auc(counts: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
+    """``(keys, replicate, auc)`` from ``(keys, score, pos, neg, weights)``: the pooled counts of every replicate at once.
+
+    Scores are cut into buckets.  A bucket adds up arrays over the replicates: its positives, negatives and the pairs won inside it, in one pass
+    down the scores whose state is an array.  Only these arrays, one set per bucket, are written out by replicate.
+    """
+    keys = list(keys)
+    size = replicates
+
+    def inside(table: pa.Table) -> pa.Table:
+        order = np.argsort(-table.column("score").to_numpy(), kind="stable")
+        score = table.column("score").to_numpy()[order]
+        pos, neg = (table.column(c).to_numpy()[order] for c in ("pos", "neg"))
+        weights = table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)[order]
+        first = np.nonzero(np.diff(score, prepend=np.nan) != 0)[0]
+        above, below, won = (np.zeros(size, np.int64) for _ in range(3))
+        for at in range(0, len(first), ROWS):
+            cut = slice(first[at], first[at + ROWS] if at + ROWS < len(first) else len(score))
+            edges = first[at : at + ROWS] - first[at]
+            p = np.add.reduceat(pos[cut, None] * weights[cut], edges, axis=0)
+            n = np.add.reduceat(neg[cut, None] * weights[cut], edges, axis=0)
+            higher = above + np.cumsum(p, axis=0) - p
+            won += (n * (2 * higher + p)).sum(axis=0)  # twice the pairs, so that ties stay whole
+            above, below = above + p.sum(axis=0), below + n.sum(axis=0)
+        out = {k: table.column(k).slice(0, 1) for k in [*keys, "bucket"]}
+        return pa.table({**out, "p": [above], "n": [below], "won": [won]})
+
+    placed = counts.withColumn("bucket", value_bucket(-F.col("score")))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*keys).schema.fields)
+    shape = f"{kinds + ', ' if kinds else ''}bucket long, p array<long>, n array<long>, won array<long>"
+    parts = placed.select(*keys, "bucket", "score", "pos", "neg", "weights").groupBy(*keys, "bucket").applyInArrow(inside, shape)
+    each = parts.select(*keys, "bucket", F.posexplode(F.arrays_zip("p", "n", "won")).alias("_at", "a"))
+    each = each.select(*keys, (F.col("_at") + 1).alias("replicate"), "bucket", "a.*")
+    higher = Window.partitionBy(*keys, "replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    run = each.withColumn("_above", F.coalesce(F.sum("p").over(higher), F.lit(0)))
+    pairs = F.sum("p").cast("double") * F.sum("n")
+    won = F.sum(F.col("won").cast("double") + 2.0 * F.col("n") * F.col("_above")) / 2
+    return run.groupBy(*keys, "replicate").agg(F.when(pairs > 0, won / pairs).alias("auc"))
+
+
 def bootstrap_metrics(
-    df: DataFrame, fold: str, replicates: int, seed: int, *, y: str = "y", score: str = "score", pred: str = "y_pred"
+    df: DataFrame, fold: str, replicates: int, seed: int, *, y: str = "y", score: str = "score", pred: str = "y_pred", split: str | None = None
 ) -> DataFrame:
     """Per replicate: whole folds drawn with replacement, pooled AUC and precision.
 
-    Only the counts per (fold, score) are multiplied by the draws, never the predictions.
+    Only counts per (fold, score) are weighted, by one array per fold.  With ``split``, a column that says ``train`` or ``test``, AUC and precision are those
+    of the test rows, and ``train_auc`` is that of the training rows under the same draws.
     """
-    draws = resample_weights(df, fold, replicates, seed)
-    counts = score_counts(df, [fold], y=y, score=score)
-    pooled = counts.join(draws, fold).groupBy("replicate", "score").agg(
-        F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg")
-    )
-    flagged = df.filter(F.col(pred) == 1).groupBy(fold).agg(F.sum(y).alias("_tp"), F.count(F.lit(1)).alias("_n"))
-    precision = flagged.join(draws, fold).groupBy("replicate").agg(
-        F.try_divide(F.sum(F.col("_tp") * F.col("times")), F.sum(F.col("_n") * F.col("times"))).alias("precision")
-    )
-    return rank_auc(pooled, ["replicate"]).select("replicate", "auc").join(precision, "replicate", "left")
+    weights = materialise(weight_arrays(resample_weights(df, fold, replicates, seed), fold, replicates), "fold-weights")
+    side = F.lit("test") if split is None else F.col(split)
+    told = df.withColumn("_side", side)
+    counts = score_counts(told, ["_side", fold], y=y, score=score).join(weights, fold)
+    auc = replicate_auc(counts.select("_side", "score", "pos", "neg", "weights"), ["_side"], replicates)
+    sides = {"auc": "test"} if split is None else {"auc": "test", "train_auc": "train"}
+    wide = auc.groupBy("replicate").agg(*[F.max(F.when(F.col("_side") == s, F.col("auc"))).alias(name) for name, s in sides.items()])
+    flagged = told.filter((F.col(pred) == 1) & (F.col("_side") == "test")).groupBy(fold).agg(F.sum(y).alias("_tp"), F.count(F.lit(1)).alias("_n"))
+    hits = weighted_totals(flagged.join(weights, fold), ["_tp", "_n"], replicates)
+    precision = hits.select("replicate", F.try_divide("_tp", "_n").alias("precision"))
+    return wide.join(precision, "replicate", "left")
 
 
 def bootstrap_interval(metrics: DataFrame, metric: str) -> DataFrame:
@@ -203,6 +277,39 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], *, group: str = "y", value:
     return out.withColumn("z", z).withColumn("p", 2 * normal_tail(F.col("z"))).drop("_ties")
 
 
+def mann_whitney_exact(df: DataFrame, keys: Sequence[str], *, group: str = "y", value: str = "score", most: int = 20) -> DataFrame:
+    """``(keys, u, n1, n2, p)`` with the exact two-sided p of small groups, ties included.
+
+    The chance is over all ways to pick which values are of group 1; they are counted by how many were picked and the sum of their doubled middle
+    ranks, one distinct value after the other.  Keys in which either group is empty or has more than ``most`` values are left out:
+    ``mann_whitney`` is for these.
+    """
+    if most > 30:
+        raise ValueError("ways to pick from more values may not fit into 64 bits")
+    keys = list(keys)
+    counts = score_counts(df.where(F.col(value).isNotNull() & F.col(group).isin(0, 1)), keys, y=group, score=value)
+    sizes = counts.groupBy(*keys).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n2"))
+    small = counts.join(sizes.where(F.col("n1").between(1, most) & F.col("n2").between(1, most)), keys)
+
+    def exact(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("score")
+        pos, both = rows["pos"].to_numpy(), (rows["pos"] + rows["neg"]).to_numpy()
+        n1, n = int(pos.sum()), int(both.sum())
+        rank = 2 * np.cumsum(both) - both + 1  # twice the middle rank of equal values
+        ways = np.zeros((n1 + 1, 2 * n * n1 + 1), np.int64)  # by number picked and sum
+        ways[0, 0] = 1
+        for r in np.repeat(rank, both).tolist():
+            for k in range(n1, 0, -1):
+                ways[k, r:] += ways[k - 1, : ways.shape[1] - r]
+        seen = int((pos * rank).sum())
+        every, low, high = math.comb(n, n1), int(ways[n1, : seen + 1].sum()), int(ways[n1, seen:].sum())
+        out = rows.iloc[:1][keys].copy()
+        return out.assign(u=seen / 2 - n1 * (n1 + 1) / 2, n1=n1, n2=n - n1, p=min(1.0, 2 * min(low, high) / every))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*keys).schema.fields)
+    return small.select(*keys, "score", "pos", "neg").groupBy(*keys).applyInPandas(exact, f"{kinds}, u double, n1 long, n2 long, p double")
+
+
 def accuracy_per_fold(df: DataFrame, fold: str, key: str, *, y: str = "y", pred: str = "y_pred") -> DataFrame:
     """Every fold's accuracy beside each individual it tests, best fold first."""
     hit = (F.col(y) == F.col(pred)).cast("int")

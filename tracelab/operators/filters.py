@@ -96,11 +96,12 @@ def good_traces(df: DataFrame, threshold: int) -> DataFrame:
 
 
 def window_quality(df: DataFrame, width: int) -> DataFrame:
-    """Per ``(series_id, window)`` of ``width`` cells: null share, sum, positives, size."""
+    """Per ``(series_id, window)`` of ``width`` cells: null share, sum, positives, zeros, size."""
     return df.groupBy("series_id", F.floor(F.col("pos") / width).alias("window")).agg(
         F.avg(F.col("value").isNull().cast("double")).alias("null_ratio"),
         F.sum("value").alias("total"),
         F.count_if(F.col("value") > 0).alias("positive"),
+        F.count_if(F.col("value") == 0).alias("zeros"),
         F.count(F.lit(1)).alias("cells"),
     )
 
@@ -112,6 +113,12 @@ def good_windows(df: DataFrame, width: int, null_ratio: float, at_least: float)
     )
 
 
+def active_windows(df: DataFrame, width: int, positive: int = 100) -> DataFrame:
+    """Windows that are not zero throughout and hold more than ``positive`` positive cells (B18); a null is not zero."""
+    quality = window_quality(df, width)
+    return quality.filter((F.col("zeros") < F.col("cells")) & (F.col("positive") > positive))
+
+
 def day_quality(df: DataFrame) -> DataFrame:
     """Per ``(series_id, day)``: cells and nulls."""
     return df.groupBy("series_id", F.to_date("ts").alias("day")).agg(

@@ -194,6 +194,22 @@ def resample_from_first(df: DataFrame, step: str) -> DataFrame:
     )
 
 
+def resample_from_first_filled(df: DataFrame, step: str) -> DataFrame:
+    """The older roll-up with a row for every step from a series' first to its last record; steps without a record are null."""
+    n = seconds(step)
+    found = resample_from_first(df, step)
+    spans = found.groupBy("series_id").agg(F.min("bucket_s").alias("lo"), F.max("bucket_s").alias("hi"))
+    every = expand_steps(spans, step, "series_id").join(spans.select("series_id", F.col("lo").alias("_lo")), "series_id")
+    every = every.select("series_id", (F.col("_lo") + F.col("pos") * n).alias("bucket_s"))
+    return every.join(found, ["series_id", "bucket_s"], "left")
+
+
+def sliding_sums(df: DataFrame, width: str, stride: str) -> DataFrame:
+    """``(series_id, start, n, total)``: count and sum of a series' records in every window of ``width`` that begins on a ``stride``."""
+    found = df.groupBy("series_id", F.window("ts", width, stride).alias("_w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return found.select("series_id", F.col("_w.start").alias("start"), "n", "total")
+
+
 def resample_with(df: DataFrame, resolution: str, how: dict[str, str]) -> DataFrame:
     """User-chosen aggregate per column: ``{column: 'sum' | 'first' | 'median' | ...}`` (K1).
 

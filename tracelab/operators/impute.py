@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions.hashing import SPAN, draw, draw_bucket
+from tracelab.functions.hashing import SPAN, draw
 from tracelab.functions.quantile import quantiles
-from tracelab.functions.scan import neighbours, ranked, runs, scan, with_halo
+from tracelab.functions.scan import neighbours, runs, scan, with_halo
+from tracelab.session import materialise
 
 BLOCK = 1440
 KEY = ["series_id"]
@@ -58,12 +59,14 @@ def _around(df: DataFrame) -> DataFrame:
     )
 
 
-def _linear() -> Column:
+def line_between() -> Column:
+    """Height at ``pos`` of the line between the values on both sides."""
     lp, lv, np_, nv = F.col("_lp"), F.col("_lv"), F.col("_np"), F.col("_nv")
     return lv + (nv - lv) * (F.col("pos") - lp) / (np_ - lp)
 
 
-def _gap_len() -> Column:
+def gap_length() -> Column:
+    """Cells between the values on both sides, or the series' ends."""
     start = F.coalesce(F.col("_lp"), F.col("_first") - 1)
     stop = F.coalesce(F.col("_np"), F.col("_last") + 1)
     return stop - start - 1
@@ -76,19 +79,19 @@ def _result(df: DataFrame, value: Column, like: DataFrame) -> DataFrame:
 
 def bounded_interpolation(df: DataFrame, limit: int, *, inclusive: bool = True) -> DataFrame:
     """Linear fill of null runs up to ``limit`` long; edge runs repeat the nearest value."""
-    short = _gap_len() <= limit if inclusive else _gap_len() < limit
-    line = F.coalesce(_linear(), F.col("_lv"), F.col("_nv"))
+    short = gap_length() <= limit if inclusive else gap_length() < limit
+    line = F.coalesce(line_between(), F.col("_lv"), F.col("_nv"))
     return _result(_around(df), F.when(short, line), df)
 
 
 def constant_fill(df: DataFrame, limit: int, constant: float = -1.0) -> DataFrame:
     """Null runs up to ``limit`` long become a constant."""
-    return _result(_around(df), F.when(_gap_len() <= limit, F.lit(constant)), df)
+    return _result(_around(df), F.when(gap_length() <= limit, F.lit(constant)), df)
 
 
 def linear_fill(df: DataFrame) -> DataFrame:
     """Linear fill of every gap, in both directions."""
-    return _result(_around(df), F.coalesce(_linear(), F.col("_lv"), F.col("_nv")), df)
+    return _result(_around(df), F.coalesce(line_between(), F.col("_lv"), F.col("_nv")), df)
 
 
 def nearest_fill(df: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def hold_leading(df: DataFrame) -> DataFrame:
 
 def linear_then_zero(df: DataFrame) -> DataFrame:
     """Forward linear fill, the last value held, and what is left becomes zero."""
-    return _result(_around(df), F.coalesce(_linear(), F.col("_lv"), F.lit(0.0)), df)
+    return _result(_around(df), F.coalesce(line_between(), F.col("_lv"), F.lit(0.0)), df)
 
 
 def zeros_to_null(df: DataFrame, z: int, *, mode: str = "chunked") -> DataFrame:
@@ -114,7 +117,8 @@ def zeros_to_null(df: DataFrame, z: int, *, mode: str = "chunked") -> DataFrame:
     ``chunked``: blank whole chunks of ``z`` and keep the rest of the run; in a run that ends
     the series the last record does not count.  ``run``: blank all of a run of at least ``z``.
     """
-    marked = zero_runs(df)
+    zero = F.coalesce(F.col("value") == 0, F.lit(False))
+    marked = runs(df, KEY, "pos", zero, BLOCK, end="_last").withColumn("kind", F.when(zero, "zero").otherwise("other"))
     if mode == "run":
         blank = F.col("run_len") >= z
         return marked.withColumn("value", F.when(~((F.col("kind") == "zero") & blank), F.col("value"))).select(
@@ -122,11 +126,10 @@ def zeros_to_null(df: DataFrame, z: int, *, mode: str = "chunked") -> DataFrame:
         )
     if mode != "chunked":
         raise ValueError(f"unknown mode {mode}")
-    ended = scan(marked, KEY, ["pos"], block_of(), whole={"_last": ("max", F.col("pos"))})
     counted = F.col("run_len") - F.when(F.col("run_end") == F.col("_last"), 1).otherwise(0)
     blank = F.col("pos") - F.col("run_start") < F.floor(counted / z) * z
     return (
-        ended.withColumn("value", F.when(~((F.col("kind") == "zero") & blank), F.col("value")))
+        marked.withColumn("value", F.when(~((F.col("kind") == "zero") & blank), F.col("value")))
         .select(*df.columns)
     )
 
@@ -178,6 +181,13 @@ def imputation_error(df: DataFrame, keys: Sequence[str], *, truth: str = "truth"
     )
 
 
+def weighted_sample_error(df: DataFrame, keys: Sequence[str], *, truth: str = "truth", value: str = "value", weight: str = "weight") -> DataFrame:
+    """``(keys, weight, rmse)``: weighted RMSE of each sample, nulls counting as zero (T15); null where no cell has a weight."""
+    err = F.coalesce(truth, F.lit(0.0)) - F.coalesce(value, F.lit(0.0))
+    out = df.groupBy(*keys).agg(F.sum(weight).alias("weight"), F.sum(F.col(weight) * err * err).alias("_e"))
+    return out.withColumn("rmse", F.sqrt(F.col("_e") / F.nullif("weight", F.lit(0.0)))).drop("_e")
+
+
 def error_by_ceiling(df: DataFrame, ceilings: Sequence[float]) -> DataFrame:
     """RMSE on the marked cells whose truth is at least each ceiling share of the maximum."""
     held = df.filter(F.col("masked") == 1)
@@ -193,22 +203,17 @@ def error_by_ceiling(df: DataFrame, ceilings: Sequence[float]) -> DataFrame:
 def bootstrap_error(df: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Percentiles of the RMSE over resamples of whole series with replacement.
 
-    Cells are reduced to one error sum per series first; a replicate then draws as many series
-    as there are, by number.
+    Cells are reduced to one error sum per series first; every series then has one array of how often
+    each replicate draws it, and the weighted sums are added up as arrays.
     """
+    from tracelab.operators.evaluate import weight_arrays, weighted_totals
+    from tracelab.operators.splits import resample_weights
+
     err = F.col("truth") - F.col("value")
     per = df.filter(F.col("masked") == 1).groupBy("series_id").agg(F.sum(err * err).alias("sse"), F.count(err).alias("n"))
-    hashed = per.withColumn("_h", draw(seed, "series_id"))
-    numbered = ranked(hashed.withColumn("_k", F.lit(0)), ["_k"], ["_h", "series_id"], draw_bucket(F.col("_h")), "rank")
-    size = per.groupBy().agg(F.count(F.lit(1)).alias("c")).scalar()
-    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    draws = numbered.select("rank", reps).select(
-        "replicate", (F.pmod(draw(seed, "replicate", "rank"), size) + 1).alias("rank")
-    )
-    counts = draws.groupBy("replicate", "rank").agg(F.count(F.lit(1)).alias("times"))
-    rmse = counts.join(numbered.select("rank", "sse", "n"), "rank").groupBy("replicate").agg(
-        F.sqrt(F.sum(F.col("sse") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("rmse")
-    )
+    per = materialise(per, "series-errors")
+    weights = weight_arrays(resample_weights(per, "series_id", replicates, seed), "series_id", replicates)
+    rmse = weighted_totals(per.join(weights, "series_id"), ["sse", "n"], replicates).select(F.sqrt(F.try_divide("sse", "n")).alias("rmse"))
     return quantiles(rmse, [], "rmse", {"low": 0.025, "median": 0.5, "high": 0.975})
 
 

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.functions.scan import ranked, scan
+from tracelab.session import materialise
+
 DAY = 86400
 
 
@@ -197,12 +200,77 @@ def outer_join_traces(a: DataFrame, b: DataFrame, names: tuple[str, str]) -> Dat
     return left.join(b.select("ts", F.col("value").alias(names[1])), "ts", "full_outer")
 
 
-def herd_context(records: DataFrame, samples: DataFrame, days: int) -> DataFrame:
-    """Every animal's records in the ``days`` up to each sample's end, itself included (C17).
+def running_totals(records: DataFrame, slot: int = DAY) -> DataFrame:
+    """``(series_id, slot, n_before, total_before, times, totals)``: for every series and slot of ``slot`` seconds of the herd's whole span, the records and
+    their sum before the slot, and the running sums inside it (C17).
+
+    The span ends one slot after the last record.  A list holds one series' records of one slot.
+    """
+    at = F.floor(F.unix_seconds("ts") / slot)
+    own = records.groupBy("series_id", at.alias("slot")).agg(
+        F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("v")))).alias("_r")
+    )
+    own = materialise(own, "slots")
+    edge = own.groupBy().agg(F.struct(F.min("slot").alias("lo"), (F.max("slot") + 1).alias("hi")).alias("e")).scalar()
+    grid = own.select("series_id").distinct().withColumn("_e", edge).select("series_id", F.explode(F.sequence("_e.lo", "_e.hi")).alias("slot"))
+    every = grid.join(own, ["series_id", "slot"], "left")
+    total = F.aggregate("_r", F.lit(0.0), lambda a, r: a + r["v"])
+    summed = scan(
+        every, ["series_id"], ["slot"], F.floor(F.col("slot") / 1024),
+        cumsum={"_n": F.coalesce(F.size("_r"), F.lit(0)).cast("long"), "_total": F.coalesce(total, F.lit(0.0))},
+    )
+    inside = F.aggregate(
+        "_r", F.array().cast("array<double>"), lambda a, r: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + r["v"]))
+    )
+    return summed.select(
+        "series_id", "slot",
+        (F.col("_n") - F.coalesce(F.size("_r"), F.lit(0))).alias("n_before"), (F.col("_total") - F.coalesce(total, F.lit(0.0))).alias("total_before"),
+        F.transform("_r", lambda r: r["t"]).alias("times"), F.when(F.size("_r") > 0, inside).alias("totals"),
+    )
+
+
+def herd_window_sums(records: DataFrame, samples: DataFrame, days: int, *, slot: int = DAY) -> DataFrame:
+    """``(sample_id, series_id, n, total)``: count and sum of each animal's records in ``(stop - days, stop]``, animals with none left out (C17).
 
-    The output is one row per (sample, record) by definition; the join key is the day alone.
+    A window is the difference of two running totals, looked up by slot, so that no record meets a sample: there are two rows per sample and
+    animal whatever the window's length.
     """
-    spans = samples.select(
-        "sample_id", F.col("stop"), (F.col("stop") - F.make_dt_interval(F.lit(days))).alias("start")
+    sums = materialise(running_totals(records, slot), "running-totals")
+    edge = sums.groupBy().agg(F.struct(F.min("slot").alias("lo"), F.max("slot").alias("hi")).alias("e")).scalar()
+    ends = F.array(
+        F.struct(F.lit(1).alias("sign"), F.unix_micros("stop").alias("t")),
+        F.struct(F.lit(-1).alias("sign"), (F.unix_micros("stop") - F.lit(days * DAY * 1_000_000)).alias("t")),
     )
-    return interval_join(records, spans, keys=(), open_start=True)
+    points = samples.select("sample_id", F.inline(ends)).withColumn("_e", edge)
+    # a time before all records has nothing before it in the first slot; one behind them finds the last, empty slot
+    at = F.greatest(F.col("_e.lo"), F.least(F.col("_e.hi"), F.floor(F.col("t") / F.lit(slot * 1_000_000))))
+    met = points.select("sample_id", "sign", "t", at.alias("slot")).join(sums, "slot")
+    upto = F.coalesce(F.size(F.filter("times", lambda x: x <= F.col("t"))), F.lit(0))
+    n = F.col("n_before") + upto
+    total = F.col("total_before") + F.when(upto > 0, F.get("totals", upto - 1)).otherwise(F.lit(0.0))
+    out = met.groupBy("sample_id", "series_id").agg(F.sum(F.col("sign") * n).alias("n"), F.sum(F.col("sign") * total).alias("total"))
+    return out.where("n > 0")
+
+
+def wide_traces(traces: DataFrame, times: DataFrame | None = None, *, width: int = 256) -> tuple[DataFrame, DataFrame]:
+    """All traces side by side on time, in blocks of ``width`` columns.
+
+    ``traces``: ``(series_id, ts, value)`` with one row per series and time; the times are all that occur, or those of ``times``.  First ``(ts, block, values)``: a row per time
+    and block that has a value there, in the order of the second table, ``(series_id, block, slot)``.  Series are numbered in order of id, so the list of
+    them is never held in one place.
+    """
+    ids = traces.select("series_id").distinct().withColumn("_all", F.lit(0))
+    numbered = ranked(ids, ["_all"], ["series_id"], F.floor(F.col("series_id") / 4096), "no")
+    columns = materialise(numbered.select("series_id", F.floor((F.col("no") - 1) / width).alias("block"), ((F.col("no") - 1) % width).cast("int").alias("slot")), "columns")
+    placed = traces.where(F.col("value").isNotNull()).join(columns, "series_id")
+    if times is not None:
+        placed = placed.join(times.select("ts").distinct(), "ts", "left_semi")
+    sizes = columns.groupBy("block").agg((F.max("slot") + 1).alias("size"))
+    found = placed.groupBy("ts", "block").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("_m")).join(sizes, "block")
+    values = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.try_element_at("_m", i))
+    return found.select("ts", "block", values.alias("values")), columns
+
+
+def silent_times(wide: DataFrame, times: DataFrame) -> DataFrame:
+    """The times at which no trace of any block has a value."""
+    return times.select("ts").distinct().join(wide.select("ts").distinct(), "ts", "left_anti")

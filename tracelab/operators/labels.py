@@ -10,15 +10,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.functions.scan import neighbours, scan
+from tracelab.functions.scan import neighbours, ranked, scan
 
 KEY = ["series_id"]
 ORDER = ["visit_date", "visit_id"]
 
 
-def year_of(c: str = "visit_date") -> Column:
-    """Monotone bucket for ordered scans over visits."""
-    return F.year(c)
+def visit_day(c: str = "visit_date") -> Column:
+    """Monotone bucket for ordered scans over visits: the day number, so that a series with very many visits is cut finely."""
+    return F.unix_date(F.to_date(c)).cast("long")
 
 
 def transition(prev: Column, curr: Column) -> Column:
@@ -38,14 +38,14 @@ def label_from_code(code: Column) -> Column:
 def previous_scores(visits: DataFrame, k: int = 4) -> DataFrame:
     """The ``k`` scores before each visit and the transition label."""
     lags = {f"prev{i}": (F.col("score"), i) for i in range(1, k + 1)}
-    out = neighbours(visits, KEY, ORDER, year_of(), lags)
+    out = neighbours(visits, KEY, ORDER, visit_day(), lags)
     return out.withColumn("label", transition(F.col("prev1"), F.col("score")))
 
 
 def next_visits(visits: DataFrame, k: int = 4) -> DataFrame:
     """The ``k`` visit dates after each visit and the day gaps between successive ones."""
     leads = {f"date{i}": (F.col("visit_date"), -i) for i in range(1, k + 1)}
-    out = neighbours(visits, KEY, ORDER, year_of(), leads)
+    out = neighbours(visits, KEY, ORDER, visit_day(), leads)
     dates = ["visit_date", *leads]
     return out.withColumns({f"gap{i}": F.datediff(dates[i], dates[i - 1]) for i in range(1, k + 1)})
 
@@ -85,7 +85,7 @@ def consecutive_mask(visits: DataFrame, days: int = 7) -> DataFrame:
         "_next": (F.col("visit_date"), -1),
         "_next2": (F.col("visit_date"), -2),
     }
-    out = neighbours(visits, KEY, ORDER, year_of(), spread)
+    out = neighbours(visits, KEY, ORDER, visit_day(), spread)
     gap = F.datediff("_next", "visit_date") == days
     gap_before = F.datediff("visit_date", "_before") == days
     gap_after = F.datediff("_next2", "_next") == days
@@ -101,9 +101,9 @@ def chain_pattern(visits: DataFrame, pattern: Sequence[str], days: int) -> DataF
     n = len(pattern)
     cols: dict[str, tuple[Column, int]] = {}
     for i in range(1, n):
-        for c in ("label", "visit_date", "features", "imputed_days"):
+        for c in ("label", "visit_date", "visit_id", "imputed_days"):
             cols[f"_{c}{i}"] = (F.col(c), -i)
-    out = neighbours(visits, KEY, ORDER, year_of(), cols)
+    out = neighbours(visits.select(*KEY, *ORDER, "label", "imputed_days"), KEY, ORDER, visit_day(), cols)
 
     def at(c: str, i: int) -> Column:
         return F.col(c) if i == 0 else F.col(f"_{c}{i}")
@@ -116,19 +116,20 @@ def chain_pattern(visits: DataFrame, pattern: Sequence[str], days: int) -> DataF
     total = at("imputed_days", 0)
     for i in range(1, n):
         total = total + at("imputed_days", i)
-    return out.filter(hit).select(
-        *KEY,
-        "visit_id",
-        "visit_date",
-        F.flatten(F.array(*[at("features", i) for i in range(n)])).alias("features"),
-        total.alias("imputed_days"),
+    hits = out.filter(hit).select(*KEY, "visit_id", "visit_date", total.alias("imputed_days"), *[at("visit_id", i).alias(f"_v{i}") for i in range(n)])
+    # features are fetched for the visits of hits alone
+    parts = hits.select(*KEY, F.col("visit_id").alias("_of"), "visit_date", "imputed_days", F.posexplode(F.array(*[f"_v{i}" for i in range(n)])).alias("_i", "visit_id"))
+    told = parts.join(visits.select(*KEY, "visit_id", "features"), [*KEY, "visit_id"])
+    ordered = F.sort_array(F.collect_list(F.struct("_i", "features")))
+    return told.groupBy(*KEY, F.col("_of").alias("visit_id"), "visit_date", "imputed_days").agg(F.flatten(F.transform(ordered, lambda p: p["features"])).alias("features")).select(
+        *KEY, "visit_id", "visit_date", "features", "imputed_days"
     )
 
 
 def halves(visits: DataFrame) -> DataFrame:
     """First half by date against the rest, per series."""
     one = F.lit(1).cast("long")
-    out = scan(visits, KEY, ORDER, year_of(), cumsum={"rn": one}, whole={"n": ("sum", one)})
+    out = scan(visits, KEY, ORDER, visit_day(), cumsum={"rn": one}, whole={"n": ("sum", one)})
     return out.withColumn("half", F.when(F.col("rn") <= F.floor(F.col("n") / 2), 1).otherwise(2))
 
 
@@ -138,12 +139,10 @@ def binary_health(label: Column, healthy: Sequence[str], unhealthy: Sequence[str
 
 
 def with_dense_target(df: DataFrame, label: str = "label", name: str = "target") -> DataFrame:
-    """1-based number of the label in sorted order.
-
-    The domain of transition labels is fixed by the score scale, so the sorted list is short.
-    """
-    domain = df.groupBy().agg(F.sort_array(F.collect_set(label)).alias("d")).scalar()
-    return df.withColumn("_domain", domain).withColumn(name, F.array_position("_domain", F.col(label))).drop("_domain")
+    """1-based number of the label in sorted order, null for a null label (B12); the labels are numbered as a table of their own."""
+    domain = df.select(F.col(label).alias("_label")).where(F.col(label).isNotNull()).distinct().withColumn("_all", F.lit(0))
+    numbered = ranked(domain, ["_all"], ["_label"], F.ascii(F.col("_label").cast("string")), name).drop("_all")
+    return df.join(numbered, F.col(label) == F.col("_label"), "left").drop("_label")
 
 
 def one_hot(df: DataFrame, labels: Sequence[str], label: str = "label") -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.functions.hashing import draw
+from tracelab.operators import neighbours
 from tracelab.operators.normalise import centre_positions
 
 CLASSIFIERS = {
@@ -54,50 +52,18 @@ def principal_components(df: DataFrame, k: int) -> DataFrame:
     return model.transform(ready).withColumn("features", vector_to_array("reduced")).drop("vector", "reduced")
 
 
-def clusters(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
+def clusters(df: DataFrame, k: int, seed: int = 0, **params) -> DataFrame:
     """k-means cluster of each sample."""
     ready = with_vector(df)
-    model = KMeans(k=k, seed=seed, featuresCol="vector", predictionCol="cluster").fit(ready)
+    model = KMeans(k=k, seed=seed, featuresCol="vector", predictionCol="cluster", **params).fit(ready)
     return model.transform(ready).drop("vector")
 
 
-def nearest_neighbours(df: DataFrame, k: int, folds: int, *, block_rows: int = 4096, seed: int = 0) -> DataFrame:
+def nearest_neighbours(df: DataFrame, k: int | None, folds: int, *, block_rows: int = 4096, seed: int = 0, pivots: int = neighbours.PIVOTS) -> DataFrame:
     """Exact k-nearest-neighbour vote for every sample of every fold.
 
-    Both sides are cut by draw into blocks of about ``block_rows``.  A task compares one test
-    block with one training block and returns only the ``k`` nearest per test sample, so a group
-    never holds more than two blocks and no pair list is ever written.  ``df``:
-    ``(sample_id, y, fold, features)``; ties go to the smaller training id.
+    ``df``: ``(sample_id, y, fold, features)``; without ``k`` it is the floored root of the number of training rows.  Ties go to the smaller
+    training id.  ``neighbours.nearest`` finds the rows over pivot cells.
     """
-    size = df.groupBy().agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("b")).scalar()
-    placed = df.withColumn("_blocks", size).withColumn("_block", F.pmod(draw(seed, "sample_id"), F.col("_blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    test = placed.select(
-        F.col("fold").cast("long").alias("fold"), F.col("_block").alias("tb"), every.alias("rb"), "sample_id", "features"
-    )
-    every_fold = F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))
-    others = F.explode(F.filter(every_fold, lambda f: f != F.col("fold")))
-    train = placed.select("*", every.alias("tb")).select(
-        others.alias("fold"), "tb", F.col("_block").alias("rb"), "sample_id", "y", "features"
-    )
-
-    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = ["sample_id", "neighbour", "y", "distance"]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        right = right.sort_values("sample_id")
-        a, b = np.vstack(left["features"]), np.vstack(right["features"])
-        rows = []
-        for i, sid in enumerate(left["sample_id"]):
-            d = ((b - a[i]) ** 2).sum(axis=1)
-            best = np.argsort(d, kind="stable")[:k]
-            rows.append(pd.DataFrame({"sample_id": sid, "neighbour": right["sample_id"].to_numpy()[best], "y": right["y"].to_numpy()[best], "distance": d[best]}))
-        return pd.concat(rows)[cols]
-
-    keys = ["fold", "tb", "rb"]
-    near = test.groupBy(*keys).cogroup(train.groupBy(*keys)).applyInPandas(
-        closest, "sample_id long, neighbour long, y int, distance double"
-    )
-    w = Window.partitionBy("sample_id").orderBy("distance", "neighbour")
-    kept = near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    return kept.groupBy("sample_id").agg((F.avg("y") > 0.5).cast("int").alias("y_pred"), F.avg("y").alias("prob"))
+    listed = df.filter(F.col("fold").between(0, folds - 1))
+    return neighbours.vote(neighbours.nearest(listed, k, pivots=pivots, block_rows=block_rows, seed=seed))

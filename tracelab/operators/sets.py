@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def distinct_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Each row once, of all columns or of some."""
+    return (df if columns is None else df.select(*columns)).distinct()
+
+
 def common_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     """Ids of both sets."""
     return a.intersect(b)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelab.functions.hashing import SPAN, draw, draw_bucket
 from tracelab.functions.scan import ranked
+from tracelab.operators.combinations import drawn_combinations
 from tracelab.operators.labels import halves
 
 
@@ -55,6 +57,7 @@ def leave_n_out(
     key: str = "series_id",
     stratified: bool = False,
     only: DataFrame | None = None,
+    drawn: int | None = None,
     cap: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
@@ -64,8 +67,18 @@ def leave_n_out(
     from samples: a combination is copied once per individual with a later number, by a range
     explode, and that individual is looked up by number.  Folds whose training set has one class
     are left out.  ``stratified`` wants single-class individuals, all of different class;
-    ``only`` keeps folds whose smallest id is listed; ``cap`` keeps that many folds by draw.
+    ``only`` keeps folds whose smallest id is listed.  ``drawn`` builds only that many combinations, drawn
+    by number, before any is left out; ``cap`` draws until that many folds are left, and keeps those drawn first.
     """
+    if cap is not None:
+        most = math.comb(samples.select(key).distinct().count(), n)
+        count = min(most, 2 * cap)
+        while True:
+            folds = leave_n_out(samples, n, target=target, key=key, stratified=stratified, only=only, drawn=count, seed=seed).withColumn("_all", F.lit(0))
+            kept = ranked(folds, ["_all"], ["rank"], F.floor(F.col("rank") / 4096), "_no").filter(F.col("_no") <= cap).drop("_no", "_all", "rank")
+            if count >= most or kept.count() >= cap:
+                return kept
+            count = min(most, 4 * count)
     per = individuals(samples, target, key)
     numbered = hash_rank(per, [], draw("combination", key), key, "no")
     total = per.groupBy().agg(
@@ -74,8 +87,14 @@ def leave_n_out(
     # single-class individuals: 0 or 1, mixed ones: null
     kind = F.when(F.col("positives") == 0, 0).when(F.col("positives") == F.col("n"), 1)
     one = numbered.select("no", F.array(key).alias("members"), "n", F.col("positives").alias("p"), F.array(kind).alias("kinds"))
-    combos = one
-    for _ in range(n - 1):
+    if drawn is not None:
+        picked = drawn_combinations(samples.sparkSession, per.count(), n, drawn, seed)
+        combos = picked.join(one, "no").groupBy("number", "rank").agg(
+            F.flatten(F.collect_list("members")).alias("members"), F.sum("n").alias("n"), F.sum("p").alias("p"), F.flatten(F.collect_list("kinds")).alias("kinds")
+        )
+    else:
+        combos = one
+    for _ in range(n - 1 if drawn is None else 0):
         grown = combos.withColumn("_t", total).filter(F.col("no") < F.col("_t.c"))
         grown = grown.withColumn("_next", F.explode(F.sequence(F.col("no") + 1, F.col("_t.c")))).drop("no", "_t")
         more = one.select(*[F.col(c).alias(f"_{c}") for c in ("no", "members", "n", "p", "kinds")])
@@ -95,11 +114,8 @@ def leave_n_out(
     if only is not None:
         wanted = only.select(F.col(key).alias("_id"))
         out = out.join(wanted, F.get("members", F.lit(0)) == F.col("_id"), "left_semi")
-    out = out.select("members", F.col("n").alias("test_n"), F.col("p").alias("test_pos"), "train_n", "train_pos")
-    if cap is not None:
-        text = F.array_join(F.transform("members", lambda m: m.cast("string")), "-")
-        out = out.withColumn("_d", draw(seed, text)).orderBy("_d", text).limit(cap).drop("_d")
-    return out
+    order = ["rank"] if drawn is not None else []
+    return out.select("members", F.col("n").alias("test_n"), F.col("p").alias("test_pos"), "train_n", "train_pos", *order)
 
 
 def leave_two_out(samples: DataFrame, *, key: str = "series_id", **options) -> DataFrame:
@@ -155,12 +171,11 @@ def cross_source_split(df: DataFrame, sources: Sequence[str] | None = None, sour
 
     Without ``sources`` each source of the data trains once, and rows whose source is null are only tested.
     """
-    if sources is None:
-        sources = [r[0] for r in df.select(source).filter(F.col(source).isNotNull()).distinct().sort(source).collect()]
-    else:
+    if sources is not None:
         df = df.filter(F.col(source).isin(*sources))
-    kind = df.schema[source].dataType.simpleString()
-    directed = df.withColumn("direction", F.explode(F.array(*[F.lit(s) for s in sources]).cast(f"array<{kind}>")))
+    # the sources are read as a subquery of the same plan; a row is copied once per source, which is what the split is
+    each = df.groupBy().agg(F.sort_array(F.collect_set(source)).alias("s")).scalar()
+    directed = df.withColumn("_sources", each).withColumn("direction", F.explode("_sources")).drop("_sources")
     return directed.withColumn("split", F.when(F.col(source) == F.col("direction"), "train").otherwise("test"))
 
 

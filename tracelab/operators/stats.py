@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelab.functions.quantile import let, medians, quantiles, value_bucket, with_medians
 from tracelab.functions.scan import ranked
-from tracelab.functions.hashing import SPAN, draw
+from tracelab.functions.hashing import SPAN, draw, draw_bucket
 from tracelab.operators.normalise import array_sum, cells_of, transform_positions
 from tracelab.operators.splits import hash_rank
 
@@ -235,8 +235,9 @@ def keep_large_groups(df: DataFrame, keys: Sequence[str], at_least: int) -> Data
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """Exactly ``n`` rows chosen by draw."""
-    return df.withColumn("_d", draw(seed, *key)).orderBy("_d", *key).limit(n).drop("_d")
+    """Exactly ``n`` rows chosen by draw (F6), ranked in slices of the draw, so that ``n`` may be large."""
+    drawn = df.withColumns({"_d": draw(seed, *key), "_all": F.lit(0)})
+    return ranked(drawn, ["_all"], ["_d", *key], draw_bucket(F.col("_d")), "_rank").filter(F.col("_rank") <= n).drop("_d", "_all", "_rank")
 
 
 def sample_share(df: DataFrame, share: float, seed: int, key: Sequence[str]) -> DataFrame:
@@ -351,6 +352,20 @@ def report(df: DataFrame, config: str, fold: str, means: Sequence[str], total: s
     return agg.join(lists, config)
 
 
+def daily_weather(hours: DataFrame, columns: Sequence[str], hour: str = "hour") -> DataFrame:
+    """Mean of each reading per day, and how many hours it has."""
+    return hours.groupBy(F.to_date(hour).alias("day")).agg(F.count(F.lit(1)).alias("hours"), *[F.avg(c).alias(c) for c in columns])
+
+
+def metric_pivot(df: DataFrame, rows: Sequence[str], column: str, domain: Sequence[object], metric: str) -> DataFrame:
+    """Mean of a metric with a column for each value of a stated domain, and ``…_other`` for all else, nulls too."""
+    known = list(domain)
+    at = F.when(F.col(column).isin(*known), F.col(column).cast("string")).otherwise(F.lit("other"))
+    names = [*map(str, known), "other"]
+    wide = df.withColumn("_at", at).groupBy(*rows).pivot("_at", names).agg(F.avg(metric))
+    return wide.select(*rows, *[F.col(f"`{n}`").alias(f"{column}_{n}") for n in names])
+
+
 def grid_search_summary(df: DataFrame, c: str, gamma: str, score: str, keep_c: object) -> DataFrame:
     """Scores floored at 0.5, median per (C, gamma), only gammas that occur with ``keep_c``."""
     floored = df.withColumn("_s", F.greatest(F.col(score), F.lit(0.5)))

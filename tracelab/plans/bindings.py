@@ -87,18 +87,18 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VE = (
     "ve AS (SELECT user_id AS series_id, event_id AS visit_id, ts AS visit_ts,"
-    " (1 + event_id % 5)::INT AS score FROM events WHERE event_type = 'signup')"
+    " (1 + event_id % 5)::INT AS score, event_type AS kind FROM events)"
 )
 
 
 def visits_on_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits that share their ids with the traces."""
-    s = series(spark, sf_dir).filter(F.col("kind") == "signup")
-    return s.select(
+    """Visits that share their ids with the traces: every event is one, its kind a column."""
+    return series(spark, sf_dir).select(
         "series_id",
         F.col("event_id").alias("visit_id"),
         F.col("ts").alias("visit_ts"),
         (1 + F.col("event_id") % 5).cast("int").alias("score"),
+        "kind",
     )
 
 
@@ -145,11 +145,6 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def values_of(df: DataFrame, col: str) -> list:
-    """The values that a column of few values holds, null among them."""
-    return [r[0] for r in df.select(col).distinct().sort(col).collect()]
-
-
 # -- experiment reports ------------------------------------------------------
 
 R = (
@@ -181,12 +176,11 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WX = (
     "wx AS (SELECT date_trunc('hour', ts) AS hour, avg(value) AS temp_c, max(value) AS humidity"
-    " FROM events WHERE event_type = 'view' GROUP BY 1)"
+    " FROM events GROUP BY 1)"
 )
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = series(spark, sf_dir).filter(F.col("kind") == "view")
-    return ev.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
+    return series(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
         F.avg("value").alias("temp_c"), F.max("value").alias("humidity")
     )

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.functions import scalar
-from tracelab.operators import evaluate, filters, grid, herd, models, sets, splits, stats
+from tracelab.operators import certificates, evaluate, filters, grid, herd, models, sets, splits, stats
 from tracelab.operators.labels import light_phase
 from tracelab.plans.bindings import (
     HOURLY, P, R, S, V, VE, X, hourly_grid, predictions, q6, qsecs, r6, reports, samples, secs, series, table, visits,
-    values_of, visits_on_series, weather,
+    visits_on_series, weather,
 )
 from tracelab.plans.registry import query
 from tracelab.plans.trace_queries import COMMON, REC, common_hourly, records, sql_draw
@@ -77,10 +77,20 @@ def _(spark, sf):
     f" SELECT series_id, \"window\", {q6('r')} AS null_ratio, {q6('t')} AS total, positive, cells FROM w WHERE r <= 0.9 AND coalesce(t, 0) >= 50.001",
 )
 def _(spark, sf):
-    out = filters.good_windows(hourly_grid(spark, sf), 24, 0.9, 50.001)
+    out = filters.good_windows(hourly_grid(spark, sf), 24, 0.9, 50.001).drop("zeros")
     return out.withColumns({"null_ratio": r6("null_ratio"), "total": r6("total")})
 
 
+@query(
+    "b18_active_windows",
+    f"WITH {HOURLY}, w AS (SELECT series_id, pos // 168 AS \"window\", count(*) FILTER (value > 0) AS positive, count(*) FILTER (value = 0) AS zeros, count(*) AS cells FROM g GROUP BY 1, 2)"
+    " SELECT series_id, \"window\", positive, zeros, cells FROM w WHERE zeros < cells AND positive > 2",
+)
+def _(spark, sf):
+    out = filters.active_windows(hourly_grid(spark, sf), 168, 2)
+    return out.select("series_id", "window", "positive", "zeros", "cells")
+
+
 _DQ = f"WITH {COMMON}, d AS (SELECT series_id, ts::DATE AS day, count(*) AS cells, count(*) - count(value) AS nulls FROM g GROUP BY 1, 2) SELECT series_id, {qday('day')} AS day, cells, nulls FROM d"
 
 
@@ -254,13 +264,12 @@ def _(spark, sf):
 
 @query(
     "d17_daily_weather",
-    "WITH wx AS (SELECT date_trunc('hour', ts) AS hour, avg(value) AS temp_c FROM events WHERE event_type = 'view' GROUP BY 1)"
+    "WITH wx AS (SELECT date_trunc('hour', ts) AS hour, avg(value) AS temp_c FROM events GROUP BY 1)"
     f" SELECT {qday('hour')} AS day, count(*) AS hours, {q6('avg(temp_c)')} AS temp_c FROM wx GROUP BY 1",
 )
 def _(spark, sf):
-    w = weather(spark, sf)
-    out = w.groupBy(day_text("hour").alias("day")).agg(F.count(F.lit(1)).alias("hours"), r6(F.avg("temp_c")).alias("temp_c"))
-    return out
+    out = stats.daily_weather(weather(spark, sf), ["temp_c"])
+    return out.select(day_text("day").alias("day"), "hours", r6("temp_c").alias("temp_c"))
 
 
 @query(
@@ -476,9 +485,18 @@ def _(spark, sf):
     "SELECT lower(o_orderstatus) AS source, o_orderkey AS visit_id FROM orders",
 )
 def _(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("visit_id"), F.lower("o_orderstatus").alias("status"))
-    parts = {s: o.filter(F.col("status").eqNullSafe(F.lit(s))) for s in values_of(o, "status") or [None]}
-    return sets.union_sources(parts).select(F.col("source").cast("string"), "visit_id")
+    return table(spark, sf, "orders").select(F.lower("o_orderstatus").alias("source"), F.col("o_orderkey").alias("visit_id"))
+
+
+@query(
+    "g1_union_of_tables",
+    "SELECT 'visits' AS source, o_orderkey AS id, o_custkey AS series_id, o_orderdate::DATE::VARCHAR AS day FROM orders"
+    " UNION ALL SELECT 'records', event_id, user_id, ts::DATE::VARCHAR FROM events",
+)
+def _(spark, sf):
+    visit = visits(spark, sf).select(F.col("visit_id").alias("id"), "series_id", F.col("visit_date").cast("string").alias("day"))
+    record = series(spark, sf).select(F.col("event_id").alias("id"), F.to_date("ts").cast("string").alias("day"), "series_id")
+    return sets.union_sources({"visits": visit, "records": record})
 
 
 @query("g2_common_ids", "SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders")
@@ -499,7 +517,7 @@ def _(spark, sf):
 
 @query("g4_distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber, l_quantity FROM lineitem")
 def _(spark, sf):
-    return table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity").distinct()
+    return sets.distinct_rows(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"])
 
 
 # -- splits ------------------------------------------------------------------
@@ -562,6 +580,27 @@ def _(spark, sf):
     return out.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), "-"))
 
 
+_TRIPLE = (
+    f"WITH {V}, ind AS (SELECT series_id, count(*) AS n, count(*) FILTER (score >= 4) AS p FROM v GROUP BY 1), tot AS (SELECT sum(n)::BIGINT AS tn, sum(p)::BIGINT AS tp, count(*) AS m FROM ind),"
+    f" num AS (SELECT *, row_number() OVER (ORDER BY {sql_draw(chr(39) + 'combination' + chr(39), 'series_id')}, series_id) - 1 AS c FROM ind),"
+    f" dr AS (SELECT i, ((({sql_draw(chr(39) + '5-high' + chr(39), 'i')})::HUGEINT * 4294967296 + {sql_draw(chr(39) + '5-low' + chr(39), 'i')}) % (m * (m - 1) * (m - 2) // 6))::BIGINT AS number FROM range(0, 4000) t(i), tot),"
+    " fi AS (SELECT number, min(i) AS i FROM dr GROUP BY 1 ORDER BY 2 LIMIT 1000),"
+    " c3 AS (SELECT number, max(c) AS c FROM fi JOIN num ON c * (c - 1) * (c - 2) // 6 <= number GROUP BY 1), r3 AS (SELECT number, c AS a, number - c * (c - 1) * (c - 2) // 6 AS rest FROM c3),"
+    " c2 AS (SELECT number, a, rest, max(c) AS b FROM r3 JOIN num ON c * (c - 1) // 2 <= rest GROUP BY ALL), c1 AS (SELECT a, b, rest - b * (b - 1) // 2 AS c FROM c2)"
+)
+
+
+@query(
+    "m3_drawn_triples",
+    f"{_TRIPLE} SELECT array_to_string(list_sort([x.series_id, y.series_id, z.series_id]), '-') AS members, x.n + y.n + z.n AS test_n, x.p + y.p + z.p AS test_pos, tn - x.n - y.n - z.n AS train_n, tp - x.p - y.p - z.p AS train_pos"
+    " FROM c1 JOIN num x ON x.c = c1.a JOIN num y ON y.c = c1.b JOIN num z ON z.c = c1.c, tot WHERE train_pos > 0 AND train_pos < train_n",
+)
+def _(spark, sf):
+    v = visits(spark, sf).withColumn("target", (F.col("score") >= 4).cast("int"))
+    out = splits.leave_n_out(v, 3, drawn=1000, seed=5).drop("rank")
+    return out.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), "-"))
+
+
 def _resample_sql(ids, key, seed, less=0):
     s = f"'{seed}'"
     return (
@@ -585,7 +624,7 @@ def _(spark, sf):
 
 @query(
     "m7_cross_farm_split",
-    f"WITH {R}, f AS (SELECT unnest(['A', 'N', 'R']) AS direction) SELECT direction, farm_id, CASE WHEN farm_id = direction THEN 'train' ELSE 'test' END AS split,"
+    f"WITH {R}, f AS (SELECT DISTINCT farm_id AS direction FROM r WHERE farm_id IS NOT NULL) SELECT direction, farm_id, CASE WHEN farm_id = direction THEN 'train' ELSE 'test' END AS split,"
     f" count(*) AS n, {q6('avg(price)')} AS price FROM r, f GROUP BY 1, 2, 3",
 )
 def _(spark, sf):
@@ -732,6 +771,27 @@ def _(spark, sf):
     return out.withColumns({c: r6(c) for c in ("low", "median", "high")})
 
 
+def _split_boot(side):
+    """The replicates' AUC over the rows of one side."""
+    return (
+        f", sc_{side} AS (SELECT replicate, score, coalesce(sum(times) FILTER (y = 1), 0) AS pos, coalesce(sum(times) FILTER (y = 0), 0) AS neg FROM p JOIN wt USING (fold)"
+        f" WHERE (CASE WHEN sample_id % 3 = 0 THEN 'test' ELSE 'train' END) = '{side}' GROUP BY 1, 2), cu_{side} AS (SELECT *, sum(pos) OVER (PARTITION BY replicate ORDER BY score DESC) AS tp FROM sc_{side}),"
+        f" au_{side} AS (SELECT replicate, sum(neg * (tp - pos + pos / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM cu_{side} GROUP BY 1)"
+    )
+
+
+@query(
+    "m16_bootstrap_both_splits",
+    f"{_BOOT}{_split_boot('test')}{_split_boot('train')}, pt AS (SELECT replicate, sum(times * y) / sum(times) AS precision FROM p JOIN wt USING (fold) WHERE y_pred = 1 AND sample_id % 3 = 0 GROUP BY 1)"
+    f" SELECT t.replicate::INT AS replicate, {q6('t.auc')} AS auc, {q6('r.auc')} AS train_auc, {q6('pt.precision')} AS precision"
+    " FROM au_test t LEFT JOIN au_train r USING (replicate) LEFT JOIN pt USING (replicate)",
+)
+def _(spark, sf):
+    p = predictions(spark, sf).withColumn("split", F.when(F.col("sample_id") % 3 == 0, "test").otherwise("train"))
+    out = evaluate.bootstrap_metrics(p, "fold", 100, 16, split="split")
+    return out.select("replicate", *[r6(c).alias(c) for c in ("auc", "train_auc", "precision")])
+
+
 @query(
     "m17_report",
     f"WITH {R}, f AS (SELECT config, l_orderkey % 5 AS k, avg(auc) AS m FROM r GROUP BY 1, 2), l AS (SELECT config, string_agg(floor(m * 1000 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY k) AS auc_list FROM f GROUP BY 1)"
@@ -773,6 +833,16 @@ def _(spark, sf):
     return out.select("method", *[r6(c).alias(f"fold_{c}") for c in out.columns[1:]])
 
 
+@query(
+    "m20_metric_domain",
+    f"WITH {R} SELECT method, " + ", ".join(f"{q6(f'avg(price) FILTER (fold = {i})')} AS fold_{i}" for i in range(1, 8))
+    + f", {q6('avg(price) FILTER (fold IS NULL OR fold NOT BETWEEN 1 AND 7)')} AS fold_other FROM r GROUP BY 1",
+)
+def _(spark, sf):
+    out = stats.metric_pivot(reports(spark, sf), ["method"], "fold", range(1, 8), "price")
+    return out.select("method", *[r6(c).alias(c) for c in out.columns[1:]])
+
+
 @query(
     "m21_mann_whitney",
     f"WITH {P}, a AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk, count(*) OVER (PARTITION BY score) AS t FROM p),"
@@ -787,6 +857,29 @@ def _(spark, sf):
     return out.select("n1", "n2", r6("u").alias("u"), r6("z").alias("z"), r6("p").alias("p"))
 
 
+_EXACT = (
+    f"WITH RECURSIVE {P}, q AS (SELECT sample_id // 16 AS part, score, (y = 1)::INT AS one FROM p WHERE score IS NOT NULL AND y IN (0, 1)),"
+    " z AS (SELECT part, count(*) FILTER (one = 1) AS n1, count(*) FILTER (one = 0) AS n2 FROM q GROUP BY 1 HAVING n1 BETWEEN 1 AND 20 AND n2 BETWEEN 1 AND 20),"
+    " k AS (SELECT part, one, row_number() OVER (PARTITION BY part ORDER BY score, one) AS i, 2 * rank() OVER (PARTITION BY part ORDER BY score) + count(*) OVER (PARTITION BY part, score) - 1 AS r2 FROM q SEMI JOIN z USING (part)),"
+    " w AS (SELECT part, 0 AS i, 0 AS picked, 0::BIGINT AS total, 1::HUGEINT AS ways FROM z UNION ALL"
+    " SELECT part, i, picked, total, sum(ways)::HUGEINT AS ways FROM (SELECT w.part, k.i, w.picked + t.take AS picked, w.total + t.take * k.r2 AS total, w.ways FROM w JOIN k ON k.part = w.part AND k.i = w.i + 1, (VALUES (0), (1)) t(take))"
+    " GROUP BY part, i, picked, total),"
+    " o AS (SELECT part, sum(r2) FILTER (one = 1) AS seen FROM k GROUP BY 1),"
+    " f AS (SELECT w.part, n1, n2, seen, total, ways FROM w JOIN z USING (part) JOIN o USING (part) WHERE w.i = n1 + n2 AND w.picked = n1)"
+)
+
+
+@query(
+    "m21_exact_small_groups",
+    f"{_EXACT} SELECT part, any_value(n1) AS n1, any_value(n2) AS n2, {q6('any_value(seen) / 2.0::DOUBLE - any_value(n1 * (n1 + 1)) / 2.0::DOUBLE')} AS u,"
+    f" {q6('least(1.0::DOUBLE, 2 * least(sum(ways) FILTER (total <= seen), sum(ways) FILTER (total >= seen))::DOUBLE / sum(ways)::DOUBLE)')} AS p FROM f GROUP BY part",
+)
+def _(spark, sf):
+    p = predictions(spark, sf).withColumn("part", F.floor(F.col("sample_id") / 16))
+    out = evaluate.mann_whitney_exact(p, ["part"])
+    return out.select("part", "n1", "n2", r6("u").alias("u"), r6("p").alias("p"))
+
+
 @query(
     "m22_fold_accuracy",
     f"WITH {P}, a AS (SELECT fold, avg((y = y_pred)::INT) AS accuracy FROM p GROUP BY 1) SELECT DISTINCT fold, series_id, {q6('accuracy')} AS accuracy FROM p JOIN a USING (fold)",
@@ -849,6 +942,42 @@ def _(spark, sf):
     return models.fit_predict(_folds(spark, sf), "tree", 2, maxDepth=4)
 
 
+_FOLDED = (
+    f"WITH {X}, s AS (SELECT DISTINCT sample_id, (label < 5)::INT AS y FROM x), f AS (SELECT sample_id, y, ((row_number() OVER (ORDER BY {sql_draw(chr(39) + '1' + chr(39), '1', 'sample_id')}, sample_id) - 1) % 2)::INT AS fold FROM s)"
+)
+
+
+@query(
+    "m10_logistic_certificate",
+    f"{_FOLDED} SELECT a.fold, count(DISTINCT b.sample_id) AS n, true AS optimal FROM f a JOIN f b ON a.fold != b.fold GROUP BY a.fold",
+)
+def _(spark, sf):
+    return certificates.logistic(_folds(spark, sf), 2, penalty=0.01)
+
+
+@query("m10_linear_certificate", f"{_FOLDED} SELECT a.fold, count(DISTINCT b.sample_id) AS n, true AS optimal FROM f a JOIN f b ON a.fold != b.fold GROUP BY a.fold")
+def _(spark, sf):
+    return certificates.linear(_folds(spark, sf), 2, penalty=0.01)
+
+
+@query("m10_tree_certificate", f"{_FOLDED} SELECT a.fold, count(DISTINCT b.sample_id) AS n, 0::BIGINT AS odd_leaves FROM f a JOIN f b ON a.fold != b.fold GROUP BY a.fold")
+def _(spark, sf):
+    return certificates.tree(_folds(spark, sf), 2, depth=4)
+
+
+@query(
+    "s8_certificate",
+    "WITH c AS (SELECT unnest(range(0, 3))::INT AS component) SELECT component, (SELECT count(*) FROM embeddings) AS n, true AS eigenvector, true AS unit, true AS uncorrelated FROM c",
+)
+def _(spark, sf):
+    return certificates.components(samples(spark, sf), 3)
+
+
+@query("m23_certificate", "SELECT count(*) AS n, 0::BIGINT AS misplaced FROM embeddings")
+def _(spark, sf):
+    return certificates.clustering(materialise(models.principal_components(samples(spark, sf), 3), "reduced"), 4)
+
+
 @query("s8_principal_components")
 def _(spark, sf):
     out = models.principal_components(samples(spark, sf), 3)

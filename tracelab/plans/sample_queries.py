@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelab.functions import scalar
 from tracelab.operators import filters, grid, herd, impute, joins, normalise, spectral, stats
 from tracelab.operators import samples as sm
-from tracelab.plans.bindings import HOURLY, S, WX, X, hourly_grid, long_features, q6, r6, samples, series, table, weather
+from tracelab.plans.bindings import HOURLY, S, WX, X, hourly_grid, long_features, q6, r6, samples, secs, series, table, weather
 from tracelab.plans.registry import query
 from tracelab.plans.trace_queries import COMMON, common_hourly
 from tracelab.session import materialise
@@ -81,7 +81,7 @@ def _(spark, sf):
 
 @query("i4_root_and_exp", f"WITH {S} SELECT event_id, {q6('sqrt(value)')} AS root, {q6('exp(value / 100)')} AS e FROM s")
 def _(spark, sf):
-    return series(spark, sf).select("event_id", r6(F.sqrt("value")).alias("root"), r6(F.exp(F.col("value") / 100)).alias("e"))
+    return series(spark, sf).select("event_id", r6(scalar.root(F.col("value"))).alias("root"), r6(scalar.unlog(F.col("value") / 100)).alias("e"))
 
 
 @query(
@@ -159,12 +159,12 @@ def _(spark, sf):
     " (epoch_us(date_trunc('minute', ts)) // 1000000)::BIGINT AS epoch_s FROM s",
 )
 def _(spark, sf):
-    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm")
+    text = scalar.minute_text(F.col("ts"))
     return series(spark, sf).select(
         "event_id",
         text.alias("date_str"),
-        F.date_format("ts", "dd/MM/yyyy").alias("day_first"),
-        F.unix_seconds(F.to_timestamp(text, "yyyy-MM-dd'T'HH:mm")).alias("epoch_s"),
+        scalar.day_first_text(F.col("ts")).alias("day_first"),
+        scalar.epoch_of_minute(text).alias("epoch_s"),
     )
 
 
@@ -429,10 +429,8 @@ def _(spark, sf):
     f" SELECT series_id, (d * 86400)::BIGINT AS start_s, count(*) AS n, {q6('sum(value)')} AS total FROM w GROUP BY 1, 2",
 )
 def _(spark, sf):
-    w = F.window("ts", "7 days", "1 day")
-    return series(spark, sf).groupBy("series_id", w).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total")).select(
-        "series_id", F.unix_seconds("window.start").alias("start_s"), "n", "total"
-    )
+    out = grid.sliding_sums(series(spark, sf), "7 days", "1 day")
+    return out.select("series_id", secs("start").alias("start_s"), "n", r6("total").alias("total"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelab.operators import models, splits
-from tracelab.plans.bindings import HOURLY, R, S, V, X, hourly_grid, long_features, q6, qsecs, r6, reports, samples, secs, series, values_of, visits, weather
+from tracelab.plans.bindings import HOURLY, P, R, S, V, X, hourly_grid, long_features, predictions, q6, qsecs, r6, reports, samples, secs, series, visits, weather
 from tracelab.plans.registry import query
 from tracelab.plans.result_queries import _folds
 from tracelab.plans.trace_queries import _ROLL_OUT, REC, ROLL_ALL, records, roll_out, sql_draw
@@ -107,7 +107,7 @@ def _(spark, sf):
 
 
 _WX_OUT = (
-    "WITH wx AS (SELECT date_trunc('hour', ts) AS hour, floor(avg(value)) AS temp_c, floor(max(value)) AS humidity FROM events WHERE event_type = 'view' GROUP BY 1)"
+    "WITH wx AS (SELECT date_trunc('hour', ts) AS hour, floor(avg(value)) AS temp_c, floor(max(value)) AS humidity FROM events GROUP BY 1)"
     f" SELECT {qday('hour')} AS date, strftime(hour, '%H:00') AS time, {q6('temp_c')} AS temp_c, {q6('humidity')} AS humidity FROM wx"
 )
 
@@ -161,6 +161,35 @@ def _(spark, sf):
     return out.withColumn("price", r6("price"))
 
 
+_FOLD_SQL = (
+    f"WITH {P} SELECT fold AS run, 7::BIGINT AS days, 'qn' AS steps, series_id AS fold, count(*) AS n_test, sum(y)::BIGINT AS positives, {q6('avg(score)')} AS score"
+    " FROM p WHERE y IS NOT NULL GROUP BY fold, series_id"
+)
+
+
+@query("a7_nested_folds", _FOLD_SQL)
+def _(spark, sf):
+    path = scratch_path(spark, "results-nested")
+    p = predictions(spark, sf).where(F.col("y").isNotNull())
+    each = p.groupBy("fold", "series_id").agg(
+        F.avg("score").alias("score"), F.transform(F.sort_array(F.collect_list(F.struct("sample_id", "y"))), lambda s: s["y"]).alias("y_test")
+    )
+    one = F.struct(F.col("series_id").alias("fold"), F.struct("score").alias("metrics"), "y_test")
+    pretty = {"pretty": "true"}
+    run = F.concat(F.lit("run_"), "fold", F.lit("__7_qn"))
+    # runs of an odd name length are one file per fold, the others one file with all folds
+    odd = F.length("fold") % 2 == 1
+    each.where(odd).select(run.alias("config"), F.col("series_id").alias("part"), F.to_json(one, pretty).alias("value")).write.partitionBy("config", "part").option("compression", "none").text(f"{path}/single")
+    every = each.where(~odd).groupBy("fold").agg(F.collect_list(one).alias("folds"))
+    every.select(run.alias("config"), F.to_json(F.struct("folds"), pretty).alias("value")).write.partitionBy("config").text(f"{path}/all")
+    out = tables.read_nested_results(
+        spark, path, {"fold": ("$.fold", "int"), "score": ("$.metrics.score", "double"), "y_test": ("$.y_test", "array<int>")},
+        {"run": r"config=run_(.+?)__", "days": r"__(\d+)_", "steps": r"__\d+_([^/_]+)"}, suffix="",
+    )
+    positives = F.aggregate("y_test", F.lit(0).cast("long"), lambda a, y: a + y)
+    return out.select("run", F.col("days").cast("long").alias("days"), "steps", "fold", F.size("y_test").cast("long").alias("n_test"), positives.alias("positives"), r6("score").alias("score"))
+
+
 @query("a8_experiment_csv", _RES_SQL)
 def _(spark, sf):
     path = scratch_path(spark, "results-csv")
@@ -172,11 +201,10 @@ def _(spark, sf):
 @query("a15_merged_results", _RES_SQL)
 def _(spark, sf):
     path = scratch_path(spark, "merge")
-    r = _results(spark, sf)
-    for n, part in enumerate(values_of(r, "method") or [None]):
-        r.filter(F.col("method").eqNullSafe(F.lit(part))).write.option("header", True).csv(f"{path}/in_{n}")
+    # one job writes a folder of files per method; the method stays a column of the files as well
+    _results(spark, sf).withColumn("part", F.col("method")).write.partitionBy("part").option("header", True).csv(f"{path}/in")
     schema = "farm_id STRING, method STRING, fold INT, n BIGINT, price DOUBLE"
-    tables.merge_results(spark, f"{path}/in_*", schema, f"{path}/out", ["farm_id", "method", "fold"])
+    tables.merge_results(spark, f"{path}/in/part=*", schema, f"{path}/out", ["farm_id", "method", "fold"])
     out = spark.read.schema(schema).option("header", True).csv(f"{path}/out")
     return out.withColumn("price", r6("price"))
 
@@ -269,12 +297,22 @@ def _(spark, sf):
     return splits.fold_table(splits.kfold(samples(spark, sf), 4, seed=2), 4).select("fold", "sample_id", "split")
 
 
-@query(
-    "m10_nearest_neighbours",
-    f"WITH {X}, s AS (SELECT DISTINCT sample_id, (label < 5)::INT AS y FROM x), f AS (SELECT sample_id, y, (row_number() OVER (ORDER BY {sql_draw(chr(39) + '1' + chr(39), '1', 'sample_id')}, sample_id) - 1) % 2 AS fold FROM s),"
-    " e AS (SELECT f.*, embedding::DOUBLE[64] AS v FROM f JOIN embeddings ON vec_id = sample_id), d AS (SELECT a.sample_id, b.y, row_number() OVER (PARTITION BY a.sample_id ORDER BY"
-    f" array_distance(a.v, b.v), b.sample_id) AS rn FROM e a JOIN e b ON a.fold != b.fold) SELECT sample_id, (avg(y) > 0.5)::INT AS y_pred, {q6('avg(y)')} AS prob FROM d WHERE rn <= 15 GROUP BY 1",
-)
+def _vote_sql(k):
+    """Vote of the ``k`` nearest rows of the other fold."""
+    return (
+        f"WITH {X}, s AS (SELECT DISTINCT sample_id, (label < 5)::INT AS y FROM x), f AS (SELECT sample_id, y, (row_number() OVER (ORDER BY {sql_draw(chr(39) + '1' + chr(39), '1', 'sample_id')}, sample_id) - 1) % 2 AS fold FROM s),"
+        " e AS (SELECT f.*, embedding::DOUBLE[64] AS v FROM f JOIN embeddings ON vec_id = sample_id), d AS (SELECT a.sample_id, b.y, count(*) OVER (PARTITION BY a.sample_id) AS n, row_number() OVER (PARTITION BY a.sample_id ORDER BY"
+        f" array_distance(a.v, b.v), b.sample_id) AS rn FROM e a JOIN e b ON a.fold != b.fold) SELECT sample_id, (avg(y) > 0.5)::INT AS y_pred, {q6('avg(y)')} AS prob FROM d WHERE rn <= {k} GROUP BY 1"
+    )
+
+
+@query("m10_nearest_neighbours", _vote_sql("15"))
 def _(spark, sf):
     out = models.nearest_neighbours(_folds(spark, sf), 15, 2, block_rows=200)
     return out.withColumn("prob", r6("prob"))
+
+
+@query("m10_nearest_neighbours_root", _vote_sql("floor(sqrt(n))"))
+def _(spark, sf):
+    out = models.nearest_neighbours(_folds(spark, sf), None, 2)
+    return out.withColumn("prob", r6("prob"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelab.operators import grid, impute
+from tracelab.operators import grid, impute, runlength
 from tracelab.plans.bindings import HOURLY, S, hourly_grid, q6, qsecs, r6, secs, series, table
 from tracelab.plans.registry import query
+from tracelab.session import materialise
 
 REC = (
     "rec AS (SELECT user_id AS series_id, ts, event_id, value, (event_id % 97)::INT AS signal_strength,"
@@ -182,7 +183,25 @@ def _from_first_sql(step):
     )
 
 
-for _name, _step in (("10_minutes", "10 minutes"), ("week", "7 days"), ("month", "30 days")):
+def _filled_sql(step):
+    base = _from_first_sql(step)
+    return (
+        f"WITH o AS ({base}), e AS (SELECT series_id, min(bucket_s) AS lo, max(bucket_s) AS hi FROM o GROUP BY 1),"
+        f" g AS (SELECT series_id, unnest(generate_series(lo, hi, {step}))::BIGINT AS bucket_s FROM e)"
+        " SELECT series_id, bucket_s, value, signal_max, signal_min, battery_min FROM g LEFT JOIN o USING (series_id, bucket_s)"
+    )
+
+
+for _name, _step in (("10_minutes", "10 minutes"), ("hour", "1 hours"), ("day", "1 days"), ("week", "7 days"), ("month", "30 days")):
+
+    @query(f"d4_every_step_{_name}", _filled_sql(grid.seconds(_step)))
+    def _(spark, sf, step=_step):
+        return grid.resample_from_first_filled(records(spark, sf), step).withColumn("value", r6("value"))
+
+
+for _name, _step in (
+    ("1_minute", "1 minutes"), ("5_minutes", "5 minutes"), ("10_minutes", "10 minutes"), ("hour", "1 hours"), ("day", "1 days"), ("week", "7 days"), ("month", "30 days"),
+):
 
     @query(f"d4_older_rollup_{_name}", _from_first_sql(grid.seconds(_step)))
     def _(spark, sf, step=_step):
@@ -272,10 +291,7 @@ ZERO_RUNS = RUNS.format(kind=ZERO_KIND)
     f"WITH {HOURLY}, {NULL_RUNS} SELECT series_id, pos, kind, run_start, run_end, run_len, run_pos FROM runs",
 )
 def _(spark, sf):
-    out = impute.null_runs(hourly_grid(spark, sf))
-    return out.select(
-        "series_id", "pos", "kind", "run_start", "run_end", "run_len", (F.col("pos") - F.col("run_start") + 1).alias("run_pos")
-    )
+    return runlength.cells_of_runs(runlength.null_runs(sparse_hourly(spark, sf)))
 
 
 # counts with zeros and nulls: hours of no record are null when their number is odd
@@ -296,10 +312,27 @@ def zero_grid(spark, sf):
     )
 
 
+def hourly_sums(spark, sf):
+    return grid.bucket_sum(series(spark, sf), "1 hour")
+
+
+def sparse_hourly(spark, sf):
+    """The hourly trace by its records alone."""
+    return runlength.own_grid(hourly_sums(spark, sf), "1 hour")
+
+
+def sparse_zeros(spark, sf):
+    """The trace of ``zero_grid`` by the cells that are not zero: large sums, and every 37th hour if it has no record."""
+    trace = sparse_hourly(spark, sf)
+    large = trace.cells.where("value >= 20")
+    every = trace.spans.select("series_id", F.explode(F.sequence(F.col("first"), F.col("last"), F.lit(37).cast("long"))).alias("pos"))
+    blank = every.join(trace.cells.where("value IS NOT NULL"), ["series_id", "pos"], "left_anti").select("series_id", "pos", F.lit(None).cast("double").alias("value"))
+    return runlength.SparseTrace(materialise(large.unionByName(blank), "cells-not-zero"), trace.spans, 0.0)
+
+
 @query("e5_zero_runs", f"WITH {ZEROS}, {ZERO_RUNS} SELECT series_id, pos, kind, run_len, run_pos FROM runs")
 def _(spark, sf):
-    out = impute.zero_runs(zero_grid(spark, sf))
-    return out.select("series_id", "pos", "kind", "run_len", (F.col("pos") - F.col("run_start") + 1).alias("run_pos"))
+    return runlength.cells_of_runs(runlength.zero_runs(sparse_zeros(spark, sf))).select("series_id", "pos", "kind", "run_len", "run_pos")
 
 
 @query(
@@ -312,7 +345,7 @@ def _(spark, sf):
     " UNION ALL SELECT kind, run_len, count(*) AS n FROM runs WHERE kind = 'zero' AND run_pos = 1 GROUP BY 1, 2",
 )
 def _(spark, sf):
-    return impute.gap_histogram(zero_grid(spark, sf))
+    return runlength.gap_histogram(sparse_zeros(spark, sf))
 
 
 AROUND = (
@@ -344,12 +377,12 @@ LINE_HELD = f"coalesce({LINE}, lv, nv)"
 
 @query("t6_bounded_interpolation", _fill_sql(f"CASE WHEN gap <= 6 THEN {LINE_HELD} END", COMMON))
 def _(spark, sf):
-    return _fill(impute.bounded_interpolation(common_hourly(spark, sf), 6))
+    return _fill(runlength.bounded_interpolation(runlength.herd_grid(hourly_sums(spark, sf), "1 hour"), 6))
 
 
 @query("t6_bounded_interpolation_exclusive", _fill_sql(f"CASE WHEN gap < 6 THEN {LINE_HELD} END"))
 def _(spark, sf):
-    return _fill(impute.bounded_interpolation(hourly_grid(spark, sf), 6, inclusive=False))
+    return _fill(runlength.bounded_interpolation(sparse_hourly(spark, sf), 6, inclusive=False))
 
 
 @query("t7_constant_fill", _fill_sql("CASE WHEN gap <= 6 THEN -1.0 END"))
@@ -364,7 +397,7 @@ def _(spark, sf):
     f" ELSE {q6('value')} END AS value FROM runs",
 )
 def _(spark, sf):
-    return _fill(impute.zeros_to_null(zero_grid(spark, sf), 5))
+    return _fill(runlength.zeros_to_null(sparse_zeros(spark, sf), 5))
 
 
 @query(
@@ -373,7 +406,7 @@ def _(spark, sf):
     f" ELSE {q6('value')} END AS value FROM runs",
 )
 def _(spark, sf):
-    return _fill(impute.zeros_to_null(zero_grid(spark, sf), 5, mode="run"))
+    return _fill(runlength.zeros_to_null(sparse_zeros(spark, sf), 5, mode="run"))
 
 
 @query("t9_linear_fill", _fill_sql(LINE_HELD))
@@ -487,6 +520,17 @@ def _(spark, sf):
     return _errors(impute.imputation_error(imputed_grid(spark, sf), ["series_id"]))
 
 
+@query(
+    "t15_weighted_error_per_sample",
+    f"WITH {IMPUTED} SELECT series_id, pos // 24 AS sample, sum(masked)::DOUBLE AS weight, {q6('sqrt(sum(masked * (coalesce(truth, 0) - coalesce(value, 0)) ** 2) / nullif(sum(masked), 0))')} AS rmse"
+    " FROM im GROUP BY 1, 2",
+)
+def _(spark, sf):
+    cells = imputed_grid(spark, sf).withColumns({"sample": F.floor(F.col("pos") / 24), "weight": F.col("masked").cast("double")})
+    out = impute.weighted_sample_error(cells, ["series_id", "sample"])
+    return out.select("series_id", "sample", "weight", r6("rmse").alias("rmse"))
+
+
 CEILINGS = [i / 10 for i in range(10)]
 
 

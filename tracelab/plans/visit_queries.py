@@ -447,6 +447,37 @@ def _(spark, sf):
     return out.select(secs("ts").alias("ts_s"), r6("click").alias("click"), r6("error").alias("error"))
 
 
+_WIDE = (
+    "WITH h AS (SELECT user_id AS series_id, date_trunc('hour', ts) AS ts, sum(value) AS v FROM events GROUP BY 1, 2),"
+    " ids AS (SELECT series_id, (row_number() OVER (ORDER BY series_id) - 1) // 64 AS block, (row_number() OVER (ORDER BY series_id) - 1) % 64 AS slot FROM (SELECT DISTINCT series_id FROM h))"
+)
+
+
+@query(
+    "c16_wide_herd_table",
+    f"{_WIDE}, seen AS (SELECT DISTINCT h.ts, block FROM h JOIN ids USING (series_id) WHERE v IS NOT NULL)"
+    f" SELECT {qsecs('seen.ts')} AS ts_s, seen.block::BIGINT AS block, count(v) AS seen, string_agg(coalesce(floor(v * 100 + 0.5)::BIGINT::VARCHAR, ''), ',' ORDER BY slot) AS cents"
+    " FROM seen JOIN ids ON ids.block = seen.block LEFT JOIN h ON h.series_id = ids.series_id AND h.ts = seen.ts GROUP BY seen.ts, seen.block",
+)
+def _(spark, sf):
+    wide, _ = joins.wide_traces(grid.bucket_sum(series(spark, sf), "1 hour"), width=64)
+    seen = F.size(F.filter("values", lambda v: v.isNotNull())).cast("long")
+    cents = F.array_join(F.transform("values", lambda v: F.coalesce(F.floor(v * 100 + 0.5).cast("string"), F.lit(""))), ",")
+    return wide.select(secs("ts").alias("ts_s"), "block", seen.alias("seen"), cents.alias("cents"))
+
+
+@query(
+    "c16_silent_hours",
+    "WITH h AS (SELECT date_trunc('hour', ts) AS ts, count(value) AS n FROM events GROUP BY 1), e AS (SELECT date_trunc('day', min(ts)) AS lo, date_trunc('day', max(ts)) + INTERVAL 1 DAY AS hi FROM h),"
+    f" g AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM e) SELECT {qsecs('g.ts')} AS ts_s FROM g LEFT JOIN h USING (ts) WHERE coalesce(n, 0) = 0",
+)
+def _(spark, sf):
+    hourly = grid.bucket_sum(series(spark, sf), "1 hour")
+    wide, _ = joins.wide_traces(hourly, width=64)
+    times = grid.common_grid(hourly.select("ts").distinct().withColumn("herd", F.lit(0)), "1 hour", series="herd").select("ts")
+    return joins.silent_times(wide, times).select(secs("ts").alias("ts_s"))
+
+
 @query(
     "c16_quiet_stretches_dropped",
     f"WITH {HOURLY}, u AS (SELECT lo0 + INTERVAL 1 HOUR * i AS ts, i AS pos FROM (SELECT min(lo) AS lo0, unnest(range(0,"
@@ -469,8 +500,19 @@ def _(spark, sf):
 )
 def _(spark, sf):
     v = visits_on_series(spark, sf).select(F.col("visit_id").alias("sample_id"), F.col("visit_ts").alias("stop"))
-    out = joins.herd_context(series(spark, sf), v, 1)
-    return out.groupBy("sample_id", "series_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
+    out = joins.herd_window_sums(series(spark, sf), v, 1)
+    return out.select("sample_id", "series_id", "n", r6("total").alias("total"))
+
+
+@query(
+    "c17_herd_context_week",
+    f"WITH {S}, {VE} SELECT visit_id AS sample_id, series_id, count(*) AS n, {q6('sum(value)')} AS total FROM"
+    " (SELECT visit_id, visit_ts FROM ve) v JOIN s ON ts > visit_ts - INTERVAL 7 DAY AND ts <= visit_ts GROUP BY 1, 2",
+)
+def _(spark, sf):
+    v = visits_on_series(spark, sf).select(F.col("visit_id").alias("sample_id"), F.col("visit_ts").alias("stop"))
+    out = joins.herd_window_sums(series(spark, sf), v, 7)
+    return out.select("sample_id", "series_id", "n", r6("total").alias("total"))
 
 
 # -- labelled samples --------------------------------------------------------

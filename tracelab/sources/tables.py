@@ -92,6 +92,20 @@ def read_results(spark: SparkSession, path: str, schema: str, config: dict[str,
     return with_path_columns(raw.option("multiLine", not lines).option("mode", "FAILFAST").json(path), config)
 
 
+def read_nested_results(spark: SparkSession, path: str, fields: dict[str, tuple[str, str]], config: dict[str, str], *, suffix: str = ".json") -> DataFrame:
+    """One row per fold from result files of either layout, however printed.
+
+    A file is one document: a fold, a list of folds, or an object with a list ``folds``.  ``fields`` gives each column the place of its value inside a fold and
+    its type, lists included; what a fold lacks, or does not fit the type, is null.  ``config`` cuts columns out of the path.
+    """
+    raw = spark.read.option("recursiveFileLookup", True)
+    raw = (raw.option("pathGlobFilter", f"*{suffix}") if suffix else raw).text(path, wholetext=True)
+    read = with_path_columns(raw.withColumn("_v", F.parse_json("value")), config)
+    listed = [F.try_variant_get("_v", place, "array<variant>") for place in ("$", "$.folds")]
+    folds = F.explode(F.coalesce(*listed, F.array("_v"))).alias("_f")
+    return read.select(*config, folds).select(*config, *[F.try_variant_get("_f", place, kind).alias(name) for name, (place, kind) in fields.items()])
+
+
 def read_experiments(spark: SparkSession, path: str, schema: str, config: dict[str, str]) -> DataFrame:
     """Result CSV below a folder, tagged with the parameters in each path."""
     raw = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
