@@ -15,6 +15,7 @@ from tracelab.session import materialise
 
 FRACTION = 1 / 8
 SHINGLE = 5
+SPREAD = 64  # stretches for rows without an id
 
 
 def threshold(fraction: float) -> int:
@@ -63,28 +64,48 @@ def merged(sketches: DataFrame, key: str, hashes: str = "sketch", *, fraction: f
     return each.where(low).distinct().unionByName(blank)
 
 
-def _followers(base: DataFrame) -> DataFrame:
-    """``(none, key, give_none, give_key, need)``: which id gives its text's head to which; ids in falling order, null last, the end back to the start.
+def _in_stretches(base: DataFrame) -> DataFrame:
+    """``(bucket, key, fp, text)``, dealt by ``bucket``: ids in stretches that a sketch of them makes about even; rows without an id in ``SPREAD`` below 0.
 
-    Ids alone are sorted, in ranges; a range's last id looks up the first of the next range, of which there are as many as partitions.
+    This is the only time that texts are shuffled.
     """
-    ids = base.groupBy("none", "key").agg(F.max(F.char_length("text")).alias("longest"))
-    order = [F.col("none").asc(), F.col("key").desc()]
-    ids = materialise(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "id-order")
-    me = F.struct("none", "key")
-    first = F.min_by(me, F.struct("none", -F.col("key")))
-    everywhere = Window.orderBy("part")
-    heads = ids.groupBy("part").agg(first.alias("head"))
-    heads = heads.select(
-        "part", F.coalesce(F.lead("head").over(everywhere), F.first("head").over(everywhere.rowsBetween(Window.unboundedPreceding, 0))).alias("onward")
-    )
-    inside = F.lead(me).over(Window.partitionBy("part").orderBy(*order))
-    linked = ids.select("part", "none", "key", "longest", inside.alias("inside")).join(heads, "part")
-    giver = F.coalesce("inside", "onward")
-    return linked.select(
-        giver["none"].alias("none"), giver["key"].alias("key"), F.col("none").alias("to_none"), F.col("key").alias("to_key"),
-        F.floor(F.col("longest") / 3).cast("int").alias("need"),
-    )
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = F.array(*[F.lit(i / parts) for i in range(1, max(parts, 2))])
+    bounds = base.where(F.col("id").isNotNull()).agg(F.approx_percentile("id", cuts, F.lit(10_000)).alias("b"))
+    bucket = F.when(F.col("id").isNull(), -1 - F.pmod("fp", F.lit(SPREAD))).otherwise(F.size(F.filter("_b", lambda b: b < F.col("id"))).cast("long"))
+    placed = base.withColumn("_b", F.coalesce(bounds.scalar(), F.array().cast("array<bigint>")))
+    return placed.select(bucket.alias("bucket"), F.coalesce("id", F.lit(0)).alias("key"), "fp", "text").repartition("bucket")
+
+
+def _with_next(base: DataFrame, size: int, fraction: float) -> DataFrame:
+    """``(id, text, sketch, next)``: each row with text and sketch of the next smaller id; the smallest id is followed by no id or else the largest.
+
+    Inside a stretch it is the nearest row below that gives; a row that stands last of its id, with the smallest fingerprint, gives.  The lowest id
+    of a stretch looks up the giver of the stretch below, of which there is one per stretch.
+    """
+    placed = _in_stretches(base)
+    rising = Window.partitionBy("bucket").orderBy("key", F.col("fp").desc())
+    onward = F.lead("key").over(rising)
+    own = F.when(F.col("bucket") >= 0, F.col("key")).alias("id")
+
+    def followed(rows: DataFrame, giver: Column) -> DataFrame:
+        marked = rows.withColumn("_to", onward)
+        gives = F.when(F.col("_to").isNull() | (F.col("_to") != F.col("key")), giver)
+        return marked.withColumn("next", F.last(gives, ignorenulls=True).over(rising.rowsBetween(Window.unboundedPreceding, -1)))
+
+    sketched = placed.withColumn("sketch", sketch(F.col("text"), size, fraction))
+    inside = followed(sketched, F.struct("text", "sketch")).where(F.col("next").isNotNull()).select(own, "text", "sketch", "next")
+    # the few rows without a giver in their stretch
+    lowest = followed(placed, F.lit(True)).where(F.col("next").isNull()).select("bucket", "key", "text")
+    group = F.greatest(F.col("bucket"), F.lit(-1).cast("long"))
+    heads = placed.withColumn("_to", onward).where(F.col("_to").isNull())
+    heads = heads.groupBy(group.alias("below")).agg(F.min_by("text", "fp").alias("text"))
+    heads = materialise(heads.select("below", F.struct("text", sketch(F.col("text"), size, fraction).alias("sketch")).alias("next")), "stretch-heads")
+    everywhere = Window.orderBy("below")  # as many rows as stretches
+    wrapped = F.max("below").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    order = heads.select(F.col("below").alias("at"), F.coalesce(F.lag("below").over(everywhere), wrapped).alias("below"))
+    border = lowest.withColumn("at", group).join(order, "at").join(heads, "below").select(own, "text", sketch(F.col("text"), size, fraction).alias("sketch"), "next")
+    return inside.unionByName(border)
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
@@ -96,18 +117,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, the one with the smallest fingerprint gives.  A null text is empty; an only document follows itself.  An empty table gives an
     empty result; extra columns are not carried.
     """
-    base = identified(docs, id_col, text_col).select(
-        "id", F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("key"), "fp", "text"
-    )
-    links = _followers(base.select("none", "key", "text"))
-    own = base.withColumn("sketch", sketch(F.col("text"), size, fraction))
-    gifts = own.join(links, ["none", "key"]).select(
-        F.col("to_none").alias("none"), F.col("to_key").alias("key"), F.expr("substring(text, 1, need)").alias("head"),
-        F.col("sketch").alias("next_sketch"), F.col("fp").alias("next_fp"),
-    )
-    gifts = gifts.withColumn("n", F.row_number().over(Window.partitionBy("none", "key").orderBy("next_fp"))).where("n = 1").drop("n", "next_fp")
-    both = own.join(gifts, ["none", "key"], "left").withColumn("n_chars", F.char_length("text")).withColumn("third", F.floor(F.col("n_chars") / 3).cast("int"))
-    edited = F.concat(F.expr("substring(text, 1, n_chars - third)"), F.expr("substring(head, 1, third)"))
+    both = _with_next(identified(docs, id_col, text_col).select("id", "fp", "text"), size, fraction)
+    both = both.withColumn("n_chars", F.char_length("text")).withColumn("third", F.floor(F.col("n_chars") / 3).cast("int"))
+    edited = F.concat(F.expr("substring(text, 1, n_chars - third)"), F.expr("substring(next.text, 1, third)"))
     both = both.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited"), size, fraction))
     return both.select(
         "id",
@@ -116,5 +128,5 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         written(F.col("sketch")).alias("fingerprint"),
         written(F.col("edited_sketch")).alias("edited_fingerprint"),
         containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
     )
