@@ -64,19 +64,13 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "pair", tur
     )
 
 
-def through_last_answer(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, turn, role, text)``: conversations that have an assistant turn, up to and with the last of these."""
-    turns = turns_of(conversations, "conv_id", "turn", "role", "text")
-    last = turns.where(F.col("said.role") == "assistant").groupBy("pair").agg(F.max("turn").alias("last"))
-    return turns.join(last, "pair").where(F.col("turn") <= F.col("last")).select(F.col("pair").alias("conv_id"), "turn", "said.role", "said.text")
-
-
 def answers_exchanged(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Preference pairs out of plain conversations, for a corpus that has none.
 
     Chosen is each whole conversation; rejected is the same with the last assistant turn's text taken from the conversation whose id differs
     in the last bit, and with the turns after it.  A conversation without such a partner has no rejected answer, and its rejected side ends before
-    the last assistant turn; one without an assistant turn has no rejected side.
+    the last assistant turn; one without an assistant turn has no rejected side.  Rows without conversation or turn number are left out, of rows
+    that repeat a turn the least role and text count, a null role or text is empty, and an empty table gives two empty ones.
     """
     turns = turns_of(conversations, "conv_id", "turn", "role", "text")
     last = turns.where(F.col("said.role") == "assistant").groupBy("pair").agg(F.max_by("said", "turn").alias("answer"), F.max("turn").alias("last"))

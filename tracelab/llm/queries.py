@@ -93,13 +93,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH turns AS (SELECT conv_id AS pair, turn, role, text FROM conversations),
-last AS (SELECT pair, max(turn) AS last, max_by(text, turn) AS answer FROM turns WHERE role = 'assistant' GROUP BY pair),
-chosen AS (SELECT t.* FROM turns t JOIN last l ON t.pair = l.pair AND t.turn <= l.last),
+WITH chosen AS (SELECT conv_id AS pair, turn, role, text FROM conversations),
+last AS (SELECT pair, max(turn) AS last, max_by(text, turn) AS answer FROM chosen WHERE role = 'assistant' GROUP BY pair),
 rejected AS (
-    SELECT t.* FROM turns t JOIN last l ON t.pair = l.pair AND t.turn < l.last
-    UNION ALL
-    SELECT l.pair, l.last, 'assistant', o.answer FROM last l JOIN last o ON o.pair = xor(l.pair, 1)),
+    SELECT t.pair, t.turn, t.role, CASE WHEN t.turn = l.last THEN o.answer ELSE t.text END AS text
+    FROM chosen t JOIN last l ON t.pair = l.pair LEFT JOIN last o ON o.pair = xor(l.pair, 1)
+    WHERE t.turn < l.last OR o.pair IS NOT NULL),
 both_sides AS (
     SELECT coalesce(c.pair, r.pair) AS pair, coalesce(c.turn, r.turn) AS turn, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text
     FROM chosen c FULL JOIN rejected r ON c.pair = r.pair AND c.turn = r.turn),
@@ -125,9 +124,8 @@ FROM placed GROUP BY pair, part, block
 
 @query("op2_preference_format", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations, as far as their last answer like in the SQL, against themselves with another's answer: prompt once, completions with masks."""
-    told = preference_format.through_last_answer(table(spark, sf_dir, "conversations"))
-    return preference_format.format_pairs(*preference_format.answers_exchanged(told))
+    """Whole conversations against themselves with another's last answer: prompt once, completions with masks."""
+    return preference_format.format_pairs(*preference_format.answers_exchanged(table(spark, sf_dir, "conversations")))
 
 
 @query("op5_private_data")
