@@ -18,7 +18,7 @@ from tracelab.functions.hashing import fraction
 from tracelab.llm.common import identified, restored
 from tracelab.session import materialise
 
-FEATURES = 2**18
+FEATURES = 2**16
 SAMPLE = 20_000  # labelled rows that the model is fitted on, on average; a bound whatever the corpus
 SITE_WEIGHT = 0.5
 EDGE = 1e-6
@@ -70,7 +70,7 @@ def fit(base: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> TextModel:
     vectors = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_words", outputCol="_vector").transform(rows)
     learner = LogisticRegression(
         featuresCol="_vector", labelCol="good", rawPredictionCol="_raw", probabilityCol="_chance", predictionCol="_verdict",
-        regParam=2e-5, elasticNetParam=0.0, standardization=False, maxIter=100,
+        regParam=1e-4, elasticNetParam=0.0, standardization=False, maxIter=40,
     )
     return TextModel(learner.fit(vectors), 0.5)
 
