@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.llm.common import BYTE_VALUES, each_batch, hash_filter, identified, mixed, passing, power, same_row
-from tracelab.session import materialise
+from tracelab.session import materialise, scratch
 
 LENGTH = 400
 GRAM = 100
 REACH = LENGTH - GRAM  # farthest a window may start in front of the place it names
-GATHERED = 20_000  # suffixes in one tree; larger gatherings compare their windows by hash, which any number of tasks can share
+GATHERED = 20_000  # suffixes in one tree; larger gatherings compare stretches of windows by hash, which any number of tasks can share
 PER_TASK = 20_000
 STRETCH = 1 << 18  # bytes that are hashed at a time
 SENT = 500_000  # kinds of suffix that a task remembers having sent
@@ -279,26 +279,75 @@ def _tree_spans(gathered: DataFrame) -> DataFrame:
     return gathered.groupBy("bucket").applyInArrow(grow, "c1 long, c2 long, front long, back long")
 
 
-def _window_spans(large: DataFrame) -> DataFrame:
-    """The same for gatherings of any size: hashes of all their windows, counted.
+PARTS = 7  # into so many parts a stretch of window starts is cut: 301 starts are cut three times
 
-    Equal windows name a place at the same distance; a window that names two places is met once for each.
+
+def cuts(lo: int, hi: int) -> list[tuple[int, int]]:
+    """A stretch of window starts in parts."""
+    step = -(-(hi - lo + 1) // PARTS)
+    return [(a, min(a + step - 1, hi)) for a in range(lo, hi + 1, step)]
+
+
+NODE = "c1 long, c2 long, lo int, hi int, k1 long, k2 long, h1 long, h2 long"
+
+
+def _nodes(wanted: DataFrame) -> DataFrame:
+    """``(c1, c2, lo, hi, k1, k2, h1, h2)`` of ``(c1, c2, before, after, lows, highs)``: each stretch ``lo … hi`` of bytes that a window may start in front of the
+    place, cut into parts.
+
+    ``k1, k2`` is a hash of what all windows of the part share, ``h1, h2`` of all bytes that they cover; where the text ends before, the latter stands for
+    the suffix alone.
     """
+    names = [f.split()[0] for f in NODE.split(", ")]
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c1, c2, before, after = (c.to_pylist() for c in batch.columns)
-        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
-        for a, b, front, back in zip(c1, c2, before, after, strict=True):
-            data = front[::-1] + back
-            one, two = (string_hashes(data, LENGTH, k).view(np.int64) for k in (0, 1))
-            for col, v in zip(cols, (one, two, np.full(len(one), a), np.full(len(one), b), len(front) - np.arange(len(one))), strict=True):
-                col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["w1", "w2", "c1", "c2", "front"])
+        rows: list[list[int]] = [[] for _ in names]
+        for c1, c2, before, after, lows, highs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            first, last = max(0, LENGTH - len(after)), len(before)  # windows that the text holds
+            for lo, hi in (part for stretch in zip(lows, highs, strict=True) for part in cuts(*stretch)):
+                if lo > last or hi < first:
+                    continue
+                inner = xxhash.xxh3_128_digest(before[:lo] + b"|" + after[: LENGTH - hi])
+                whole = first <= lo and hi <= last
+                outer = xxhash.xxh3_128_digest(before[:hi] + b"|" + after[: LENGTH - lo]) if whole else xxhash.xxh3_128_digest(b"%d %d" % (c1, c2))
+                ints = [int.from_bytes(d[at : at + 8], "big", signed=True) for d in (inner, outer) for at in (0, 8)]
+                for col, v in zip(rows, (c1, c2, lo, hi, *ints), strict=True):
+                    col.append(v)
+        kinds = [pa.int32() if f.endswith(" int") else pa.int64() for f in NODE.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+
+    return wanted.select("c1", "c2", "before", "after", "lows", "highs").mapInArrow(each_batch(read, 64), NODE)
+
 
-    windows = large.select("c1", "c2", "before", "after").mapInArrow(each_batch(read, 16), "w1 long, w2 long, c1 long, c2 long, front long")
-    windows = materialise(windows, "windows")
-    twice = materialise(windows.distinct().groupBy("w1", "w2", "front").agg(F.count("*").alias("n")).where("n >= 2").drop("n"), "repeated-windows")
-    return windows.join(twice, ["w1", "w2", "front"]).groupBy("c1", "c2").agg(F.max("front").alias("front"), (LENGTH - F.min("front")).alias("back"))
+def _part_spans(large: DataFrame) -> DataFrame:
+    """The same for gatherings of any size, which no tree in one task could hold.
+
+    Windows start in stretches in front of the place.  Suffixes that share all bytes a stretch's windows cover share all of the windows; suffixes that do not
+    even share what these have in common share none.  Only where neither holds is a stretch cut into parts, once for all suffixes that
+    agree on it.  A suffix has few such stretches, at the edges of what it repeats.
+    """
+    kinds = large.groupBy("hash", "c1", "c2").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+    kinds = scratch(kinds, "large-gatherings")
+    wanted = kinds.df.withColumns({"lows": F.array(F.lit(0)), "highs": F.array(F.lit(REACH))})
+    found: DataFrame | None = None
+    while True:
+        nodes = scratch(_nodes(wanted), "stretches")
+        part, inner, outer = ["lo", "hi"], ["k1", "k2"], ["h1", "h2"]
+        agree = scratch(nodes.df.groupBy(*part, *inner, *outer).agg(F.count("*").alias("n"), F.min(F.struct("c1", "c2")).alias("one")), "agreeing")
+        shared = nodes.df.join(agree.df.where("n >= 2").drop("n", "one"), [*part, *inner, *outer]).select(
+            "c1", "c2", F.col("hi").cast("long").alias("front"), (LENGTH - F.col("lo")).cast("long").alias("back")
+        )
+        shared = materialise(shared, "shared-stretches")
+        found = shared if found is None else found.unionByName(shared)
+        several = agree.df.groupBy(*part, *inner).agg(F.count("*").alias("kinds")).where("kinds >= 2 AND lo < hi").drop("kinds")
+        open_parts = agree.df.join(several, [*part, *inner]).select("one.c1", "one.c2", "lo", "hi")
+        each = scratch(open_parts.groupBy("c1", "c2").agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs")), "open-stretches")
+        nodes.drop()
+        agree.drop()
+        if each.df.isEmpty():
+            kinds.drop()
+            return found.groupBy("c1", "c2").agg(F.max("front").alias("front"), F.max("back").alias("back"))
+        wanted = kinds.df.join(each.df, ["c1", "c2"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +366,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(1, total // PER_TASK)
     small = gathered.where(F.col("n") <= GATHERED).withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
     large = gathered.where(F.col("n") > GATHERED)
-    found = materialise(same.unionByName(_tree_spans(small)).unionByName(_window_spans(large)), "repeats")
+    found = materialise(same.unionByName(_tree_spans(small)).unionByName(_part_spans(large)), "repeats")
     spans = suffixes.join(found.withColumnsRenamed({"front": "f", "back": "b"}), ["c1", "c2"]).select(
         "id", "fp", F.struct((F.col("place") - F.coalesce("f", "front")).alias("start"), (F.col("place") + F.coalesce("b", "back")).alias("end")).alias("span")
     )
