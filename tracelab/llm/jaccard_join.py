@@ -5,12 +5,17 @@ than that, they agree on a whole group; sets are gathered by the content of such
 group counts: leaves of points with their bounding boxes make its R-tree, summed coordinate minima bound the overlap with a box and then with a point,
 and the pairs that survive are verified on the sets themselves.
 
-A gathering's pairs are not all compared.  Sets of one text are one point; a few points of each gathering (its centres) meet the
-others, links join components, and only pairs across components go on to the next round with ``GROWTH`` times as many centres.
+Shingles that no other set has are in no overlap, so a set shares at most its other ones: this bounds pairs further, and drops sets whose own
+shingles alone keep them from the threshold.
+
+A gathering's pairs are not all compared.  Sets of one text are one point; a few points of each gathering (its centres, those that share most groups
+first) meet the others, links join components, and only pairs across components go on to the next round with ``GROWTH`` times as many centres.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracelab.functions.quantile import let
 from tracelab.llm.common import each_batch, hash_filter, identified, mixed, passing, words
-from tracelab.session import materialise
+from tracelab.session import Scratch, materialise, scratch
 
 SHINGLE = 3
 PERCENT = 90
@@ -27,6 +32,7 @@ GROUPS = 32  # coordinates of a point
 LEAF = 64  # points of a leaf
 GROWTH = 16  # each round takes so many times the centres of the one before
 NARROW = 0.7  # smallest size over largest in one size class
+WIDE = 32_767  # larger counts do not fit a point, and sets of more elements are not bounded by theirs
 
 
 def shingles(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
@@ -128,7 +134,7 @@ def _members(base: DataFrame, bits: np.ndarray, size: int, percent: int) -> Data
     """``(id, fp, node, n, keys, point, hashes)`` of rows with keys that the filter passes."""
     shared = base.sparkSession.sparkContext.broadcast(bits)
     names = ["id", "fp", "node", "n", "keys", "point", "hashes"]
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64())]
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[list] = [[] for _ in names]
@@ -137,20 +143,54 @@ def _members(base: DataFrame, bits: np.ndarray, size: int, percent: int) -> Data
             k = gathering_keys(s, percent)
             k = np.unique(k[passing(k, shared.value)])
             if len(k):
-                for col, v in zip(rows, (i, fp, signature(s)[0], len(s), k.view(np.int64), point(s).astype(np.int32), s.view(np.int64)), strict=True):
+                for col, v in zip(rows, (i, fp, signature(s)[0], len(s), k.view(np.int64), np.minimum(point(s), WIDE).astype(np.int16), s.view(np.int64)), strict=True):
                     col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
     return base.select("id", "fp", "text").mapInArrow(
-        each_batch(read, 64), "id long, fp long, node long, n long, keys array<long>, point array<int>, hashes array<long>"
+        each_batch(read, 64), "id long, fp long, node long, n long, keys array<long>, point array<short>, hashes array<long>"
     )
 
 
+def _supported(sets: DataFrame) -> DataFrame:
+    """Adds ``m``: how many of a set's elements other sets may have too.  The filter may count more, never fewer, so that it bounds at any size."""
+    twice = sets.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 2")
+    shared = sets.sparkSession.sparkContext.broadcast(hash_filter(twice, "h"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("hashes"))
+            hit = passing(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), shared.value)
+            before = np.concatenate([[0], np.cumsum(hit)])
+            ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before[ends[1:]] - before[ends[:-1]], pa.int64())], [*batch.schema.names, "m"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema.fields)
+    return sets.mapInArrow(count, f"{kinds}, m long")
+
+
 def minima(a: Column, b: Column) -> Column:
     """Summed coordinate minima: no two sets with these counts share more."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
 
 
+def _among(sets: DataFrame, nodes: DataFrame, col: str) -> DataFrame:
+    """``(node, hashes)`` of the sets that a column names, and of others that the filter lets through: only these are shuffled."""
+    held = sets.sparkSession.sparkContext.broadcast(hash_filter(nodes, col))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passing(batch.column(0).to_numpy().view(np.uint64), held.value)))
+
+    return sets.select("node", "hashes").mapInArrow(keep, "node long, hashes array<long>")
+
+
+def most_shared(a: Column, b: Column, counts: Column) -> Column:
+    """The most that two sets can share: no more than either has in common with any, nor, if their counts are whole, than the summed minima."""
+    least = F.least(a["m"], b["m"])
+    return F.when(F.greatest(a["n"], b["n"]) > WIDE, least).otherwise(F.least(least, counts))
+
+
 def enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
     """Whether sets of ``n`` and ``m`` elements that share so many are similar enough."""
     return 100 * shared >= percent * (n + m - shared)
@@ -166,57 +206,88 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
     if known is not None:
         labels = labels.join(known.withColumnRenamed("comp", "had"), "node", "left").select("node", F.least("comp", "had").alias("comp"))
-    labels = materialise(labels, "labels")
+    table = scratch(labels, "labels")
     while True:
+        labels = table.df.select("node", "comp")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "near").alias("low"))
         jump = low.join(labels.select(F.col("node").alias("low"), F.col("comp").alias("jump")), "low")
-        moved = materialise(jump.select("node", F.col("comp").alias("was"), F.least("low", "jump").alias("comp")), "labels")
-        labels = moved.select("node", "comp")
-        if moved.where("comp < was").isEmpty():
-            return labels
+        moved = scratch(jump.select("node", F.col("comp").alias("was"), F.least("low", "jump").alias("comp")), "labels")
+        table.drop()
+        table = moved
+        if moved.df.where("comp < was").isEmpty():
+            return moved.df.select("node", "comp")
 
 
 def _linked(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
     """``(a, b)``: links that join all sets which chains of similar pairs connect, and ``(node, comp)``, their components; None where there are no links.
 
-    Centres are taken in the order of their node; ``done`` is the last one that has met all of its gathering.
+    Centres are taken in the order of ``o``: sets that share most groups first, which are nearest to whatever the others were copied from; ``done`` is the
+    last one that has met all of its gathering.
     """
 
     def open_rows(rows: DataFrame) -> DataFrame:
         """Rows of gatherings that hold sets of more than one component."""
         opened = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        return materialise(rows.join(opened, "key"), "live")
-
-    live = open_rows(sets.select("node", "n", "point", F.col("node").alias("comp"), F.explode("keys").alias("key")))
-    comps: DataFrame | None = None
+        return rows.join(opened, "key")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those pairs ``(a, b)`` of nodes that are similar enough: by their bounds first, then by the sets themselves."""
+        bounds = lambda c: sets.select(F.col("node").alias(c), F.struct("n", "m", "point").alias(f"of_{c}"))
+        of = F.col("of_a"), F.col("of_b")
+        may = enough(most_shared(*of, minima(F.col("of_a.point"), F.col("of_b.point"))), F.col("of_a.n"), F.col("of_b.n"), percent)
+        left = materialise(pairs.join(bounds("a"), "a").join(bounds("b"), "b").where(may).select("a", "b"), "pairs")
+        own = lambda c: _among(sets, left.select(c).distinct(), c).select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"))
+        shared = F.size(F.array_intersect("ha", "hb"))
+        return left.join(own("a"), "a").join(own("b"), "b").where(enough(shared, F.size("ha"), F.size("hb"), percent)).select("a", "b")
+
+    def relabelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+        if comps is None:
+            return rows
+        return rows.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    # first all sets meet one centre of each gathering, as pairs of node numbers: a gathering's centre is nearly always the same set
+    able = sets.where(100 * F.col("m") >= percent * F.col("n"))
+    rows = scratch(able.select("node", (-F.size("keys")).alias("d"), F.col("node").alias("comp"), F.explode("keys").alias("key")), "gathered")
+    centres = rows.df.groupBy("key").agg(F.min(F.struct("d", "node")).alias("c"), F.count("*").alias("size")).where("size > 1").select("key", F.col("c.node").alias("a"))
+    centres = scratch(centres, "centres")
+    met = rows.df.join(centres.df, "key").where(F.col("node") != F.col("a"))
+    links = materialise(verified(met.select("a", F.col("node").alias("b")).distinct()), "links")
     found: DataFrame | None = None
-    take = 1
-    while not live.isEmpty():
-        ranked = live.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("r") <= take)
+    comps: DataFrame | None = None
+    if not links.isEmpty():
+        found, comps = links, components(links)
+    # then, in gatherings that still hold several components, centres in leaves
+    rest = scratch(open_rows(relabelled(met.drop("a"), comps)), "unsettled")
+    with_points = rest.df.join(sets.select("node", "n", "m", "point"), "node").withColumn("o", F.struct("d", "node")).drop("d")
+    live = scratch(with_points, "live")
+    rows.drop()
+    centres.drop()
+    rest.drop()
+    take = GROWTH
+    while not live.df.isEmpty():
+        ranked = live.df.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("o"))).where(F.col("r") <= take)
         leaf = ranked.groupBy("key", F.floor((F.col("r") - 1) / LEAF).alias("leaf")).agg(
-            F.collect_list(F.struct("node", "comp", "n", "point")).alias("points"), F.min("n").alias("least"), F.max("node").alias("done"),
-            *[F.max(F.get("point", F.lit(g))).alias(f"g{g}") for g in range(GROUPS)],
+            F.collect_list(F.struct("node", "comp", "n", "m", "o", "point")).alias("points"), F.min("n").alias("least"), F.max("o").alias("done"),
+            F.max("m").alias("widest"), F.max("n").alias("largest"), *[F.max(F.get("point", F.lit(g))).alias(f"g{g}") for g in range(GROUPS)],
         )
-        leaf = leaf.select("key", "points", "least", "done", F.array(*[F.col(f"g{g}") for g in range(GROUPS)]).alias("box"))
-        leaf = materialise(leaf, "leaves")
-        met = live.select("key", "node", "comp", "n", "point").join(leaf.drop("done"), "key").where(
-            enough(minima(F.col("point"), F.col("box")), F.col("n"), F.col("least"), percent)
-        )
-        me = F.struct("node", "comp", "n", "point")
-        near = let(me, lambda q: F.filter("points", lambda p: (p["node"] < q["node"]) & (p["comp"] != q["comp"]) & enough(minima(p["point"], q["point"]), p["n"], q["n"], percent)))
-        pairs = met.select(F.col("node").alias("b"), F.explode(F.transform(near, lambda p: p["node"])).alias("a")).distinct()
-        first, second = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-        shared = F.size(F.array_intersect("ha", "hb"))
-        links = pairs.join(first, "a").join(second, "b").where(enough(shared, F.size("ha"), F.size("hb"), percent)).select("a", "b")
-        links = materialise(links, "links")
+        box = F.array(*[F.col(f"g{g}") for g in range(GROUPS)])
+        leaf = scratch(leaf.select("key", "points", "least", "widest", "largest", "done", box.alias("box")), "leaves")
+        me = F.struct("node", "comp", "n", "m", "o", "point")
+        met = live.df.select("key", me.alias("q")).join(leaf.df.drop("done"), "key")
+        whole = F.struct(F.col("widest").alias("m"), F.col("largest").alias("n"))
+        met = met.where(enough(most_shared(F.col("q"), whole, minima(F.col("q.point"), F.col("box"))), F.col("q.n"), F.col("least"), percent))
+        close = lambda p, q: enough(most_shared(p, q, minima(p["point"], q["point"])), p["n"], q["n"], percent)
+        near = let(F.col("q"), lambda q: F.filter("points", lambda p: (p["o"] < q["o"]) & (p["comp"] != q["comp"]) & close(p, q)))
+        pairs = met.select(F.col("q.node").alias("b"), F.explode(F.transform(near, lambda p: p["node"])).alias("a")).distinct()
+        links = materialise(verified(pairs), "links")
         if not links.isEmpty():
             found = links if found is None else found.unionByName(links)
             comps = components(found, comps)
-        rest = live.join(leaf.groupBy("key").agg(F.max("done").alias("done")), "key").where("node > done").drop("done")
-        if comps is not None:
-            rest = rest.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        live = open_rows(rest)
+        rest = live.df.join(leaf.df.groupBy("key").agg(F.max("done").alias("done")), "key").where(F.col("o") > F.col("done")).drop("done")
+        last, live = live, scratch(open_rows(relabelled(rest, comps)), "live")
+        last.drop()
+        leaf.drop()
         take *= GROWTH
     return None if found is None else (found, comps)
 
@@ -235,7 +306,10 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     sets = members.join(materialise(one, "representatives"), "node").where(F.col("id").eqNullSafe(F.col("o_id")) & (F.col("fp") == F.col("o_fp")))
     # a row that is there twice would stand for its set twice
     sets = sets.drop("id", "fp", "o_id", "o_fp").dropDuplicates(["node"])
-    return signed, _linked(materialise(sets, "sets"), percent)
+    known = scratch(sets, "sets")
+    told = materialise(_supported(known.df), "supported-sets")
+    known.drop()
+    return signed, _linked(told, percent)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
