@@ -127,7 +127,7 @@ def personal(text):
 def test_private_data(spark, docs, rows):
     slow = {t for _, t, _ in rows if t and t.startswith("a" * 50_000)}  # the plain expression is quadratic there
     want = Counter((i, ",".join(personal(t or "") if t not in slow else [])) for i, t, _ in rows)
-    found = private_data.find(docs).select("row.doc_id", private_data.listed(private_data.F.filter("found", lambda s: ~s["kind"].isin("iban", "local_phone"))).alias("base"), "found").collect()
+    found = private_data.find(docs).select("row.doc_id", private_data.listed(private_data.F.filter("found", lambda s: ~s["kind"].isin("iban", "local_phone", "secret"))).alias("base"), "found").collect()
     assert Counter((r.doc_id, r.base) for r in found) == want
     kinds = Counter(s.kind for r in found for s in r.found)
     assert kinds["iban"] == 1 and kinds["local_phone"] == 2
@@ -143,6 +143,23 @@ def test_validators(spark):
     assert one(private_data.luhn(lit("79927398713"))) and not one(private_data.luhn(lit("79927398710")))
 
 
+def test_secrets(spark):
+    """Every planted token is found; runs of one digit, long numbers and parts of words are not."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {
+        (r.doc_id, m.start(1), m.end(1)) for r in table.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")
+    }
+    got = {
+        (r.doc_id, s.start, s.end) for r in private_data.find(table).select("row.doc_id", "found").collect() for s in r.found if s.kind == "secret"
+    }
+    assert len(planted) >= 10 and planted <= got
+    odd = ["token " + "a" * 40, "key " + "1" * 40, "secret x" + "0123456789abcdef" * 2, "0123456789abcdef" * 2 + " alone", "0123456789ABCDEF" * 2 + " is the password", "token " + "0123456789abcdef" * 9]
+    frame = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
+    assert {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "secret"] for r in private_data.find(frame).select("row.doc_id", "found").collect()} == {
+        0: [], 1: [], 2: [], 3: [], 4: [(0, 32)], 5: [],
+    }
+
+
 def test_masking(spark):
     table = spark.createDataFrame([(1, "write to a@b.cd now"), (2, None)], "doc_id long, text string")
     assert {r.masked for r in private_data.masked(table).select("masked").collect()} == {"write to <email> now", ""}

@@ -128,3 +128,19 @@ def test_verdicts_from_given_chances(spark):
     for r, w in zip(got, want, strict=True):
         assert (r.p_host, r.p_path, r.p_keep) == pytest.approx(w[:3], rel=1e-9) and r.keep == w[3]
     assert Counter(r.keep for r in got)[True] > 0
+
+
+def test_pipeline_stages_with_clashing_names_and_without_rows(spark):
+    import corpus_pipeline as pipeline
+
+    names = ("row", "fp", "id", "node", "kept", "keep", "n", "starts", "hashes", "s_id", "h1")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.withColumns({name: F.lit(name) for name in names})
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+        assert out.where(" AND ".join(f"`{name}` = '{name}'" for name in names)).count() == out.count()
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    nothing = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, nothing, SF).count() == 0

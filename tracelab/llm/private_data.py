@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelab.functions.quantile import let
 from tracelab.llm.common import identified, running_sums
 
-WINDOW = 40  # code points in front of a span in which a context word counts
+WINDOW = 40  # code points on either side of a span in which a context word counts
 CONTEXT = 20  # what such a word adds to a score, in hundredths
 
 
@@ -41,6 +41,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", ("+",), "phone|tel|call|mobile|fax", 50, check="phone"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", (), "iban|bank|account|konto", 40, False, "mod97", 40),
     Kind("local_phone", r"(?<![A-Za-z0-9+().-])(?<![0-9+().-] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", (), "phone|tel|call|mobile|fax", 30, False),
+    Kind("secret", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])", (), "token|key|secret|password|bearer|auth", 20, False, "mixed", 20),
 )
 
 
@@ -73,6 +74,8 @@ def passes(kind: Kind, hit: Column) -> Column:
         return n.between(9, 15)
     if kind.check == "mod97":
         return mod97(F.regexp_replace(hit, " ", ""))
+    if kind.check == "mixed":  # drawn digits repeat little: eight different ones at least, letters and numbers among them
+        return hit.rlike("[0-9]") & hit.rlike("[A-Fa-f]") & (F.size(F.array_distinct(F.split(F.lower(hit), ""))) >= 8)
     return F.lit(True)
 
 
@@ -89,12 +92,12 @@ def spans(text: Column, kind: Kind, order: int) -> Column:
         n = F.size(p["hits"])
         steps = F.zip_with(F.slice(p["pieces"], 1, n), p["hits"], lambda a, b: F.char_length(a) + F.char_length(b))
         starts = running_sums(steps)
-        rows = F.arrays_zip(p["hits"].alias("hit"), F.slice(p["pieces"], 1, n).alias("piece"), starts.alias("from"))
+        rows = F.arrays_zip(p["hits"].alias("hit"), F.slice(p["pieces"], 1, n).alias("piece"), F.slice(p["pieces"], 2, n).alias("behind"), starts.alias("from"))
         found = F.transform(F.filter(rows, lambda r: passes(kind, r["hit"])), made)
         return found if kind.base else F.filter(found, lambda s: s["score"] >= 50)
 
     def made(r: Column) -> Column:
-        near = F.right(r["piece"], F.lit(WINDOW)).rlike(rf"(?i)\b(?:{kind.words})")
+        near = F.right(r["piece"], F.lit(WINDOW)).rlike(rf"(?i)\b(?:{kind.words})") | F.left(r["behind"], F.lit(WINDOW)).rlike(rf"(?i)\b(?:{kind.words})")
         start = (r["from"] + F.char_length(r["piece"])).cast("long")
         return F.struct(
             start.alias("start"), F.lit(order).alias("order"), (start + F.char_length(r["hit"])).alias("end"), F.lit(kind.name).alias("kind"),

@@ -138,7 +138,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", *[count(k) for k in base],
         F.sha2(F.encode(private_data.listed(F.filter("found", lambda s: s["kind"].isin(base))), "UTF-8"), 256).alias("base_sha256"),
         private_data.listed(F.col("found")).alias("spans"),
-        F.array_join(F.transform("found", lambda s: s["score"].cast("string")), ",").alias("scores"),
+        F.array_join(F.transform("found", lambda s: s["score"].cast("string")), ",").alias("scores"), (F.size("found") > 0).alias("personal"),
     )
 
 
@@ -174,7 +174,7 @@ kept AS (
     FROM gaps g JOIN hexed x ON x.doc_id = g.doc_id GROUP BY g.doc_id),
 sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
 SELECT x.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(k, h))) AS kept_sha256
+       sha256(unhex(coalesce(k, h))) AS kept_sha256, coalesce(n_removed, 0) > 0 AS repeated
 FROM hexed x LEFT JOIN sums s ON s.doc_id = x.doc_id LEFT JOIN kept k ON k.doc_id = x.doc_id
 """
 
@@ -183,7 +183,9 @@ FROM hexed x LEFT JOIN sums s ON s.doc_id = x.doc_id LEFT JOIN kept k ON k.doc_i
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated 400-byte strings."""
     out = repeats.without_repeats(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated")
+    )
 
 
 OP10_SQL = r"""
