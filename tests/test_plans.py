@@ -7,7 +7,7 @@ from tracelab.plans.catalogue import QUERIES
 from tracelab.plans.sample_queries import samples
 
 SF = "/root/testdata/sf0.001"
-PYTHON = ("s1", "s2", "s3", "s4", "s5", "s6", "s7", "s9", "s10", "m10_near")
+PYTHON = ("s1", "s2", "s3", "s4", "s5", "s6", "s7", "s9", "s10", "m10_near", "m21_exact")
 EAGER = ("a1_", "a2_", "a3", "a4", "a5", "a6", "a7", "a8", "a9", "a10", "a13", "a14", "a15", "t18", "m10", "m23", "s8", "m16_bootstrap_interval", "n4")
 
 

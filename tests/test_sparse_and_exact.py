@@ -287,3 +287,30 @@ def test_active_windows_and_union(spark):
     assert filters.active_windows(df, 10, 2).count() == 0
     a, b = spark.createDataFrame([(1, "x")], "i int, t string"), spark.createDataFrame([("y", 2)], "t string, i int")
     assert {tuple(r) for r in sets.union_sources({"a": a, "b": b}).select("source", "i", "t").collect()} == {("a", 1, "x"), ("b", 2, "y")}
+
+
+def test_long_series_in_blocks(spark):
+    from tracelab.operators import spectral
+
+    rng = np.random.default_rng(3)
+    lengths = {1: 1, 2: 90, 3: 700}
+    values = {s: rng.normal(0, 1, n) for s, n in lengths.items()}
+    df = spark.createDataFrame([(s, p, float(v)) for s, vs in values.items() for p, v in enumerate(vs)], "series_id long, pos long, value double")
+    kernels = [spectral.morlet_kernel(s) for s in (1.5, 6.0)]
+    for block in (32, 5000):
+        got = {(r.series_id, r.scale, r.pos): r.x for r in spectral.long_magnitude(df, kernels, block=block).collect()}
+        assert len(got) == 2 * sum(lengths.values())
+        for s, vs in values.items():
+            for n, kernel in enumerate(kernels):
+                want = np.abs(np.convolve(vs, kernel))[len(kernel) // 2 :][: len(vs)]
+                assert np.allclose([got[s, n, p] for p in range(len(vs))], want, atol=1e-10)
+
+
+def test_middle_row_of_a_hot_table(spark):
+    from tracelab.operators import stats
+
+    for n in (1, 2, 3, 10, 5001):
+        df = spark.range(n).select((F.col("id") % 2).alias("k"), (F.col("id") * 7 + 3).alias("o"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 400).cast("int")).alias("d"))
+        got = stats.dataset_span(df, key="k", date="d", order="o").first()
+        rows = df.orderBy("o").collect()
+        assert (got.n, got.first_date, got.middle_date, got.last_date) == (n, rows[0].d, rows[n // 2].d, rows[-1].d)

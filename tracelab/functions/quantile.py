@@ -44,12 +44,19 @@ def _bracketed(slim: DataFrame, keys: list[str], probs: list[float]) -> DataFram
     return materialise(found.where("n > 0"), "brackets")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
+def middle_value(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
+    """``(keys, n, middle)``: the value with ``n // 2`` values before it; whole numbers up to 2**53 are exact."""
+    return quantiles(df, keys, value, {"middle": 0.5}, rank=lambda n: F.floor(n / 2))
+
+
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str | Column, probs: dict[str, float], *, rank: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """One row per key with exact, linearly interpolated quantiles ``{name: p}`` and ``n``.
 
     Nulls and NaNs are skipped; groups without a value are absent.  A sketch brackets each wanted rank; one pass then counts what lies below the bracket
     and keeps the values inside, and only these are sorted, in slices of the bracket.  The next value on either side is kept with the
-    counts, for a rank that falls between two values at the edge.
+    counts, for a rank that falls between two values at the edge.  ``rank`` may name another rank, at most one off those of the probabilities.
     """
     keys, names = list(keys), list(probs)
     at = [float(probs[n]) for n in names]
@@ -82,8 +89,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, probs: di
     )
     group = Window.partitionBy(*keys, "_i")
     ahead = group.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    rank = (F.col("n") - 1) * F.get(F.array(*[F.lit(a) for a in at]), F.col("_i"))
-    ranks = (F.floor(rank), F.ceil(rank))
+    wish = rank(F.col("n")) if rank is not None else (F.col("n") - 1) * F.get(F.array(*[F.lit(a) for a in at]), F.col("_i"))
+    ranks = (F.floor(wish), F.ceil(wish))
     slices = counts.groupBy(*keys, "n", "_i", "_s").agg(
         F.sum("_c").alias("_sc"), F.sum("_below").alias("_below"), F.max("_under").alias("_under"), F.min("_over").alias("_over")
     )
@@ -115,7 +122,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, probs: di
     missed = F.raise_error(F.lit("a rank lies outside its bracket"))
 
     def between(i: int) -> Column:
-        r = (F.col("n") - 1) * F.lit(at[i])
+        r = rank(F.col("n")) if rank is not None else (F.col("n") - 1) * F.lit(at[i])
         lo, hi = (F.coalesce(F.col(f"_{side}{i}"), missed.cast("double")) for side in ("lo", "hi"))
         return lo + (hi - lo) * (r - F.floor(r))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.functions.quantile import let
 from tracelab.functions.scan import neighbours
 from tracelab.operators.filters import sample_validity
 from tracelab.operators.grid import seconds
-from tracelab.operators.impute import sample_day_flags
 from tracelab.operators.labels import transition
 
 
@@ -55,16 +55,18 @@ def labelled_samples(trace: DataFrame, visits: DataFrame, step: str, days: int)
     """
     day_cells = 86400 // seconds(step)
     cells = sample_cells(trace, visits, step, days).withColumnRenamed("visit_id", "sample_id")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    # one aggregate over the interval join: a full window's days are slices of its ordered cells
     body = cells.groupBy("sample_id").agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.count("value").alias("seen"),
-        F.transform(ordered, lambda c: c["value"]).alias("features"),
-    )
-    flags = sample_day_flags(cells, day_cells)
+        F.count(F.lit(1)).alias("cells"), F.count("value").alias("seen"), F.array_sort(F.collect_list(F.struct("pos", "value", "imputed"))).alias("_cells"),
+    ).filter(F.col("cells") == days * day_cells)
+    each_day = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda d: F.slice("_cells", d * day_cells + 1, F.lit(day_cells)))
+    flags = let(each_day, lambda parts: F.struct(
+        F.size(F.filter(parts, lambda day: F.forall(day, lambda c: c["imputed"] == 1))).cast("long").alias("imputed_days"),
+        F.size(F.filter(parts, lambda day: F.forall(day, lambda c: c["value"].isNotNull()))).cast("long").alias("complete_days"),
+    ))
+    body = body.withColumn("_f", flags).select("sample_id", "cells", "seen", F.transform("_cells", lambda c: c["value"]).alias("features"), "_f.imputed_days", "_f.complete_days")
     labelled = previous_score(visits).filter(F.col("prev_score").isNotNull())
-    out = labelled.withColumnRenamed("visit_id", "sample_id").join(body, "sample_id").join(flags, "sample_id")
-    return out.filter(F.col("cells") == days * day_cells).withColumn(
+    return labelled.withColumnRenamed("visit_id", "sample_id").join(body, "sample_id").withColumn(
         "valid", (F.col("imputed_days") >= 1) & (F.col("seen") > 0)
     )
 

@@ -7,10 +7,11 @@ the task, one array in and one array out.  Images are flattened row by row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +37,31 @@ BATCH_CELLS = 2_000_000
 
 
 def map_arrays(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Replace each feature array by ``fn`` of it, batch by batch.
+    """Replace each feature array by what ``fn`` makes of it; ``fn`` takes a stack of arrays of one length, one per row, and gives a row for each.
 
-    Results leave in slices of bounded size, so a wide image never piles up in a worker.
+    Other columns stay Arrow arrays.  Results leave in slices of bounded size, so a wide image never piles up in a worker.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            start, cells, out = 0, 0, []
-            for i, a in enumerate(pdf["features"]):
-                out.append(fn(np.asarray(a, dtype=float)).ravel())
-                cells += out[-1].size
-                if cells >= BATCH_CELLS:
-                    yield pdf.iloc[start : i + 1].assign(features=out)
-                    start, cells, out = i + 1, 0, []
-            if out:
-                yield pdf.iloc[start:].assign(features=out)
-
-    return df.mapInPandas(run, df.schema)
+    at = df.columns.index("features")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = 64  # cells out for a cell in, as far as seen
+        for batch in batches:
+            ends = batch.column(at).offsets.to_numpy()
+            sizes = np.diff(ends)
+            start = 0
+            while start < len(sizes):
+                same = np.nonzero(sizes[start:] != sizes[start])[0]
+                most = max(1, BATCH_CELLS // max(1, int(sizes[start]) * wide))
+                stop = min(start + most, start + int(same[0]) if len(same) else len(sizes))
+                part = batch.slice(start, stop - start)
+                stack = part.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(stop - start, -1)
+                out = np.asarray(fn(stack), dtype=float).reshape(stop - start, -1)
+                wide = max(wide, out.shape[1] // max(1, stack.shape[1]) + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([lists if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
+                start = stop
+
+    return df.mapInArrow(run, df.schema)
 
 
 # -- short-time Fourier ------------------------------------------------------
@@ -73,13 +81,14 @@ def stft_power(df: DataFrame, width: int) -> DataFrame:
     """
 
     def power(x: np.ndarray) -> np.ndarray:
-        hop, frames = width - width // 2, stft_frames(len(x), width)
-        padded = np.zeros((frames - 1) * hop + width)
-        padded[width // 2 : width // 2 + len(x)] = x
+        n = x.shape[1]
+        hop, frames = width - width // 2, stft_frames(n, width)
+        padded = np.zeros((len(x), (frames - 1) * hop + width))
+        padded[:, width // 2 : width // 2 + n] = x
         window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(width) / width)
-        cut = np.lib.stride_tricks.sliding_window_view(padded, width)[::hop]
-        spectrum = np.fft.rfft(cut * window, axis=1) / window.sum()
-        return (spectrum.real**2 + spectrum.imag**2).T
+        cut = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[:, ::hop]
+        spectrum = np.fft.rfft(cut * window, axis=2) / window.sum()
+        return (spectrum.real**2 + spectrum.imag**2).transpose(0, 2, 1)
 
     return map_arrays(df, power)
 
@@ -107,14 +116,14 @@ def wavelet_hat(wavelet: str, f0: float) -> tuple[Callable[[np.ndarray], np.ndar
 
 
 def cwt_array(x: np.ndarray, scales: Sequence[float], wavelet: str, f0: float) -> np.ndarray:
-    """Complex coefficients ``[scale × position]``, zero-padded to a power of two."""
-    n = len(x)
+    """Complex coefficients ``[row × scale × position]`` of a stack of arrays, zero-padded to a power of two."""
+    n = x.shape[1]
     size = 1 << max(n - 1, 1).bit_length()
     hat, _ = wavelet_hat(wavelet, f0)
     omega = 2 * np.pi * np.fft.fftfreq(size)
     s = np.asarray(scales)[:, None]
     filters = np.sqrt(s * omega[1] * size) * hat(s * omega)
-    return np.fft.ifft(np.fft.fft(x, size) * filters, axis=1)[:, :n]
+    return np.fft.ifft(np.fft.fft(x, size, axis=1)[:, None, :] * filters, axis=2)[:, :, :n]
 
 
 def influence_limit(n: int, scales: int, wavelet: str = "morlet", f0: float = 6.0) -> np.ndarray:
@@ -136,7 +145,7 @@ def cwt_magnitude(
     def magnitude(x: np.ndarray) -> np.ndarray:
         image = np.abs(cwt_array(x, wanted, wavelet, f0))
         if cone:
-            limit = influence_limit(len(x), len(wanted), wavelet, f0)
+            limit = influence_limit(x.shape[1], len(wanted), wavelet, f0)
             image = np.where(np.arange(len(wanted))[:, None] >= limit[None, :], np.nan, image)
         return image
 
@@ -158,13 +167,13 @@ def cwt_deviation(
     def deviation(x: np.ndarray) -> np.ndarray:
         image = np.abs(cwt_array(x, wanted, wavelet, f0))
         if cone:
-            limit = influence_limit(len(x), len(wanted), wavelet, f0)
+            limit = influence_limit(x.shape[1], len(wanted), wavelet, f0)
             image = np.where(np.arange(len(wanted))[:, None] >= limit[None, :], np.nan, image)
         known = ~np.isnan(image)
-        n = np.maximum(known.sum(axis=1), 1)
-        mean = np.where(known, image, 0).sum(axis=1) / n
-        spread = np.where(known, image - mean[:, None], 0)
-        return np.where(known.any(axis=1), np.sqrt((spread**2).sum(axis=1) / n), np.nan)
+        n = np.maximum(known.sum(axis=2), 1)
+        mean = np.where(known, image, 0).sum(axis=2) / n
+        spread = np.where(known, image - mean[:, :, None], 0)
+        return np.where(known.any(axis=2), np.sqrt((spread**2).sum(axis=2) / n), np.nan)
 
     out = map_arrays(df, deviation)
     return out.withColumn("features", F.transform("features", lambda v: F.when(~F.isnan(v), v)))
@@ -200,6 +209,48 @@ def class_mean_image(df: DataFrame, width: int, label: str = "label") -> DataFra
     )
 
 
+# -- series of any length ----------------------------------------------------
+
+
+def morlet_kernel(scale: float, f0: float = 6.0, reach: float = 5.0) -> np.ndarray:
+    """The wavelet in time, cut at ``reach`` scales on both sides (its weight there is below ``exp(-reach ** 2 / 2)``)."""
+    t = np.arange(-math.ceil(reach * scale), math.ceil(reach * scale) + 1)
+    return np.pi**-0.25 / np.sqrt(scale) * np.exp(1j * f0 * t / scale - (t / scale) ** 2 / 2)
+
+
+def long_magnitude(trace: DataFrame, kernels: Sequence[np.ndarray], *, block: int = 4096) -> DataFrame:
+    """``(series_id, pos, scale, x)``: magnitude of each gridded series folded with every kernel, for series of any length.
+
+    ``trace``: ``(series_id, pos, value)`` without nulls; beyond its ends a series is zero.  Blocks take as many cells of their neighbours as the
+    widest kernel reaches, are transformed by themselves and keep their own cells only, so that the result does not depend on ``block`` and
+    a task holds one block.
+    """
+    reach = max(len(k) for k in kernels) // 2
+    first, last = F.floor((F.col("pos") - reach) / block), F.floor((F.col("pos") + reach) / block)
+    cut = trace.select("series_id", "pos", F.col("value").cast("double").alias("value"), F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("block"))
+
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        start = key[1].as_py() * block - reach
+        pos = table.column("pos").to_numpy() - start
+        cells = np.zeros(block + 2 * reach)
+        cells[pos] = table.column("value").to_numpy()
+        size = 1 << (len(cells) + 2 * reach).bit_length()
+        spectrum = np.fft.fft(cells, size)
+        own = np.sort(pos[(pos >= reach) & (pos < reach + block)])
+        out = []
+        for kernel in kernels:
+            half = len(kernel) // 2
+            out.append(np.abs(np.fft.ifft(spectrum * np.fft.fft(kernel, size))[own + half]))
+        n = len(own)
+        return pa.table({
+            "series_id": pa.array([key[0].as_py()] * (n * len(kernels)), table.column("series_id").type), "pos": pa.array(np.tile(own + start, len(kernels)), pa.int64()),
+            "scale": pa.array(np.repeat(np.arange(len(kernels)), n), pa.int32()), "x": pa.array(np.concatenate(out)),
+        })
+
+    kind = trace.schema["series_id"].dataType.simpleString()
+    return cut.groupBy("series_id", "block").applyInArrow(fold, f"series_id {kind}, pos long, scale int, x double")
+
+
 # -- discrete wavelets -------------------------------------------------------
 
 
@@ -210,10 +261,11 @@ def high_pass(low: Sequence[float]) -> np.ndarray:
 
 
 def dwt_level(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level with half-sample symmetric edges."""
+    """One level of a stack of arrays with half-sample symmetric edges."""
     taps = len(low)
-    ext = np.pad(x, taps - 1, mode="symmetric")
-    return np.convolve(ext, low, "valid")[1::2], np.convolve(ext, high, "valid")[1::2]
+    ext = np.pad(x, ((0, 0), (taps - 1, taps - 1)), mode="symmetric")
+    cut = np.lib.stride_tricks.sliding_window_view(ext, taps, axis=1)[:, 1::2]
+    return cut @ low[::-1], cut @ high[::-1]
 
 
 def max_level(n: int, taps: int) -> int:
@@ -224,7 +276,7 @@ def wavedec(x: np.ndarray, wavelet: str) -> list[np.ndarray]:
     """Coarsest approximation, then details from coarse to fine."""
     low, high = np.asarray(TAPS[wavelet]), high_pass(TAPS[wavelet])
     details = []
-    for _ in range(max_level(len(x), len(low))):
+    for _ in range(max_level(x.shape[1], len(low))):
         x, d = dwt_level(x, low, high)
         details.append(d)
     return [x, *details[::-1]]
@@ -235,9 +287,8 @@ def dwt_scalogram(df: DataFrame, wavelet: str = "coif1") -> DataFrame:
 
     def image(x: np.ndarray) -> np.ndarray:
         kept = wavedec(x, wavelet)[2:]
-        width = 2 * len(kept[-1])
-        rows = [np.repeat(c, 2 ** (len(kept) - i))[:width] for i, c in enumerate(kept)]
-        return np.vstack(rows)
+        width = 2 * kept[-1].shape[1]
+        return np.concatenate([np.repeat(c, 2 ** (len(kept) - i), axis=1)[:, :width] for i, c in enumerate(kept)], axis=1)
 
     return map_arrays(df, image)
 
@@ -253,21 +304,22 @@ def denoise(df: DataFrame, share: float, wavelet: str = "db4", levels: int | Non
     high = high_pass(low)
 
     def clean(x: np.ndarray) -> np.ndarray:
-        limit = share * np.nanmax(x)
-        depth = max_level(len(x), len(low)) if levels is None else levels
+        limit = share * np.nanmax(x, axis=1, keepdims=True)
+        depth = max_level(x.shape[1], len(low)) if levels is None else levels
         steps, rest = [], x
         for _ in range(depth):
-            even = np.append(rest, rest[-1]) if len(rest) % 2 else rest
-            at = [circle_index(len(even), len(low), k) for k in range(len(low))]
-            detail = sum(high[k] * even[at[k]] for k in range(len(low)))
+            size = rest.shape[1]
+            even = np.append(rest, rest[:, -1:], axis=1) if size % 2 else rest
+            at = [circle_index(even.shape[1], len(low), k) for k in range(len(low))]
+            detail = sum(high[k] * even[:, at[k]] for k in range(len(low)))
             kept = np.sign(detail) * np.maximum(np.abs(detail) - limit, 0)
-            steps.append((at, kept, len(rest)))
-            rest = sum(low[k] * even[at[k]] for k in range(len(low)))
+            steps.append((at, kept, size))
+            rest = sum(low[k] * even[:, at[k]] for k in range(len(low)))
         for at, detail, size in reversed(steps):
-            built = np.zeros(2 * len(detail))
+            built = np.zeros((len(detail), 2 * detail.shape[1]))
             for k in range(len(low)):
-                built[at[k]] += low[k] * rest + high[k] * detail
-            rest = built[:size]
+                built[:, at[k]] += low[k] * rest + high[k] * detail
+            rest = built[:, :size]
         return rest
 
     return map_arrays(df, clean)
@@ -277,15 +329,15 @@ def fourier_resample(df: DataFrame, resolution: float = 0.7) -> DataFrame:
     """Fourier up-sampling to ``ceil(n / resolution)`` points."""
 
     def stretch(x: np.ndarray) -> np.ndarray:
-        n = len(x)
+        n = x.shape[1]
         size = int(np.ceil(n / resolution))
-        spectrum = np.fft.rfft(x)
-        wide = np.zeros(size // 2 + 1, dtype=complex)
+        spectrum = np.fft.rfft(x, axis=1)
+        wide = np.zeros((len(x), size // 2 + 1), dtype=complex)
         keep = min(n, size) // 2 + 1
-        wide[:keep] = spectrum[:keep]
+        wide[:, :keep] = spectrum[:, :keep]
         if min(n, size) % 2 == 0 and size != n:
-            wide[min(n, size) // 2] *= 0.5 if size > n else 2.0
-        return np.fft.irfft(wide, size) * size / n
+            wide[:, min(n, size) // 2] *= 0.5 if size > n else 2.0
+        return np.fft.irfft(wide, size, axis=1) * size / n
 
     return map_arrays(df, stretch)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions.quantile import let, medians, quantiles, value_bucket, with_medians
+from tracelab.functions.quantile import let, medians, middle_value, quantiles, value_bucket, with_medians
 from tracelab.functions.scan import ranked
 from tracelab.functions.hashing import SPAN, draw, draw_bucket
 from tracelab.operators.normalise import array_sum, cells_of, transform_positions
@@ -70,8 +70,11 @@ def listed(df: DataFrame, key: str, item: str, piece: int = 10_000) -> DataFrame
     return out.agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
-def dataset_span(df: DataFrame, *, key: str, date: str, order: str, block: int = 10_000) -> DataFrame:
-    """Individuals, rows, first and last date, and the dates of the first, middle and last row."""
+def dataset_span(df: DataFrame, *, key: str, date: str, order: str) -> DataFrame:
+    """Individuals, rows, first and last date, and the dates of the first, middle and last row by a number ``order`` that no two rows share.
+
+    The middle row is found by its rank; no row is numbered.
+    """
     agg = df.groupBy().agg(
         F.count_distinct(key).alias("individuals"),
         F.count(F.lit(1)).alias("n"),
@@ -80,9 +83,9 @@ def dataset_span(df: DataFrame, *, key: str, date: str, order: str, block: int =
         F.min_by(date, order).alias("first_date"),
         F.max_by(date, order).alias("last_date"),
     )
-    numbered = ranked(df.withColumn("_all", F.lit(0)), ["_all"], [order], F.floor(F.col(order) / block), "_n")
-    middle = numbered.select((F.col("_n") - 1).alias("_at"), F.col(date).alias("middle_date"))
-    return agg.withColumn("_at", F.floor(F.col("n") / 2)).join(middle, "_at").drop("_at")
+    at = middle_value(df, [], order).select("middle").scalar()
+    middle = df.withColumn("_at", at).where(F.col(order).cast("double") == F.col("_at")).groupBy().agg(F.min(date).alias("d"))
+    return agg.withColumn("middle_date", middle.scalar())
 
 
 # -- distributions -----------------------------------------------------------

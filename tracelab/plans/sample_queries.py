@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tracelab.functions import scalar
@@ -808,7 +807,8 @@ def _stft_kernel(width):
 
 
 def _stft_sql(source, n, width, keys="sample_id"):
-    frames, hop = spectral.stft_frames(n, width), width - width // 2
+    hop = width // 2
+    frames = n // hop + 1  # the widths here divide the lengths: one frame centred on every hop, both ends included
     return (
         f"k AS (SELECT * FROM {_stft_kernel(width)} t(freq, i, re, im)), f AS (SELECT unnest(range(0, {frames})) AS frame),"
         f" sp AS (SELECT {keys}, freq, frame, sum(x * re) AS re, sum(x * im) AS im FROM {source}, f JOIN k ON i = pos + {width // 2} - frame * {hop}"
@@ -822,9 +822,14 @@ def _(spark, sf):
 
 
 def _cwt_sql(scales, wavelet, f0, n=64):
-    hat, _ = spectral.wavelet_hat(wavelet, f0)
-    omega = 2 * np.pi * np.fft.fftfreq(n)
-    filt = [(i, k, float(np.sqrt(s * omega[1] * n) * hat(s * omega)[k])) for i, s in enumerate(scales) for k in range(n)]
+    def gain(w):
+        if wavelet == "morlet":
+            return math.exp(-((w - f0) ** 2) / 2) / math.pi**0.25
+        return w * w * math.exp(-w * w / 2) / math.sqrt(0.75 * math.sqrt(math.pi))
+
+    # angular frequency of each term, the upper half negative; a wavelet of scale s has the norm of a unit one
+    turn = [2 * math.pi * (k if k < n / 2 else k - n) / n for k in range(n)]
+    filt = [(i, k, math.sqrt(2 * math.pi * s) * gain(s * turn[k])) for i, s in enumerate(scales) for k in range(n)]
     dft = [(k, p, math.cos(2 * math.pi * k * p / n), math.sin(2 * math.pi * k * p / n)) for k in range(n) for p in range(n)]
     return (
         f"ft AS (SELECT * FROM {_values(filt)} t(scale, k, g)), dft AS (SELECT * FROM {_values(dft)} t(k, p, c, s)),"
@@ -834,7 +839,7 @@ def _cwt_sql(scales, wavelet, f0, n=64):
     )
 
 
-SCALES = spectral.dyadic_scales(4, 0.5)
+SCALES = [2.0, 2 * 2**0.5, 4.0, 4 * 2**0.5, 8.0, 8 * 2**0.5, 16.0, 16 * 2**0.5]  # four octaves from 2 on, two voices each
 CWT = f"{X}, {_cwt_sql(SCALES, 'morlet', 6.0)}"
 
 
@@ -851,7 +856,21 @@ def _(spark, sf):
     return long_features(spectral.cwt_magnitude(samples(spark, sf), SCALES, wavelet="mexican_hat"))
 
 
-_CONE = _values([(p, int(v)) for p, v in enumerate(spectral.influence_limit(64, len(SCALES)))])
+# the cone widens with the distance to the nearer end, on a log axis stretched over the scales
+_CONE = _values([(p, math.floor(len(SCALES) * math.log2(1 + 2 * min(p, 63 - p)) / math.log2(63) + 1e-9)) for p in range(64)])
+
+# fixed values: low-pass taps of the decompositions
+_COIF1 = [-0.01565572813546454, -0.0727326195128539, 0.38486484686420286, 0.8525720202122554, 0.3378976624578092, -0.0727326195128539]
+_DB4 = [
+    -0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114,
+    -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523,
+]
+
+
+def _taps(low):
+    """``(k, lo, hi)``: the high-pass is the low-pass backwards with alternating sign."""
+    n = len(low)
+    return _values([(k, low[k], -low[n - 1 - k] if k % 2 == 0 else low[n - 1 - k]) for k in range(n)])
 
 
 @query(
@@ -879,8 +898,7 @@ def _(spark, sf):
 
 
 def _dwt_level(src, dst, n):
-    low = spectral.TAPS["coif1"]
-    taps = _values([(k, float(low[k]), float(h)) for k, h in enumerate(spectral.high_pass(low))])
+    taps = _taps(_COIF1)
     size = (n + 5) // 2
     j = "2 * i + 1 - k"
     return (
@@ -899,7 +917,7 @@ def _(spark, sf):
     return long_features(spectral.dwt_scalogram(samples(spark, sf)))
 
 
-_H = repr(spectral.TAPS["haar"][0])
+_H = repr(0.7071067811865476)
 
 
 @query(
@@ -913,6 +931,33 @@ def _(spark, sf):
     return long_features(spectral.denoise(samples(spark, sf), 0.35, "haar", levels=1))
 
 
+def _circle_down(src, dst, n):
+    """One level on a circle of ``n`` cells: approximation and detail of every other cell."""
+    return (
+        f"{dst} AS (SELECT x.sample_id, i, sum(lo * x.x) AS a, sum(hi * x.x) AS d FROM (SELECT unnest(range(0, {n // 2}))::INT AS i) ii, {_taps(_DB4)} t(k, lo, hi)"
+        f" JOIN {src} x ON x.pos = (2 * i + 4 - k + {n}) % {n} GROUP BY 1, 2)"
+    )
+
+
+def _circle_up(rest, level, dst, n):
+    """Back up: every coefficient spreads over the cells that it was read from, details after the soft threshold."""
+    return (
+        f"{dst} AS (SELECT l.sample_id, ((2 * l.i + 4 - k + {n}) % {n})::INT AS pos, sum(lo * r.x + hi * sign(d) * greatest(abs(d) - lim, 0)) AS x"
+        f" FROM {level} l JOIN {rest} r ON r.sample_id = l.sample_id AND r.pos = l.i JOIN mx ON mx.sample_id = l.sample_id, {_taps(_DB4)} t(k, lo, hi) GROUP BY 1, 2)"
+    )
+
+
+@query(
+    "s6_wavelet_denoise_db4",
+    f"WITH {X}, mx AS (SELECT sample_id, 0.35::DOUBLE * max(x) AS lim FROM x GROUP BY 1), {_circle_down('x', 'l1', 64)},"
+    f" x1 AS (SELECT sample_id, i AS pos, a AS x FROM l1), {_circle_down('x1', 'l2', 32)}, x2 AS (SELECT sample_id, i AS pos, a AS x FROM l2),"
+    f" {_circle_down('x2', 'l3', 16)}, x3 AS (SELECT sample_id, i AS pos, a AS x FROM l3), {_circle_up('x3', 'l3', 'y2', 16)}, {_circle_up('y2', 'l2', 'y1', 32)},"
+    f" {_circle_up('y1', 'l1', 'y0', 64)} SELECT sample_id, pos, {q6('x')} AS x FROM y0",
+)
+def _(spark, sf):
+    return long_features(spectral.denoise(samples(spark, sf), 0.35))
+
+
 @query(
     "s7_dashboard_spectrogram",
     f"WITH {HOURLY}, a AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN pos END) OVER (PARTITION BY series_id ORDER BY pos) AS lp,"
@@ -929,6 +974,31 @@ def _(spark, sf):
     return out.select("series_id", "block", F.posexplode("features").alias("pos", "x")).withColumn("x", r6("x"))
 
 
+def _kernel_rows(scales):
+    rows = []
+    for n, s in enumerate(scales):
+        wide = math.ceil(5 * s)
+        for t in range(-wide, wide + 1):
+            size = math.exp(-((t / s) ** 2) / 2) / math.pi**0.25 / math.sqrt(s)
+            rows.append((n, t, size * math.cos(6 * t / s), size * math.sin(6 * t / s)))
+    return _values(rows)
+
+
+@query(
+    "s7_long_scalogram",
+    f"WITH {HOURLY}, a AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN pos END) OVER (PARTITION BY series_id ORDER BY pos) AS lp,"
+    " min(CASE WHEN value IS NOT NULL THEN pos END) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS np FROM g),"
+    " fl AS (SELECT a.series_id, a.pos, coalesce(a.value, l.value + (r.value - l.value) * (a.pos - lp) / (np - lp)) AS v"
+    " FROM a LEFT JOIN g l ON l.series_id = a.series_id AND l.pos = lp LEFT JOIN g r ON r.series_id = a.series_id AND r.pos = np),"
+    f" k AS (SELECT * FROM {_kernel_rows([2.0, 4.0, 8.0])} t(scale, o, re, im)), c AS (SELECT fl.series_id, fl.pos + o AS pos, scale, sum(v * re) AS re, sum(v * im) AS im FROM fl, k GROUP BY ALL)"
+    f" SELECT c.series_id, c.pos, scale::INT AS scale, {q6('sqrt(re * re + im * im)')} AS x FROM c SEMI JOIN g ON g.series_id = c.series_id AND g.pos = c.pos",
+)
+def _(spark, sf):
+    filled = impute.linear_fill(hourly_grid(spark, sf)).select("series_id", "pos", "value")
+    out = spectral.long_magnitude(filled, [spectral.morlet_kernel(s) for s in (2.0, 4.0, 8.0)], block=256)
+    return out.withColumn("x", r6("x"))
+
+
 @query(
     "s9_class_mean_image",
     f"WITH {CWT}, lb AS (SELECT vec_id AS sample_id, label FROM embeddings) SELECT label, scale::BIGINT AS scale, p::INT AS pos, {q6('avg(x)')} AS mean FROM cw JOIN lb USING (sample_id) GROUP BY 1, 2, 3",

@@ -32,7 +32,7 @@ def _write_trace_files(spark, sf):
         "signal_strength",
         "battery_voltage",
     )
-    rec.repartition("series_id").write.partitionBy("series_id").option("header", True).csv(path)
+    rec.repartitionByRange("series_id", "timestamp").write.partitionBy("series_id").option("header", True).csv(path)
     return path, rec
 
 
