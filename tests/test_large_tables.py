@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tracelab.operators import splits
+from tracelab.operators import neighbours, splits
 
 
 @pytest.fixture
@@ -39,3 +39,25 @@ def test_pairs_are_made_where_blocks_meet(spark, joined, stratified):
     want = [p for p in itertools.combinations([*range(299), None], 2) if not stratified or len(classes[p[0]]) == len(classes[p[1]]) == 1 and classes[p[0]] != classes[p[1]]]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert most(joined) <= 8 * 300  # every pair was shuffled on its own
+
+
+@pytest.mark.parametrize("k", [3, None])
+def test_candidates_of_a_cell_are_not_shuffled(spark, joined, k):
+    rng = random.Random(3)
+    rows = [(i, i % 3 if i % 3 < 2 else None, i % 2, [rng.random() for _ in range(12)]) for i in range(400)]
+    rows += [(7, 1, 1, [0.5] * 12), (None, 1, 0, [0.5] * 12)]  # an id with two rows, and a row without an id
+    df = spark.createDataFrame(rows, "sample_id long, y int, fold int, features array<double>")
+    got = neighbours.nearest(df, k, block_rows=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not joined and "Window" not in plan  # every cell's nearest rows were shuffled, ranked and joined
+    apart = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b, strict=True))
+    want = {}
+    for i in {r[0] for r in rows} - {None}:
+        own = [r for r in rows if r[0] == i]
+        near = sorted((round(apart(o[3], r[3]), 9), -1 if r[0] is None else r[0], str(r[1])) for o in own for r in rows if r[2] != o[2])
+        most = k if k is not None else int(sum(r[2] != own[0][2] for r in rows) ** 0.5)
+        want[i] = near[:most]
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.sample_id, []).append((round(r.distance, 9), -1 if r.neighbour is None else r.neighbour, str(r.y)))
+    assert {i: sorted(v) for i, v in found.items()} == want
