@@ -4,9 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tracelab.operators import neighbours, splits
+from tracelab.operators import joins, neighbours, splits
 
 
 @pytest.fixture
@@ -23,6 +24,20 @@ def joined(monkeypatch):
     return sizes
 
 
+@pytest.fixture
+def grouped(monkeypatch):
+    """The tables that are grouped while the test runs."""
+    tables = []
+    kept = DataFrame.groupBy
+
+    def group(self, *cols):
+        tables.append((self,))
+        return kept(self, *cols)
+
+    monkeypatch.setattr(DataFrame, "groupBy", group)
+    return tables
+
+
 def most(sides) -> int:
     return max(df.count() for pair in list(sides) for df in pair)
 
@@ -61,3 +76,21 @@ def test_candidates_of_a_cell_are_not_shuffled(spark, joined, k):
     for r in got.collect():
         found.setdefault(r.sample_id, []).append((round(r.distance, 9), -1 if r.neighbour is None else r.neighbour, str(r.y)))
     assert {i: sorted(v) for i, v in found.items()} == want
+
+
+def test_herd_windows_are_not_grouped_again(spark, grouped):
+    rng = random.Random(1)
+    day = 86400
+    records = [(s, rng.randint(0, 5 * day), float(rng.randint(1, 50))) for s in range(30) for _ in range(12)] + [(None, day, 1.0), (3, 2 * day, None)]
+    stops = [(k, rng.randint(-day, 9 * day)) for k in range(60)] + [(5, 3 * day), (None, 2 * day), (None, 3 * day), (70, None), (71, 3 * day), (71, 3 * day)]
+    df = spark.createDataFrame(records, "series_id int, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    samples = spark.createDataFrame(stops, "sample_id int, s long").select("sample_id", F.timestamp_seconds("s").alias("stop"))
+    got = {(r.sample_id, r.series_id): (r.n, round(r.total, 6)) for r in joins.herd_window_sums(df, samples, 2).collect()}
+    want = {}
+    for k, stop in stops:
+        for s, t, v in records:
+            if s is not None and stop is not None and stop - 2 * day < t <= stop:
+                n, total = want.get((k, s), (0, 0.0))
+                want[k, s] = (n + 1, total + (v or 0.0))
+    assert got == want
+    assert most(grouped) <= len(records) < len(want) / 2  # two rows per sample and animal were grouped
