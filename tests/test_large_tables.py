@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tracelab.operators import joins, neighbours, splits
+from tracelab.operators import grid, joins, neighbours, splits
 
 
 @pytest.fixture
@@ -94,3 +94,43 @@ def test_herd_windows_are_not_grouped_again(spark, grouped):
                 want[k, s] = (n + 1, total + (v or 0.0))
     assert got == want
     assert most(grouped) <= len(records) < len(want) / 2  # two rows per sample and animal were grouped
+
+
+@pytest.mark.parametrize(("step", "lo"), [("1 hour", 0), ("10 minutes", 7), ("1 day", 0)])
+def test_steps_are_written_out_behind_the_join(spark, joined, step, lo):
+    n = grid.seconds(step)
+    rng = random.Random(n)
+    rows = [(s, lo + 60 * s + n * t, float(t) if t % 3 else None) for s in range(3) for t in sorted(rng.sample(range(-60, 400), 25))] + [(None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "series_id int, s long, value double").select("series_id", F.timestamp_seconds("s").alias("ts"), "value")
+    got = {(r.series_id, r.t): (r.pos, r.value) for r in grid.regular_grid(df, step).select("*", F.unix_seconds("ts").alias("t")).collect()}
+    want = {}
+    for s in (0, 1, 2, None):
+        own = {t: v for k, t, v in rows if k == s}
+        first, last = min(own), max(own)
+        for t in range(first, last + 1, n):
+            want[s, t] = ((t - first) // n, own.get(t) if s is not None else None)
+    assert got == want
+    assert most(joined) < len(want) / (4 if n < 86400 else 1) + 8  # every step was joined with the records, and shuffled for it
+
+
+def test_cells_of_a_silent_herd_are_not_joined(spark, joined):
+    df = spark.createDataFrame([(1, 0, 2.0), (2, 86400 * 9, 3.0)], "series_id int, s long, value double").select("series_id", F.timestamp_seconds("s").alias("ts"), "value")
+    ids = spark.range(50).select(F.col("id").cast("int").alias("series_id"))
+    got = grid.common_grid(df, "1 hour", ids=ids)
+    assert got.count() == 50 * 241 and got.where("value is not null").count() == 2
+    assert most(joined) <= 50 * 11
+
+
+def test_a_mark_is_not_copied_to_every_cell(spark, joined):
+    rng = random.Random(4)
+    marks = [(s, p, rng.randint(1, 5)) for s in range(3) for p in rng.sample(range(-20, 300), 60)]
+    cells = spark.range(300).selectExpr("explode(array(0, 1, 2, 3)) AS series_id", "id AS pos")
+    df = spark.createDataFrame(marks, "series_id int, pos long, mark int")
+    got = {(r.series_id, r.pos): r.mark for r in joins.mark_before(cells, df, 48).collect()}
+    want = {}
+    for s in range(4):
+        for p in range(300):
+            ahead = [(q, m) for k, q, m in marks if k == s and p < q <= p + 48]
+            want[s, p] = max(ahead)[1] if ahead else None
+    assert got == want
+    assert joined[-1][1].count() <= 2 * len(marks) / 6  # a list per block of 48 cells; it was a row per marked cell

@@ -182,16 +182,19 @@ def zip_features(a: DataFrame, b: DataFrame, key: str = "sample_id") -> DataFram
 
 
 def mark_before(cells: DataFrame, marks: DataFrame, n: int) -> DataFrame:
-    """Label the ``n`` positions before each marked position; the latest mark wins.
+    """Label the ``n`` positions before each marked position; the latest mark wins, of marks at one position the largest.
+
+    Cells meet the marks of their block of ``n`` positions and of the next as one list.
 
     ``cells``: ``(series_id, pos)``; ``marks``: ``(series_id, pos, mark)``.
     """
-    back = F.explode(F.sequence(F.lit(1), F.lit(n)))
-    placed = marks.select("series_id", "mark", F.col("pos").alias("_at"), back.alias("_o")).select(
-        "series_id", (F.col("_at") - F.col("_o")).alias("pos"), "_at", "mark"
-    )
-    one = placed.groupBy("series_id", "pos").agg(F.max_by("mark", "_at").alias("mark"))
-    return cells.join(one, ["series_id", "pos"], "left")
+    block = lambda c: F.floor(c / F.lit(n))
+    one = marks.groupBy("series_id", F.col("pos").alias("at")).agg(F.max("mark").alias("mark"))
+    touched = F.explode(F.sequence(block(F.col("at") - n), block(F.col("at") - 1)))  # one block or two
+    held = one.select("series_id", "at", "mark", touched.alias("_block")).groupBy("series_id", "_block").agg(F.collect_list(F.struct("at", "mark")).alias("_marks"))
+    met = cells.withColumn("_block", block(F.col("pos"))).join(held, ["series_id", "_block"], "left")
+    here = F.filter("_marks", lambda m: (m["at"] > F.col("pos")) & (m["at"] <= F.col("pos") + n))
+    return met.select(*cells.columns, F.array_max(here)["mark"].alias("mark"))
 
 
 def outer_join_traces(a: DataFrame, b: DataFrame, names: tuple[str, str]) -> DataFrame:
