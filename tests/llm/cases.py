@@ -23,7 +23,7 @@ def corpus(n=60):
     first = max(r[0] for r in rows) + 7
     rows += [(first + i * 3, t, "odd") for i, t in enumerate(more)]
     rows += [rows[3], rows[3], (rows[5][0], "other text under one id", None), (None, "text without an id", "x"), (None, None, None)]
-    rows += [(first + 1000, rows[1][1], "copy"), (first + 1001, rows[1][1] + " tail", "near")]
+    rows += [(first + 1000, rows[1][1], "copy"), (first + 1001, (rows[1][1] or "") + " tail", "near")]
     return rows
 
 
