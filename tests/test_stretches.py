@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 from tests.test_large_tables import joined  # noqa: F401
-from tracelab.operators import samples
+from tracelab.operators import grid, samples
 
 START = dt.datetime(2024, 1, 1)
 
@@ -44,3 +44,14 @@ def test_windows_meet_stretches_not_cells(spark, joined):  # noqa: F811
         assert r.features == [None if h % 7 else float(h) for h in hour] and r.cells == 48 and r.seen == sum(h % 7 == 0 for h in hour)
         assert r.imputed_days == sum(all(h % 24 < 20 for h in hour[d : d + 24]) for d in (0, 24)) and r.complete_days == 0
     assert max(x.count() for pair in joined for x in pair) < 100  # the trace has some 450 cells
+
+
+def test_filled_rollup_moves_stretches(spark, joined):  # noqa: F811
+    at = [(s, START + dt.timedelta(minutes=m), 1.5, 3, 4) for s, m in [(1, 0), (1, 7), (1, 2003), (2, 61), (2, 61 + 1430), (None, 5)]] + [(3, None, 1.0, 1, 1)]
+    df = spark.createDataFrame(at, "series_id long, ts timestamp, value double, signal_strength int, battery_voltage int")
+    out = grid.resample_from_first_filled(df, "10 minutes")
+    got = {(r.series_id, r.bucket_s): r.value for r in out.collect()}
+    s0 = int(START.replace(tzinfo=dt.timezone.utc).timestamp())
+    want = {(1, s0 + 600 * k): {0: 3.0, 200: 1.5}.get(k) for k in range(201)} | {(2, s0 + 3660 + 600 * k): 1.5 if k in (0, 143) else None for k in range(144)}
+    assert got == want and out.count() == len(want)
+    assert max(x.count() for pair in joined for x in pair) < 100  # there are 345 steps
