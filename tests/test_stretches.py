@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+import statistics
 
 from tests.test_large_tables import joined  # noqa: F401
+from tracelab.functions import quantile
 from tracelab.operators import grid, samples
 
 START = dt.datetime(2024, 1, 1)
@@ -55,3 +57,23 @@ def test_filled_rollup_moves_stretches(spark, joined):  # noqa: F811
     want = {(1, s0 + 600 * k): {0: 3.0, 200: 1.5}.get(k) for k in range(201)} | {(2, s0 + 3660 + 600 * k): 1.5 if k in (0, 143) else None for k in range(144)}
     assert got == want and out.count() == len(want)
     assert max(x.count() for pair in joined for x in pair) < 100  # there are 345 steps
+
+
+def test_small_groups_need_no_sketch(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k if k else None, round(rng.uniform(-5, 5), 2)) for k in range(40) for _ in range(1 + k % 9)] + [(99, None), (99, float("nan"))]
+    df = spark.createDataFrame(rows, "k long, x double")
+    groups = {}
+    for k, x in rows[:-2]:
+        groups.setdefault(k, []).append(x)
+    want = {k: (len(x), round(statistics.median(x), 9), sorted(x)[len(x) // 2]) for k, x in groups.items()}
+
+    def found():
+        mid = {r.k: r.middle for r in quantile.middle_value(df, ["k"], "x").collect()}
+        return {r.k: (r.n, round(r.m, 9), mid[r.k]) for r in quantile.quantiles(df, ["k"], "x", {"m": 0.5}).collect()}
+
+    monkeypatch.setattr(quantile, "FEW", 4)  # some groups by arrays, some by brackets
+    assert found() == want
+    monkeypatch.setattr(quantile, "FEW", 4096)
+    monkeypatch.setattr(quantile, "_bracketed", None)
+    assert found() == want

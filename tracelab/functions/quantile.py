@@ -15,6 +15,7 @@ from tracelab.session import materialise
 
 ACCURACY = 1000  # of the sketch: a bracket holds some four thousandths of a group
 SLICES = 1024  # of a bracket, sorted by themselves
+FEW = 4096  # values of a group that are sorted as one array
 
 # buckets per factor e of magnitude, and the magnitude below which buckets get wider
 PER_E = 4096
@@ -54,7 +55,8 @@ def quantiles(
 ) -> DataFrame:
     """One row per key with exact, linearly interpolated quantiles ``{name: p}`` and ``n``.
 
-    Nulls and NaNs are skipped; groups without a value are absent.  A sketch brackets each wanted rank; one pass then counts what lies below the bracket
+    Nulls and NaNs are skipped; groups without a value are absent.  The values are written out once.  Groups of up to ``FEW`` values are sorted as they are.  For
+    the others a sketch brackets each wanted rank; one pass then counts what lies below the bracket
     and keeps the values inside, and only these are sorted, in slices of the bracket.  The next value on either side is kept with the
     counts, for a rank that falls between two values at the edge.  ``rank`` may name another rank, at most one off those of the probabilities.
     """
@@ -62,6 +64,34 @@ def quantiles(
     at = [float(probs[n]) for n in names]
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     slim = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if not keys:
+        return _by_brackets(slim, keys, names, at, rank)
+    slim = materialise(slim, "values")
+    large = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
+    large = materialise(large.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]), "large-groups")
+    if large.isEmpty():
+        return _by_arrays(slim, keys, names, at, rank)
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    small = _by_arrays(slim.join(large, on, "left_anti"), keys, names, at, rank)
+    return small.unionByName(_by_brackets(slim.join(large, on, "left_semi"), keys, names, at, rank))
+
+
+def _by_arrays(slim: DataFrame, keys: list[str], names: list[str], at: list[float], rank: Callable[[Column], Column] | None) -> DataFrame:
+    """Quantiles of groups that are few values each."""
+    held = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_v")).alias("_all"))
+
+    def between(p: float) -> Column:
+        r = rank(F.col("n")) if rank is not None else (F.col("n") - 1) * F.lit(p)
+        lo, hi = F.get("_all", F.floor(r).cast("int")), F.get("_all", F.ceil(r).cast("int"))
+        return lo + (hi - lo) * (r - F.floor(r))
+
+    return held.select(*keys, "n", *[between(p).alias(name) for p, name in zip(at, names, strict=True)])
+
+
+def _by_brackets(slim: DataFrame, keys: list[str], names: list[str], at: list[float], rank: Callable[[Column], Column] | None) -> DataFrame:
+    """Quantiles of groups of any size."""
     brackets = _bracketed(slim, keys, at)
     if keys:
         other = brackets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "_q")
@@ -140,6 +170,9 @@ def with_medians(agg: DataFrame, df: DataFrame, keys: Sequence[str], columns: di
         return agg
     keys = list(keys)
     value = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    if len(columns) == 1:
+        [(name, column)] = columns.items()
+        return agg.join(medians(df.select(*keys, value(column).alias("_x")), keys, "_x", name), keys, "left")
     cells = F.array(*[F.struct(F.lit(n).alias("_column"), value(c).alias("_x")) for n, c in columns.items()])
     found = medians(df.select(*keys, F.inline(cells)), [*keys, "_column"], "_x", "_median")
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_column") == n, F.col("_median"))).alias(n) for n in columns])
