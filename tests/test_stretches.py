@@ -1,12 +1,16 @@
 """Windows, filled roll-ups, medians of small groups and files per series: what moves follows the input."""
 
 import datetime as dt
+import glob
 import random
 import statistics
 
+from pyspark.sql import functions as F
+
 from tests.test_large_tables import joined  # noqa: F401
 from tracelab.functions import quantile
 from tracelab.operators import grid, samples
+from tracelab.sources import tables
 
 START = dt.datetime(2024, 1, 1)
 
@@ -77,3 +81,12 @@ def test_small_groups_need_no_sketch(spark, monkeypatch):
     monkeypatch.setattr(quantile, "FEW", 4096)
     monkeypatch.setattr(quantile, "_bracketed", None)
     assert found() == want
+
+
+def test_files_per_series_are_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(200).select((F.col("id") % 40).alias("series_id"), "id", F.lit(1.0).alias("value"))
+    tables.write_per_series(df, str(tmp_path / "out"), {"value": "activity"})
+    parts = {p.rsplit("/", 1)[1].split("-")[1] for p in glob.glob(f"{tmp_path}/out/series_id=*/part-*")}
+    assert len(parts) > 1
+    back = spark.read.schema("id long, activity double, series_id long").option("header", True).csv(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted((i, 1.0, i % 40) for i in range(200))

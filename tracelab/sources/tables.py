@@ -11,6 +11,13 @@ from tracelab.operators.grid import RESOLUTIONS, rollups, zoom_resolution
 from tracelab.operators.stats import class_counts
 
 META = ("label", "id", "imputed_days", "date")
+# each task puts its own files into place; otherwise the driver moves one folder per series after the other
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def write_tasks(df: DataFrame) -> int:
+    """Tasks for a write whose cost is its number of files: a stated number, so that Spark does not merge them because their bytes are few."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def write_traces(df: DataFrame, path: str) -> None:
@@ -79,7 +86,7 @@ def wide_export(df: DataFrame, series: Sequence[int]) -> DataFrame:
 def write_per_series(df: DataFrame, path: str, names: dict[str, str]) -> None:
     """One folder per series with renamed columns (A13); rows are spread by range, so that a large series is written by several tasks."""
     renamed = df.withColumnsRenamed(names)
-    renamed.repartitionByRange("series_id", *[c for c in renamed.columns if c != "series_id"]).write.mode("overwrite").partitionBy("series_id").option("header", True).csv(path)
+    renamed.repartitionByRange(write_tasks(df), "series_id", *[c for c in renamed.columns if c != "series_id"]).write.mode("overwrite").partitionBy("series_id").options(**BY_TASKS).option("header", True).csv(path)
 
 
 def read_results(spark: SparkSession, path: str, schema: str, config: dict[str, str], *, lines: bool = True) -> DataFrame:
