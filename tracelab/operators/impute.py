@@ -65,6 +65,22 @@ def line_between() -> Column:
     return lv + (nv - lv) * (F.col("pos") - lp) / (np_ - lp)
 
 
+def line_held() -> Column:
+    """That line, and before the first or after the last value the nearest one."""
+    return F.coalesce(line_between(), F.col("_lv"), F.col("_nv"))
+
+
+def line_then_zero() -> Column:
+    """That line, after the last value that one, and zero before the first."""
+    return F.coalesce(line_between(), F.col("_lv"), F.lit(0.0))
+
+
+def near_value() -> Column:
+    """The nearer of the values on both sides; the earlier one on a tie."""
+    left_near = (F.col("pos") - F.col("_lp")) <= (F.col("_np") - F.col("pos"))
+    return F.when(left_near, F.col("_lv")).otherwise(F.coalesce(F.col("_nv"), F.col("_lv")))
+
+
 def gap_length() -> Column:
     """Cells between the values on both sides, or the series' ends."""
     start = F.coalesce(F.col("_lp"), F.col("_first") - 1)
@@ -80,8 +96,7 @@ def _result(df: DataFrame, value: Column, like: DataFrame) -> DataFrame:
 def bounded_interpolation(df: DataFrame, limit: int, *, inclusive: bool = True) -> DataFrame:
     """Linear fill of null runs up to ``limit`` long; edge runs repeat the nearest value."""
     short = gap_length() <= limit if inclusive else gap_length() < limit
-    line = F.coalesce(line_between(), F.col("_lv"), F.col("_nv"))
-    return _result(_around(df), F.when(short, line), df)
+    return _result(_around(df), F.when(short, line_held()), df)
 
 
 def constant_fill(df: DataFrame, limit: int, constant: float = -1.0) -> DataFrame:
@@ -91,14 +106,12 @@ def constant_fill(df: DataFrame, limit: int, constant: float = -1.0) -> DataFram
 
 def linear_fill(df: DataFrame) -> DataFrame:
     """Linear fill of every gap, in both directions."""
-    return _result(_around(df), F.coalesce(line_between(), F.col("_lv"), F.col("_nv")), df)
+    return _result(_around(df), line_held(), df)
 
 
 def nearest_fill(df: DataFrame) -> DataFrame:
     """Each gap takes the nearer observed value; the earlier one on a tie."""
-    left_near = (F.col("pos") - F.col("_lp")) <= (F.col("_np") - F.col("pos"))
-    near = F.when(left_near, F.col("_lv")).otherwise(F.coalesce(F.col("_nv"), F.col("_lv")))
-    return _result(_around(df), near, df)
+    return _result(_around(df), near_value(), df)
 
 
 def hold_leading(df: DataFrame) -> DataFrame:
@@ -108,7 +121,7 @@ def hold_leading(df: DataFrame) -> DataFrame:
 
 def linear_then_zero(df: DataFrame) -> DataFrame:
     """Forward linear fill, the last value held, and what is left becomes zero."""
-    return _result(_around(df), F.coalesce(line_between(), F.col("_lv"), F.lit(0.0)), df)
+    return _result(_around(df), line_then_zero(), df)
 
 
 def zeros_to_null(df: DataFrame, z: int, *, mode: str = "chunked") -> DataFrame:
@@ -214,7 +227,7 @@ def bootstrap_error(df: DataFrame, replicates: int, seed: int) -> DataFrame:
     per = materialise(per, "series-errors")
     weights = weight_arrays(resample_weights(per, "series_id", replicates, seed), "series_id", replicates)
     rmse = weighted_totals(per.join(weights, "series_id"), ["sse", "n"], replicates).select(F.sqrt(F.try_divide("sse", "n")).alias("rmse"))
-    return quantiles(rmse, [], "rmse", {"low": 0.025, "median": 0.5, "high": 0.975})
+    return quantiles(materialise(rmse, "replicate-errors"), [], "rmse", {"low": 0.025, "median": 0.5, "high": 0.975})
 
 
 def sample_day_flags(df: DataFrame, day_cells: int) -> DataFrame:

@@ -12,9 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.functions.scan import neighbours, ranked
+from tracelab.functions.scan import neighbours, ranked, scan
 from tracelab.operators.grid import DAY, seconds
-from tracelab.operators.impute import BLOCK, KEY, gap_length, line_between
+from tracelab.operators.impute import BLOCK, KEY, gap_length, line_between, line_held, line_then_zero, near_value
 from tracelab.session import materialise
 
 
@@ -141,6 +141,61 @@ def filled(trace: SparseTrace, rule: Column) -> DataFrame:
     return seen.unionByName(expanded(gaps(trace), "start", "stop").select(*KEY, "pos", rule.cast("double").alias("value")))
 
 
+def laid_out(trace: SparseTrace, rule: Column, rest: dict[str, object] | None = None) -> DataFrame:
+    """``(series_id, pos, value, *rest)`` of the whole grid, cells without a value by a rule over ``pos`` and ``_lp``, ``_lv``, ``_np``, ``_nv``, ``_first``, ``_last``.
+
+    ``rest``: further columns of the listed cells, with what all other cells hold.  A listed cell writes out the cells between the one before it and itself, and a row
+    behind each series' end those that are left: one scan of the listed cells, and no other cell is sorted or shuffled for it.  Cells without a series or a position are left out.
+    """
+    if trace.default is not None:
+        raise ValueError("only traces without a default value have gaps")
+    rest, end = rest or {}, F.col("last")
+    listed = trace.cells.where(F.col("series_id").isNotNull() & F.col("pos").isNotNull())
+    listed = listed.select(*KEY, "pos", F.col("value").cast("double").alias("value"), *rest, F.lit(True).alias("_own"))
+    behind = trace.spans.where(end.isNotNull()).select(*KEY, (end + 1).alias("pos"), F.lit(False).alias("_own"), "first", "last")
+    at = F.when(F.col("value").isNotNull(), F.col("pos"))
+    found = scan(
+        listed.unionByName(behind, allowMissingColumns=True),
+        KEY,
+        ["pos"],
+        _block("pos"),
+        prior={"_lp": at, "_lv": F.col("value"), "_before": F.col("pos")},
+        following={"_np": at, "_nv": F.col("value")},
+        whole={"_first": ("min", F.col("first")), "_last": ("min", F.col("last"))},
+    )
+    start = F.coalesce(F.col("_before") + 1, F.col("_first"), F.col("first"))
+    stop = F.when(F.col("_own"), F.col("pos")).otherwise(F.col("pos") - 1)
+    each = expanded(found.withColumns({"_start": start, "_stop": stop, "_at": F.col("pos")}).where("_start <= _stop"), "_start", "_stop")
+    here = F.col("pos") == F.col("_at")
+    value = F.when(here & F.col("value").isNotNull(), F.col("value")).otherwise(rule.cast("double"))
+    return each.select(*KEY, "pos", value.alias("value"), *[F.when(here, F.col(c)).otherwise(F.lit(other)).alias(c) for c, other in rest.items()])
+
+
+def linear_fill(trace: SparseTrace, rest: dict[str, object] | None = None) -> DataFrame:
+    """Linear fill of every gap, edge gaps by the nearest value."""
+    return laid_out(trace, line_held(), rest)
+
+
+def linear_then_zero(trace: SparseTrace) -> DataFrame:
+    """Forward linear fill, the last value held, and what is left becomes zero."""
+    return laid_out(trace, line_then_zero())
+
+
+def nearest_fill(trace: SparseTrace) -> DataFrame:
+    """Each gap takes the nearer value; the earlier one on a tie."""
+    return laid_out(trace, near_value())
+
+
+def hold_leading(trace: SparseTrace) -> DataFrame:
+    """The first value fills the start of the series; other gaps stay."""
+    return laid_out(trace, F.when(F.col("_lp").isNull(), F.col("_nv")))
+
+
+def constant_fill(trace: SparseTrace, limit: int, constant: float = -1.0) -> DataFrame:
+    """Gaps up to ``limit`` long become a constant."""
+    return laid_out(trace, F.when(gap_length() <= limit, F.lit(constant)))
+
+
 def bounded_interpolation(trace: SparseTrace, limit: int, *, inclusive: bool = True) -> DataFrame:
     """Linear fill of gaps up to ``limit`` long, edge gaps by the nearest value; longer ones stay."""
     short = gap_length() <= limit if inclusive else gap_length() < limit
