@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,11 +156,21 @@ def average_precision(df: DataFrame, keys: Sequence[str], *, y: str = "y", score
 
 def weight_arrays(draws: DataFrame, key: str, replicates: int) -> DataFrame:
     """``(key, weights)``: how often each key is drawn in replicates 1 to ``replicates``, as one array."""
-    times = F.map_from_entries(F.collect_list(F.struct("replicate", "times")))
-    every = F.sequence(F.lit(1), F.lit(replicates))
-    return draws.groupBy(key).agg(times.alias("_t")).select(
-        key, F.transform(every, lambda r: F.coalesce(F.try_element_at("_t", r), F.lit(0).cast("long"))).alias("weights")
-    )
+
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = batch.column(1)
+            weights = np.zeros((len(told), replicates), np.int64)
+            row = np.repeat(np.arange(len(told)), pc.list_value_length(told).to_numpy(zero_copy_only=False))
+            replicate, times = told.flatten().flatten()
+            weights[row, replicate.to_numpy() - 1] = times.to_numpy()
+            sizes = np.arange(len(told) + 1, dtype=np.int32) * replicates
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(sizes, weights.ravel())], [key, "weights"])
+
+    kind = draws.schema[key].dataType.simpleString()
+    each = draws.groupBy(key).agg(F.collect_list(F.struct("replicate", "times")).alias("_t"))
+    return each.mapInArrow(spread, f"`{key}` {kind}, weights array<long>")
 
 
 def weighted_totals(df: DataFrame, columns: Sequence[str], replicates: int) -> DataFrame:
