@@ -7,11 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from tracelab.functions import scalar
-from tracelab.operators import filters, grid, herd, impute, joins, normalise, spectral, stats
+from tracelab.operators import filters, grid, herd, impute, joins, normalise, runlength, spectral, stats
 from tracelab.operators import samples as sm
 from tracelab.plans.bindings import HOURLY, S, WX, X, hourly_grid, long_features, q6, r6, samples, secs, series, table, weather
 from tracelab.plans.registry import query
-from tracelab.plans.trace_queries import COMMON, common_hourly
+from tracelab.plans.trace_queries import COMMON, common_hourly, sparse_hourly
 from tracelab.session import materialise
 
 OUT = f"sample_id, pos::INT AS pos, {q6('x')} AS x"
@@ -968,7 +968,7 @@ def _(spark, sf):
     f" {_stft_sql('src', 168, 24, 'series_id, block')} SELECT series_id, block, pos, {q6('x')} AS x FROM st",
 )
 def _(spark, sf):
-    filled = impute.linear_fill(hourly_grid(spark, sf))
+    filled = runlength.linear_fill(sparse_hourly(spark, sf))
     weeks = grid.to_blocks(grid.crop_to_blocks(filled, 168), 168).withColumnRenamed("values", "features")
     out = spectral.stft_power(weeks, 24)
     return out.select("series_id", "block", F.posexplode("features").alias("pos", "x")).withColumn("x", r6("x"))
@@ -994,7 +994,7 @@ def _kernel_rows(scales):
     f" SELECT c.series_id, c.pos, scale::INT AS scale, {q6('sqrt(re * re + im * im)')} AS x FROM c SEMI JOIN g ON g.series_id = c.series_id AND g.pos = c.pos",
 )
 def _(spark, sf):
-    filled = impute.linear_fill(hourly_grid(spark, sf)).select("series_id", "pos", "value")
+    filled = runlength.linear_fill(sparse_hourly(spark, sf))
     out = spectral.long_magnitude(filled, [spectral.morlet_kernel(s) for s in (2.0, 4.0, 8.0)], block=256)
     return out.withColumn("x", r6("x"))
 
