@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tracelab.operators import grid, joins, neighbours, splits
+from tracelab.operators import evaluate, grid, impute, joins, neighbours, runlength, splits
+from tracelab.plans.trace_queries import imputed_grid
 
 
 @pytest.fixture
@@ -134,3 +135,54 @@ def test_a_mark_is_not_copied_to_every_cell(spark, joined):
             want[s, p] = max(ahead)[1] if ahead else None
     assert got == want
     assert joined[-1][1].count() <= 2 * len(marks) / 6  # a list per block of 48 cells; it was a row per marked cell
+
+
+def records(spark):
+    """Hourly sums with long gaps, a null sum, a series with one record, one without a name and one without a time."""
+    rng = random.Random(4)
+    rows = [(k, f"2024-01-{rng.randint(1, 28):02d} {rng.randint(0, 23):02d}:00:00", rng.choice([None, 0.0, 1.5, 7.25])) for k in range(5) for _ in range(12)]
+    rows = list({(k, t): (k, t, v) for k, t, v in rows}.values())
+    rows += [(7, "2024-01-09 05:00:00", 2.0), (None, "2024-01-03 00:00:00", 3.0), (None, "2024-01-03 04:00:00", 4.0), (8, None, 5.0), (1, None, 6.0)]
+    rows += [(9, "2024-01-01 00:00:00", None), (9, "2024-05-01 00:00:00", 1.0)]
+    return spark.createDataFrame(rows, "series_id int, t string, value double").select("series_id", F.to_timestamp("t").alias("ts"), "value")
+
+
+FILLS = {
+    "linear_fill": (), "linear_then_zero": (), "nearest_fill": (), "hold_leading": (), "constant_fill": (6,),
+}
+
+
+@pytest.mark.parametrize("name", FILLS)
+def test_fills_of_listed_cells_are_those_of_the_grid(spark, name):
+    """The same cells as on the written grid, and none of them is grouped, sorted or joined after it was written out."""
+    rows, cols = records(spark), ["series_id", "pos", "value"]
+    kinds = ((grid.regular_grid, runlength.own_grid), (grid.common_grid, runlength.herd_grid))
+    for dense, listed in kinds:
+        want = getattr(impute, name)(dense(rows, "1 hour"), *FILLS[name]).select(*cols)
+        got = getattr(runlength, name)(listed(rows, "1 hour"), *FILLS[name])
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+        written_last(got)
+
+
+def written_last(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = min(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert not any(word in line for line in plan[:first] for word in ("Window", "Join", "Aggregate", "Sort"))
+
+
+def test_masked_cells_are_filled_without_a_shuffle_of_the_grid(spark):
+    out = imputed_grid(spark, "/root/testdata/sf0.001")
+    written_last(out)
+    assert out.where("masked = 1 and (truth is null or truth = 0)").count() == 0 and out.where("masked is null").count() == 0
+    assert out.where("masked = 1").count() > 50
+
+
+def test_draws_are_made_by_all_tasks(spark):
+    """Few ids with many replicates: each task draws for its own ids, and arrays of weights hold every draw."""
+    ids = spark.range(50).select(F.when(F.col("id") > 0, F.col("id")).alias("series_id"))
+    draws = splits.resample_weights(ids, "series_id", 40, 3)
+    assert "RepartitionByExpression [no" in draws._jdf.queryExecution().optimizedPlan().toString()
+    want = {(r.series_id, r.replicate): r.times for r in draws.collect()}
+    assert sum(want.values()) == 49 * 40  # a null id is not counted
+    got = {(r.series_id, i): n for r in evaluate.weight_arrays(draws, "series_id", 40).collect() for i, n in enumerate(r.weights, 1) if n}
+    assert got == want
