@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import SF, corpus, empty, frame
-from tracelab.llm import decontamination, jaccard_join, preference_format, quality, repeats
+from tracelab import session
+from tracelab.llm import common, decontamination, jaccard_join, preference_format, quality, repeats
 
 
 @pytest.fixture(scope="module")
@@ -133,6 +135,43 @@ def test_gathering_keys_meet_every_similar_pair():
                     assert len(np.intersect1d(jaccard_join.gathering_keys(a, 90), jaccard_join.gathering_keys(b, 90)))
 
 
+def test_repeated_hashes_pass_their_filter(spark):
+    """All that are there twice, in one batch or far apart, and hardly any other; in few rows, whatever the number of parts."""
+    rng = np.random.default_rng(3)
+    once, twice = rng.integers(0, 2**63, 40_000).view(np.uint64) * np.uint64(2), rng.integers(0, 2**63, 3_000).view(np.uint64) * np.uint64(2) + np.uint64(1)
+    near = twice[:5] ^ np.uint64(1 << 30)  # these differ from the first 34 bits on
+    rows = [(int(h),) for h in np.concatenate([once, twice, twice, near]).view(np.int64)]
+    for parts in (3, 400):
+        bits = common.repeated_filter(spark.createDataFrame(rows, "h long").repartition(parts), lambda b: b.column(0).to_numpy().view(np.uint64))
+        assert common.passing(twice, bits, common.block_probes).all()
+        assert common.passing(once, bits, common.block_probes).mean() < 0.01 and not common.passing(near, bits, common.block_probes).any()
+    assert not common.repeated_filter(spark.createDataFrame([], "h long"), lambda b: b.column(0).to_numpy().view(np.uint64)).any()
+
+
+def test_sets_that_meet_in_many_gatherings_and_are_not_linked(spark, monkeypatch):
+    """None is similar enough to another, so that all rounds compare them; copies and repeated rows among them are linked."""
+    told = {}
+
+    def kept(df, name):
+        told[name] = session.materialise(df, name)
+        return told[name]
+
+    monkeypatch.setattr(jaccard_join, "materialise", kept)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(90, " ".join(base), None)]
+    for k in range(40):
+        text = base.copy()
+        for at in rng.sample(range(300), 9):
+            text[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(text), None))
+    again = [rows[3], rows[3], (200, rows[3][1], None), (201, rows[4][1].upper(), None)]
+    out = jaccard_join.near_duplicates(frame(spark, rows + again)).collect()
+    copies = {200: rows[3][0], 201: rows[4][0]}
+    assert Counter((r.id, r.component_id) for r in out) == Counter((i, copies.get(i, i)) for i, _, _ in rows + again)
+    assert told["sets"].count() == len(rows) and "hashes" not in told["sets"].columns  # elements are written once, with the members
+
+
 def test_chains_join_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 103), (103, 101)], "a long, b long")
     got = {r.node: r.comp for r in jaccard_join.components(edges).collect()}

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.quantile import let
-from tracelab.llm.common import each_batch, hash_filter, identified, mixed, passing, words
+from tracelab.llm.common import block_probes, each_batch, hash_filter, identified, mixed, passing, repeated_filter, words
 from tracelab.session import Scratch, materialise, scratch
 
 SHINGLE = 3
@@ -116,18 +116,33 @@ def _signed(base: DataFrame, size: int) -> DataFrame:
     return base.mapInArrow(each_batch(read), "id long, fp long, n long, s1 long, s2 long")
 
 
-def _keyed(base: DataFrame, size: int, percent: int) -> DataFrame:
-    """``(s1, key)`` of every row."""
+def _standing(base: DataFrame, signed: DataFrame) -> DataFrame:
+    """Rows that stand for the others of their set, which need no keys of their own; the filter may let others through."""
+    one = signed.where("n > 0").groupBy("s1").agg(F.min(F.struct("id", "fp")).alias("one"))
+    mark = lambda i, fp: F.xxhash64(i, fp).alias("mark")
+    ones = hash_filter(one.select(mark("one.id", "one.fp")), "mark")
+    return _held(base.select("id", "fp", "text", mark("id", "fp")), "mark", ones).drop("mark")
 
-    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owners, keys = [], []
-        for s in shingles(batch.column(0).to_pylist(), size):
-            k = gathering_keys(s, percent)
-            owners.append(np.full(len(k), signature(s)[0]))
-            keys.append(k.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64), pa.int64()) for c in (owners, keys)], ["s1", "key"])
 
-    return base.select("text").mapInArrow(each_batch(read), "s1 long, key long")
+def _held(rows: DataFrame, col: str, bits: np.ndarray, held: bool = True) -> DataFrame:
+    """Rows whose hash the filter holds, or those whose it does not hold."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    at = rows.columns.index(col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passing(batch.column(at).to_numpy().view(np.uint64), shared.value) == held))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def _repeated_keys(base: DataFrame, size: int, percent: int) -> np.ndarray:
+    """The filter of keys that several rows have."""
+
+    def read(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(np.unique(gathering_keys(s, percent)) for s in shingles(batch.column(0).to_pylist(), size))])
+
+    return repeated_filter(base.select("text"), read)
 
 
 def _members(base: DataFrame, bits: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -141,7 +156,7 @@ def _members(base: DataFrame, bits: np.ndarray, size: int, percent: int) -> Data
         ids, fps, texts = (c.to_pylist() for c in batch.columns)
         for i, fp, s in zip(ids, fps, shingles(texts, size), strict=True):
             k = gathering_keys(s, percent)
-            k = np.unique(k[passing(k, shared.value)])
+            k = np.unique(k[passing(k, shared.value, block_probes)])
             if len(k):
                 for col, v in zip(rows, (i, fp, signature(s)[0], len(s), k.view(np.int64), np.minimum(point(s), WIDE).astype(np.int16), s.view(np.int64)), strict=True):
                     col.append(v)
@@ -152,21 +167,31 @@ def _members(base: DataFrame, bits: np.ndarray, size: int, percent: int) -> Data
     )
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """One row of each set: only sets that may be there twice (a row repeated, or let through beside the one that stands for it) are shuffled."""
+    several = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    maybe = hash_filter(several, "node")
+    again = materialise(_held(members, "node", maybe).dropDuplicates(["node"]), "sets-once")
+    return _held(members, "node", maybe, held=False).unionByName(again)
+
+
 def _supported(sets: DataFrame) -> DataFrame:
-    """Adds ``m``: how many of a set's elements other sets may have too.  The filter may count more, never fewer, so that it bounds at any size."""
-    twice = sets.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 2")
-    shared = sets.sparkSession.sparkContext.broadcast(hash_filter(twice, "h"))
+    """``(node, n, keys, point, m)``, ``m``: how many of a set's elements other sets may have too.  The filter may count more, never fewer, so that it bounds at any size."""
+
+    def read(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    shared = sets.sparkSession.sparkContext.broadcast(repeated_filter(sets.select("hashes"), read))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("hashes"))
-            hit = passing(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), shared.value)
+            column = batch.column(4)
+            hit = passing(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), shared.value, block_probes)
             before = np.concatenate([[0], np.cumsum(hit)])
             ends = column.offsets.to_numpy() - column.offsets[0].as_py()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before[ends[1:]] - before[ends[:-1]], pa.int64())], [*batch.schema.names, "m"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(before[ends[1:]] - before[ends[:-1]], pa.int64())], [*batch.schema.names[:4], "m"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema.fields)
-    return sets.mapInArrow(count, f"{kinds}, m long")
+    return sets.select("node", "n", "keys", "point", "hashes").mapInArrow(count, "node long, n long, keys array<long>, point array<short>, m long")
 
 
 def minima(a: Column, b: Column) -> Column:
@@ -176,13 +201,7 @@ def minima(a: Column, b: Column) -> Column:
 
 def _among(sets: DataFrame, nodes: DataFrame, col: str) -> DataFrame:
     """``(node, hashes)`` of the sets that a column names, and of others that the filter lets through: only these are shuffled."""
-    held = sets.sparkSession.sparkContext.broadcast(hash_filter(nodes, col))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passing(batch.column(0).to_numpy().view(np.uint64), held.value)))
-
-    return sets.select("node", "hashes").mapInArrow(keep, "node long, hashes array<long>")
+    return _held(sets.select("node", "hashes"), "node", hash_filter(nodes, col))
 
 
 def most_shared(a: Column, b: Column, counts: Column) -> Column:
@@ -219,10 +238,10 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return moved.df.select("node", "comp")
 
 
-def _linked(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
+def _linked(sets: DataFrame, elements: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
     """``(a, b)``: links that join all sets which chains of similar pairs connect, and ``(node, comp)``, their components; None where there are no links.
 
-    Centres are taken in the order of ``o``: sets that share most groups first, which are nearest to whatever the others were copied from; ``done`` is the
+    ``elements`` has the sets themselves.  Centres are taken in the order of ``o``: sets that share most groups first, which are nearest to whatever the others were copied from; ``done`` is the
     last one that has met all of its gathering.
     """
 
@@ -237,7 +256,7 @@ def _linked(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None
         of = F.col("of_a"), F.col("of_b")
         may = enough(most_shared(*of, minima(F.col("of_a.point"), F.col("of_b.point"))), F.col("of_a.n"), F.col("of_b.n"), percent)
         left = materialise(pairs.join(bounds("a"), "a").join(bounds("b"), "b").where(may).select("a", "b"), "pairs")
-        own = lambda c: _among(sets, left.select(c).distinct(), c).select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"))
+        own = lambda c: _among(elements, left.select(c).distinct(), c).select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"))
         shared = F.size(F.array_intersect("ha", "hb"))
         return left.join(own("a"), "a").join(own("b"), "b").where(enough(shared, F.size("ha"), F.size("hb"), percent)).select("a", "b")
 
@@ -279,7 +298,10 @@ def _linked(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None
         met = met.where(enough(most_shared(F.col("q"), whole, minima(F.col("q.point"), F.col("box"))), F.col("q.n"), F.col("least"), percent))
         close = lambda p, q: enough(most_shared(p, q, minima(p["point"], q["point"])), p["n"], q["n"], percent)
         near = let(F.col("q"), lambda q: F.filter("points", lambda p: (p["o"] < q["o"]) & (p["comp"] != q["comp"]) & close(p, q)))
-        pairs = met.select(F.col("q.node").alias("b"), F.explode(F.transform(near, lambda p: p["node"])).alias("a")).distinct()
+        # a pair that meets in many gatherings is written out once; the more centres, the fewer gatherings are put together
+        met = met.select(F.col("q.node").alias("b"), F.pmod("key", F.lit(-(-take // GROWTH**2))).alias("share"), F.transform(near, lambda p: p["node"]).alias("near"))
+        met = met.where(F.size("near") > 0).groupBy("b", "share").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        pairs = met.select("b", F.explode("near").alias("a")).distinct()
         links = materialise(verified(pairs), "links")
         if not links.isEmpty():
             found = links if found is None else found.unionByName(links)
@@ -300,16 +322,10 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     """
     base = identified(docs, id_col, text_col).select("id", "fp", "text")
     signed = materialise(_signed(base, size), "signatures")
-    keys = _keyed(base, size, percent).groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high")
-    members = _members(base, hash_filter(keys, "key"), size, percent)
-    one = signed.groupBy("s1").agg(F.min(F.struct("id", "fp")).alias("one")).select(F.col("s1").alias("node"), F.col("one.id").alias("o_id"), F.col("one.fp").alias("o_fp"))
-    sets = members.join(materialise(one, "representatives"), "node").where(F.col("id").eqNullSafe(F.col("o_id")) & (F.col("fp") == F.col("o_fp")))
-    # a row that is there twice would stand for its set twice
-    sets = sets.drop("id", "fp", "o_id", "o_fp").dropDuplicates(["node"])
-    known = scratch(sets, "sets")
-    told = materialise(_supported(known.df), "supported-sets")
-    known.drop()
-    return signed, _linked(told, percent)
+    ones = _standing(base, signed)
+    members = materialise(_members(ones, _repeated_keys(ones, size, percent), size, percent), "members")
+    sets = _once(members)
+    return signed, _linked(materialise(_supported(sets), "sets"), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
