@@ -135,6 +135,63 @@ def test_gathering_keys_meet_every_similar_pair():
                     assert len(np.intersect1d(jaccard_join.gathering_keys(a, 90), jaccard_join.gathering_keys(b, 90)))
 
 
+def test_rarest_keys_meet_every_similar_pair_however_common_keys_are():
+    rng = np.random.default_rng(6)
+    for n in (3, 12, 40, 400, 1500):
+        for percent in (80, 90):
+            for most in (1, 2, 6):
+                a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+                gone = rng.integers(0, len(a) // 10 + 1)
+                b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, rng.integers(0, len(a) // 10 + 1), np.uint64)]))
+                shared = len(np.intersect1d(a, b))
+                if (shared < len(a) or shared < len(b)) and 100 * shared >= percent * (len(a) + len(b) - shared):
+                    common_keys = np.intersect1d(jaccard_join.gathering_keys(a, percent), jaccard_join.gathering_keys(b, percent))
+                    one, two = jaccard_join.rarest_keys([a, b], percent, lambda k: np.where(np.isin(k, common_keys), 1 + k % np.uint64(most), 0).astype(np.int64))
+                    assert len(np.intersect1d(one, two))
+
+
+def test_a_passage_that_many_texts_share_gathers_none_of_them(spark, monkeypatch):
+    """Before, each text met all others under the groups that lie inside the passage."""
+    told = {}
+
+    def kept(df, name):
+        told[name] = session.materialise(df, name)
+        return told[name]
+
+    monkeypatch.setattr(jaccard_join, "materialise", kept)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, " ".join(f"w{k}-{j}" for j in range(260)) + " " + passage, None) for k in range(60)]
+    copies = [(100 + k, rows[k][1] + " more", None) for k in range(5)]
+    out = jaccard_join.near_duplicates(frame(spark, rows + copies), size=5, percent=80).collect()
+    assert Counter((r.id, r.component_id) for r in out) == Counter([(k, k) for k in range(60)] + [(100 + k, k) for k in range(5)])
+    assert told["members"].count() == 10
+
+
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 5])
+def test_centres_meet_the_later_rows_of_their_gathering(spark, monkeypatch, block):
+    """Blocks of a gathering, leaves and rows of other components, next to all pairs."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "STEP", 7)
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    rng = random.Random(8)
+    rows = []
+    for key in range(6):
+        for r in range(1, 3 + 6 * key):
+            n = rng.randint(60, 70) if rng.random() < 0.9 else 40_000
+            rows.append((key, r, 1000 * key + r, rng.randint(0, 3), n, rng.randint(58, 70), [rng.randint(1, 3) for _ in range(jaccard_join.GROUPS)]))
+    df = spark.createDataFrame(rows, "key long, r int, node long, comp long, n long, m long, point array<short>")
+    want = Counter()
+    for p in rows:
+        for q in rows:
+            if p[0] == q[0] and p[1] < q[1] and p[1] <= 9 and p[3] != q[3]:
+                shared = min(p[5], q[5])
+                if max(p[4], q[4]) <= jaccard_join.WIDE:
+                    shared = min(shared, sum(map(min, p[6], q[6])))
+                if 100 * shared >= 70 * (p[4] + q[4] - shared):
+                    want[p[2], q[2]] += 1
+    assert Counter((r.a, r.b) for r in jaccard_join._near_centres(df, 9, 70).collect()) == want and len(want) > 30
+
+
 def test_repeated_hashes_pass_their_filter(spark):
     """All that are there twice, in one batch or far apart, and hardly any other; in few rows, whatever the number of parts."""
     rng = np.random.default_rng(3)

@@ -1,7 +1,8 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 Shingles are hashed into groups.  Two sets whose similarity reaches the threshold differ in so few shingles that, cut into one group more
-than that, they agree on a whole group; sets are gathered by the content of such groups.  In a gathering, sets are points of
+than that, they agree on a whole group; sets are gathered by the content of such groups.  There are some groups more, so that similar sets agree on several, and
+each set passes over as many of its most common ones: what many sets have in part gathers none of them.  In a gathering, sets are points of
 group counts: leaves of points with their bounding boxes make its R-tree, summed coordinate minima bound the overlap with a box and then with a point,
 and the pairs that survive are verified on the sets themselves.
 
@@ -14,7 +15,7 @@ first) meet the others, links join components, and only pairs across components
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions.quantile import let
-from tracelab.llm.common import block_probes, each_batch, hash_filter, identified, mixed, passing, repeated_filter, words
+from tracelab.llm.common import block_probes, count_filters, each_batch, filter_bits, hash_filter, identified, mixed, passing, repeated_filter, words
 from tracelab.session import Scratch, materialise, scratch
 
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 32  # coordinates of a point
 LEAF = 64  # points of a leaf
+BLOCK = 16_384  # rows of a gathering that pass its centres in one task
+STEP = 1024  # of them that are compared at a time
 GROWTH = 16  # each round takes so many times the centres of the one before
 NARROW = 0.7  # smallest size over largest in one size class
+COMMON = (2, 4, 16, 64, 256)  # by how many sets have a key it is told how common it is
 WIDE = 32_767  # larger counts do not fit a point, and sets of more elements are not bounded by theirs
 
 
@@ -71,13 +74,12 @@ def size_class(n: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def gathering_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Keys under which a set meets every other set of at least that similarity but its equals.
+def group_keys(hashes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each size class of a set the keys of its groups, how many elements each group has, and how many keys the set may pass over.
 
-    With ``d`` differing elements at most, a cut into ``d + 1 + 2 s`` groups leaves ``1 + 2 s`` equal groups at least, so each set may pass over its
-    ``s`` smallest groups, which say least.
+    With ``d`` differing elements at most, a cut into ``d + 1 + 2 s`` groups leaves ``1 + 2 s`` equal groups at least.  If both sets order their groups by
+    the same measure of the keys, the first group that they share has ``2 s`` shared ones behind it, so each set may pass over its ``2 s`` last ones.
     """
-    keys = [np.zeros(0, np.uint64)]
     for c, high in size_class(len(hashes), percent) if len(hashes) else ():
         d = largest_difference(2 * high, percent)
         if not d:
@@ -87,11 +89,37 @@ def gathering_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         spread = mixed(hashes ^ mixed(np.array([c + 1], np.uint64)))
         group = (spread >> np.uint64(33)) % np.uint64(parts)
         group = group.view(np.int64)
-        sums, counts = np.zeros(parts, np.uint64), np.bincount(group, minlength=parts)
+        sums = np.zeros(parts, np.uint64)
         np.add.at(sums, group, spread)
-        chosen = np.argsort(counts, kind="stable")[spare:]
-        keys.append(mixed(sums[chosen] + mixed(chosen.view(np.uint64) * np.uint64(1009) + np.uint64(c))))
-    return np.concatenate(keys)
+        own = mixed(sums + mixed(np.arange(parts, dtype=np.uint64) * np.uint64(1009) + np.uint64(c)))
+        yield own, np.bincount(group, minlength=parts), 2 * spare
+
+
+def gathering_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """All keys of a set."""
+    return np.concatenate([np.zeros(0, np.uint64), *(own for own, _, _ in group_keys(hashes, percent))])
+
+
+def rarest_keys(sets: list[np.ndarray], percent: int, level: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """For each set keys under which it meets every other set of at least that similarity but its equals, unless no other set has them.
+
+    ``level`` tells how common keys are, 0 for those that no other set has.  The most common ones are passed over; what an empty group says is least.
+    """
+    found = [[*group_keys(s, percent)] for s in sets]
+    none = np.zeros(0, np.uint64)
+    levels = level(np.concatenate([none, *(own for of in found for own, _, _ in of)]))
+    out, at = [], 0
+    for of in found:
+        keys = [none]
+        for own, counts, over in of:
+            rank = np.where(counts > 0, levels[at : at + len(own)], len(COMMON) + 1)
+            at += len(own)
+            shared = np.nonzero(rank)[0]  # all others come before these
+            if len(shared) > over:
+                order = np.lexsort((own[shared], rank[shared]))
+                keys.append(own[shared[order[: len(shared) - over]]])
+        out.append(np.unique(np.concatenate(keys)))
+    return out
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
@@ -136,27 +164,38 @@ def _held(rows: DataFrame, col: str, bits: np.ndarray, held: bool = True) -> Dat
     return rows.mapInArrow(keep, rows.schema)
 
 
-def _repeated_keys(base: DataFrame, size: int, percent: int) -> np.ndarray:
-    """The filter of keys that several rows have."""
+def _key_filters(base: DataFrame, size: int, percent: int, bits: int) -> list[np.ndarray]:
+    """The filters of keys that several rows have, by how many."""
 
     def read(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *(np.unique(gathering_keys(s, percent)) for s in shingles(batch.column(0).to_pylist(), size))])
+        sets = shingles(batch.column(0).to_pylist(), size)
+        return np.concatenate([np.zeros(0, np.uint64), *(np.unique(own[counts > 0]) for s in sets for own, counts, _ in group_keys(s, percent))])
 
-    return repeated_filter(base.select("text"), read)
+    return count_filters(base.select("text"), read, COMMON, bits)
 
 
-def _members(base: DataFrame, bits: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``(id, fp, node, n, keys, point, hashes)`` of rows with keys that the filter passes."""
-    shared = base.sparkSession.sparkContext.broadcast(bits)
+def key_level(keys: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
+    """By how many filters, from the first on, each key passes: the same number wherever a key is met."""
+    out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    for bits in filters:
+        left = left[passing(keys[left], bits, block_probes)]
+        if not len(left):
+            break
+        out[left] += 1
+    return out
+
+
+def _members(base: DataFrame, filters: list[np.ndarray], size: int, percent: int) -> DataFrame:
+    """``(id, fp, node, n, keys, point, hashes)`` of rows with keys that the first filter passes, after the most common ones are passed over."""
+    shared = base.sparkSession.sparkContext.broadcast(filters)
     names = ["id", "fp", "node", "n", "keys", "point", "hashes"]
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64())]
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[list] = [[] for _ in names]
         ids, fps, texts = (c.to_pylist() for c in batch.columns)
-        for i, fp, s in zip(ids, fps, shingles(texts, size), strict=True):
-            k = gathering_keys(s, percent)
-            k = np.unique(k[passing(k, shared.value, block_probes)])
+        sets = shingles(texts, size)
+        for i, fp, s, k in zip(ids, fps, sets, rarest_keys(sets, percent, lambda keys: key_level(keys, shared.value)), strict=True):
             if len(k):
                 for col, v in zip(rows, (i, fp, signature(s)[0], len(s), k.view(np.int64), np.minimum(point(s), WIDE).astype(np.int16), s.view(np.int64)), strict=True):
                     col.append(v)
@@ -175,13 +214,13 @@ def _once(members: DataFrame) -> DataFrame:
     return _held(members, "node", maybe, held=False).unionByName(again)
 
 
-def _supported(sets: DataFrame) -> DataFrame:
+def _supported(sets: DataFrame, bits: int) -> DataFrame:
     """``(node, n, keys, point, m)``, ``m``: how many of a set's elements other sets may have too.  The filter may count more, never fewer, so that it bounds at any size."""
 
     def read(batch: pa.RecordBatch) -> np.ndarray:
         return batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
-    shared = sets.sparkSession.sparkContext.broadcast(repeated_filter(sets.select("hashes"), read))
+    shared = sets.sparkSession.sparkContext.broadcast(repeated_filter(sets.select("hashes"), read, bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,11 +277,76 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return moved.df.select("node", "comp")
 
 
+def _near_centres(ranked: DataFrame, take: int, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of a gathering's first ``take`` rows, its centres, and later rows of other components that their points leave near enough.
+
+    The centres of a gathering are leaves of ``LEAF`` points, each with its box.  Rows pass by in blocks of ``BLOCK`` at most, each of which has all centres
+    of its gathering.
+    """
+    columns = ["key", "block", "r", "node", "comp", "n", "m", "point"]
+    large = ranked.where(F.col("r") > BLOCK).groupBy("key").agg(F.ceil(F.max("r") / BLOCK).cast("int").alias("blocks"))
+    large = materialise(large, "large-gatherings")
+    rows = ranked.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    centres = rows.where(F.col("r") <= take).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = rows.where("r > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    kinds = centres.select(F.lit(0).alias("kind"), *columns).unionByName(every.select(F.lit(1).alias("kind"), *columns))
+    met = kinds.repartition("key", "block").sortWithinPartitions("key", "block", "kind", "r")
+
+    def near(centre: list[np.ndarray], boxes: np.ndarray, row: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        r, node, comp, n, m, at = row
+        cr, cnode, ccomp, cn, cm, cat = centre
+        for leaf, box in enumerate(boxes):
+            own = slice(leaf * LEAF, (leaf + 1) * LEAF)
+            widest, largest, least = cm[own].max(), cn[own].max(), cn[own].min()
+            shared = np.minimum(m, widest)
+            counted = np.maximum(n, largest) <= WIDE
+            shared = np.where(counted, np.minimum(shared, np.minimum(at, box).sum(1)), shared)
+            some = np.nonzero((100 * shared >= percent * (n + least - shared)) & (r > cr[own][0]))[0]
+            if not len(some):
+                continue
+            if len(some) * len(cr[own]) <= LEAF:
+                total = np.minimum(at[some, None], cat[own]).sum(2)
+            else:
+                total = np.zeros((len(some), len(cr[own])), np.int64)
+                for g in range(GROUPS):
+                    total += np.minimum(at[some, g, None], cat[own, g])
+            shared = np.minimum(m[some, None], cm[own])
+            counted = np.maximum(n[some, None], cn[own]) <= WIDE
+            shared = np.where(counted, np.minimum(shared, total), shared)
+            close = 100 * shared >= percent * (n[some, None] + cn[own] - shared)
+            i, k = np.nonzero(close & (cr[own] < r[some, None]) & (ccomp[own] != comp[some, None]))
+            yield cnode[own][k], node[some[i]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, centre, boxes = None, [], [], np.zeros((0, GROUPS))
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                keys, blocks, kinds = (part.column(k).to_numpy() for k in (1, 2, 0))
+                edges = np.nonzero((np.diff(keys) != 0) | (np.diff(blocks) != 0) | (np.diff(kinds) != 0))[0] + 1
+                values = [part.column(k).to_numpy() for k in range(3, 8)] + [part.column(8).flatten().to_numpy().reshape(-1, GROUPS).astype(np.int32)]
+                pairs = []
+                for a, b in zip([0, *edges], [*edges, len(keys)], strict=True):
+                    if now != (keys[a], blocks[a]):
+                        now, waiting, centre = (keys[a], blocks[a]), [], []
+                    some = [v[a:b] for v in values]
+                    if kinds[a] == 0:
+                        waiting.append(some)
+                        continue
+                    if waiting:
+                        centre, waiting = [np.concatenate(c) for c in zip(*waiting, strict=True)], []
+                        boxes = np.maximum.reduceat(centre[-1], np.arange(0, len(centre[0]), LEAF), axis=0)
+                    pairs += near(centre, boxes, some)
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def _linked(sets: DataFrame, elements: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
     """``(a, b)``: links that join all sets which chains of similar pairs connect, and ``(node, comp)``, their components; None where there are no links.
 
-    ``elements`` has the sets themselves.  Centres are taken in the order of ``o``: sets that share most groups first, which are nearest to whatever the others were copied from; ``done`` is the
-    last one that has met all of its gathering.
+    ``elements`` has the sets themselves.  Centres are taken in the order of ``o``: sets that share most groups first, which are nearest to whatever the others were copied from.
     """
 
     def open_rows(rows: DataFrame) -> DataFrame:
@@ -250,6 +354,9 @@ def _linked(sets: DataFrame, elements: DataFrame, percent: int) -> tuple[DataFra
         opened = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
         return rows.join(opened, "key")
 
+    def ranked(rows: DataFrame) -> Scratch:
+        return scratch(rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("o"))), "live")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Those pairs ``(a, b)`` of nodes that are similar enough: by their bounds first, then by the sets themselves."""
         bounds = lambda c: sets.select(F.col("node").alias(c), F.struct("n", "m", "point").alias(f"of_{c}"))
@@ -279,37 +386,19 @@ def _linked(sets: DataFrame, elements: DataFrame, percent: int) -> tuple[DataFra
     # then, in gatherings that still hold several components, centres in leaves
     rest = scratch(open_rows(relabelled(met.drop("a"), comps)), "unsettled")
     with_points = rest.df.join(sets.select("node", "n", "m", "point"), "node").withColumn("o", F.struct("d", "node")).drop("d")
-    live = scratch(with_points, "live")
+    live = ranked(with_points)
     rows.drop()
     centres.drop()
     rest.drop()
     take = GROWTH
     while not live.df.isEmpty():
-        ranked = live.df.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("o"))).where(F.col("r") <= take)
-        leaf = ranked.groupBy("key", F.floor((F.col("r") - 1) / LEAF).alias("leaf")).agg(
-            F.collect_list(F.struct("node", "comp", "n", "m", "o", "point")).alias("points"), F.min("n").alias("least"), F.max("o").alias("done"),
-            F.max("m").alias("widest"), F.max("n").alias("largest"), *[F.max(F.get("point", F.lit(g))).alias(f"g{g}") for g in range(GROUPS)],
-        )
-        box = F.array(*[F.col(f"g{g}") for g in range(GROUPS)])
-        leaf = scratch(leaf.select("key", "points", "least", "widest", "largest", "done", box.alias("box")), "leaves")
-        me = F.struct("node", "comp", "n", "m", "o", "point")
-        met = live.df.select("key", me.alias("q")).join(leaf.df.drop("done"), "key")
-        whole = F.struct(F.col("widest").alias("m"), F.col("largest").alias("n"))
-        met = met.where(enough(most_shared(F.col("q"), whole, minima(F.col("q.point"), F.col("box"))), F.col("q.n"), F.col("least"), percent))
-        close = lambda p, q: enough(most_shared(p, q, minima(p["point"], q["point"])), p["n"], q["n"], percent)
-        near = let(F.col("q"), lambda q: F.filter("points", lambda p: (p["o"] < q["o"]) & (p["comp"] != q["comp"]) & close(p, q)))
-        # a pair that meets in many gatherings is written out once; the more centres, the fewer gatherings are put together
-        met = met.select(F.col("q.node").alias("b"), F.pmod("key", F.lit(-(-take // GROWTH**2))).alias("share"), F.transform(near, lambda p: p["node"]).alias("near"))
-        met = met.where(F.size("near") > 0).groupBy("b", "share").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        pairs = met.select("b", F.explode("near").alias("a")).distinct()
+        pairs = _near_centres(live.df, take, percent).distinct()
         links = materialise(verified(pairs), "links")
         if not links.isEmpty():
             found = links if found is None else found.unionByName(links)
             comps = components(found, comps)
-        rest = live.df.join(leaf.df.groupBy("key").agg(F.max("done").alias("done")), "key").where(F.col("o") > F.col("done")).drop("done")
-        last, live = live, scratch(open_rows(relabelled(rest, comps)), "live")
+        last, live = live, ranked(open_rows(relabelled(live.df.where(F.col("r") > take).drop("r"), comps)))
         last.drop()
-        leaf.drop()
         take *= GROWTH
     return None if found is None else (found, comps)
 
@@ -323,9 +412,11 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     base = identified(docs, id_col, text_col).select("id", "fp", "text")
     signed = materialise(_signed(base, size), "signatures")
     ones = _standing(base, signed)
-    members = materialise(_members(ones, _repeated_keys(ones, size, percent), size, percent), "members")
+    bits = filter_bits(signed.agg(F.sum("n")).first()[0] or 0)
+    members = materialise(_members(ones, _key_filters(ones, size, percent, bits), size, percent), "members")
     sets = _once(members)
-    return signed, _linked(materialise(_supported(sets), "sets"), sets, percent)
+    bits = filter_bits(members.agg(F.sum("n")).first()[0] or 0)
+    return signed, _linked(materialise(_supported(sets, bits), "sets"), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
