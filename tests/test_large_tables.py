@@ -1,5 +1,6 @@
 """Rows that move: what is shuffled, written or compared must follow the input, not its square."""
 
+import datetime
 import itertools
 import random
 
@@ -186,3 +187,24 @@ def test_draws_are_made_by_all_tasks(spark):
     assert sum(want.values()) == 49 * 40  # a null id is not counted
     got = {(r.series_id, i): n for r in evaluate.weight_arrays(draws, "series_id", 40).collect() for i, n in enumerate(r.weights, 1) if n}
     assert got == want
+
+
+def test_windows_meet_animals_as_matrices(spark, monkeypatch):
+    """Several blocks on both sides, several matrices in a block, records at a window's ends, ids that repeat; before, each pair was a row of a join."""
+    monkeypatch.setattr(joins, "WINDOWS", 5)
+    monkeypatch.setattr(joins, "ANIMALS", 4)
+    monkeypatch.setattr(joins, "CELLS", 9)
+    rng = random.Random(12)
+    start = datetime.datetime(2024, 3, 1, tzinfo=datetime.UTC)
+    moment = lambda: start + datetime.timedelta(seconds=600 * rng.randrange(0, 144 * 8))
+    records = [(i % 11, moment(), rng.choice([None, 1.0, 2.5, -4.0])) for i in range(300)]
+    stops = [(i % 35, rng.choice([moment(), records[i][1], records[i][1] + datetime.timedelta(days=2)])) for i in range(40)] + [(90, None), (91, start - datetime.timedelta(days=9))]
+    out = joins.herd_window_sums(spark.createDataFrame(records, "series_id long, ts timestamp, value double"), spark.createDataFrame(stops, "sample_id long, stop timestamp"), 2)
+    want = {}
+    for sample, stop in stops:
+        for series, ts, value in records:
+            if stop is not None and stop - datetime.timedelta(days=2) < ts <= stop:
+                n, total = want.get((sample, series), (0, 0.0))
+                want[sample, series] = n + 1, total + (value or 0.0)
+    assert {(r.sample_id, r.series_id): (r.n, round(r.total, 6)) for r in out.collect()} == want
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
