@@ -44,6 +44,15 @@ def most(sides) -> int:
     return max(df.count() for pair in list(sides) for df in pair)
 
 
+def test_individuals_of_many_blocks_are_copied_a_few_times(spark, joined):
+    """Both sides of the join; before, each had a copy of every individual for every 4,096 others."""
+    df = spark.range(150_000).select(F.col("id").alias("series_id"), (F.col("id") % 3).cast("int").alias("target"))
+    splits.leave_two_out(df)
+    assert most(joined) <= 10 * 150_000
+    splits.leave_two_out(df.withColumn("target", F.col("target").isin(1).cast("int")), stratified=True)
+    assert most(joined) <= 16 * 150_000
+
+
 @pytest.mark.parametrize("stratified", [False, True])
 def test_pairs_are_made_where_blocks_meet(spark, joined, stratified):
     rnd = random.Random(5)
