@@ -3,12 +3,14 @@
 import datetime
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from tracelab.operators import evaluate, grid, impute, joins, neighbours, runlength, splits
+from tracelab.plans.catalogue import QUERIES
 from tracelab.plans.trace_queries import imputed_grid
 
 
@@ -217,3 +219,19 @@ def test_windows_meet_animals_as_matrices(spark, monkeypatch):
                 want[sample, series] = n + 1, total + (value or 0.0)
     assert {(r.sample_id, r.series_id): (r.n, round(r.total, 6)) for r in out.collect()} == want
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_herd_is_sent_to_the_cells_of_all_windows(spark, tmp_path):
+    """The herd's series is a row per hour; before, its size was not known and the cells of all windows were dealt out by time."""
+    rng = random.Random(3)
+    start = datetime.datetime(2024, 3, 1, tzinfo=datetime.UTC)
+    rows = [(i, i % 40, start + datetime.timedelta(seconds=rng.randrange(86400 * 3)), rng.random(), "click") for i in range(4000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double, event_type string")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        plan = QUERIES["c14_reference_trace"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert re.search(r"BroadcastHashJoin \[ts#\d+\], \[ts#\d+\]", plan)

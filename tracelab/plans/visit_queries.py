@@ -10,6 +10,7 @@ from tracelab.plans.bindings import (
 )
 from tracelab.plans.registry import query
 from tracelab.plans.trace_queries import COMMON, common_hourly
+from tracelab.session import materialise
 
 W = "OVER (PARTITION BY series_id ORDER BY visit_date, visit_id)"
 LAB = (
@@ -416,7 +417,8 @@ def _(spark, sf):
 
     trace = common_hourly(spark, sf)
     cells = samples.sample_cells(trace, visits_on_series(spark, sf), "1 hour", 7)
-    out = cells.join(herd_series(trace), "ts")
+    # written out, so that Spark knows how small it is before the cells of all windows, of which there are far more, are dealt out for the join
+    out = cells.join(materialise(herd_series(trace), "herd"), "ts")
     return out.select("visit_id", "pos", *[r6(c).alias(c) for c in ("value", "mean", "median")])
 
 
