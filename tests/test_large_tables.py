@@ -5,6 +5,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
@@ -235,3 +237,37 @@ def test_the_herd_is_sent_to_the_cells_of_all_windows(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert re.search(r"BroadcastHashJoin \[ts#\d+\], \[ts#\d+\]", plan)
+
+
+def test_near_rows_are_put_among_the_nearest_together(monkeypatch):
+    """Ties, equal rows and distances that are no numbers, next to all pairs; before, each row was sorted again at every cell it met."""
+    rng = np.random.default_rng(7)
+    rows, train, cells = rng.integers(0, 4, (300, 3)).astype(float), rng.integers(0, 4, (900, 3)).astype(float), 12
+    train[5], rows[9] = np.nan, np.inf
+    k = np.where(np.arange(300) % 3 == 0, 7, 20)
+    k[4] = 0
+    table = pa.table({
+        "sample_id": np.arange(300), "fold": np.arange(300, dtype=np.int32) % 2, "features": pa.array(rows.tolist()), "k": k,
+        "cells": pa.array([list(range(cells))] * 300, pa.list_(pa.int32())),
+    })
+    sorts = []
+    kept = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(1) or kept(keys))
+    monkeypatch.setattr(neighbours, "MERGED", 2000, raising=False)
+    held = neighbours.Held.of(table)
+    folds = np.arange(900) % 3
+    for c in range(cells):
+        own = np.arange(c, 900, cells)
+        held.meet(c, own, own % 2.0, folds[own], train[own])
+    met = len(sorts)
+    got = {}
+    for b in held.found():
+        for r in b.to_pylist():
+            got.setdefault(r["sample_id"], []).append(r["neighbour"])
+    with np.errstate(all="ignore"):
+        d = ((train[None] - rows[:, None]) ** 2).sum(2)
+    for i in range(300):
+        own = np.nonzero(folds != i % 2)[0]
+        best = own[kept((own, d[i, own]))][: k[i]]
+        assert got.get(i, []) == best.tolist()
+    assert met <= 3 * 300  # a row is sorted by itself only where others are as near as its last one
