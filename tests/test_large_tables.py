@@ -14,6 +14,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from tracelab.operators import evaluate, grid, impute, joins, neighbours, runlength, splits
 from tracelab.plans.catalogue import QUERIES
 from tracelab.plans.trace_queries import imputed_grid
+from tracelab.sources import tables
 
 
 @pytest.fixture
@@ -271,3 +272,13 @@ def test_near_rows_are_put_among_the_nearest_together(monkeypatch):
         best = own[kept((own, d[i, own]))][: k[i]]
         assert got.get(i, []) == best.tolist()
     assert met <= 3 * 300  # a row is sorted by itself only where others are as near as its last one
+
+
+def test_a_folder_per_series_holds_one_file_per_task(spark, tmp_path):
+    """On a local disk; before, there was a checksum file beside each."""
+    df = spark.range(60).select((F.col("id") % 20).alias("series_id"), F.col("id").alias("event_id"), F.lit(0.5).alias("value"))
+    tables.write_per_series(df, str(tmp_path / "out"), {"value": "activity"})
+    names = [f.name for f in (tmp_path / "out").glob("series_id=*/*")] + [f.name for f in (tmp_path / "out").glob("series_id=*/.*")]
+    assert len(names) >= 20 and not [n for n in names if n.endswith(".crc")]
+    read = spark.read.schema("event_id LONG, activity DOUBLE, series_id LONG").option("header", True).csv(str(tmp_path / "out"))
+    assert sorted((r.series_id, r.event_id, r.activity) for r in read.collect()) == sorted((i % 20, i, 0.5) for i in range(60))

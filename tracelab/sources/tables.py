@@ -13,6 +13,8 @@ from tracelab.operators.stats import class_counts
 META = ("label", "id", "imputed_days", "date")
 # each task puts its own files into place; otherwise the driver moves one folder per series after the other
 BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+# on a local disk there is no checksum file beside each file: that is twice the files, and Hadoop sets permissions there by starting a process for each
+BY_TASKS |= {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def write_tasks(df: DataFrame) -> int:
